@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -124,6 +125,16 @@ class ItemIndex:
         return out
 
 
+def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, shingle: int, containment: float, block_chars: int) -> list[Broadcast]:
+    """Indexes of the benchmark's items in blocks of about block_chars characters, on their way to the executors."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()
+    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
+    n = 1 if chars <= block_chars else -(-2 * chars // block_chars)
+    blocks = (items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect() for k in range(n))
+    return [spark.sparkContext.broadcast(ItemIndex([(r.i, r.t) for r in rows], shingle, containment)) for rows in blocks]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, containment: float = CONTAINMENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment): items of which a document holds enough distinct word shingles.
 
@@ -136,17 +147,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     Null and empty texts, and items without words, never match. A repeated document row is reported again; an item
     with the same id and text counts once. Extra columns are ignored; empty tables give no rows.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()
-    chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = 1 if chars <= block_chars else -(-2 * chars // block_chars)
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     out = None
-    for block in range(n):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == block).collect()
-        index = spark.sparkContext.broadcast(ItemIndex([(r.i, r.t) for r in rows], shingle, containment))
+    for index in item_blocks(benchmark, item_id, item_text, shingle, containment, block_chars):
 
         def work(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             powers = _Powers()
@@ -159,6 +164,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     return out
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, containment: float = CONTAINMENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no benchmark item (as find_leaks has it). Rows are not moved."""
+    small_batches(docs.sparkSession)
+    for index in item_blocks(benchmark, item_id, item_text, shingle, containment, block_chars):
+
+        def work(batches: Iterator[pa.RecordBatch], index=index, at=docs.columns.index(text)) -> Iterator[pa.RecordBatch]:
+            powers = _Powers()
+            for b in batches:
+                if b.num_rows:
+                    yield b.filter(pa.array([not ((body := t.as_py()) and index.value.search(body, powers)) for t in b.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(work, docs.schema)
+    return docs
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -126,3 +126,16 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_quality(docs, fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
+
+
+def keep_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose text the classifier accepts. Rows are not moved."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(shared.value.score([terms(t.as_py()) for t in b.column(at)]) >= threshold))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(work, docs.schema)

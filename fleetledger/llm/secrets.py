@@ -98,6 +98,17 @@ def redacted(text: Column, spans: Column, rules: tuple[Rule, ...] = RULES) -> Co
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(end["out"], ""), text.substr(end["at"] + 1, F.length(text))))
 
 
+def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """The rows of docs, with all their columns; secrets in text are replaced, n_chars (if there) follows."""
+    found = scan_unseen(docs, ledger).where(F.size("spans") > 0).select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans"))
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = docs.withColumn("__own", F.sha2(body.cast("binary"), 256)).join(found, F.col("__own") == F.col("__blob"), "left")
+    out = own.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("__spans"))))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*docs.columns)
+
+
 def count_kind(k: int) -> Column:
     return F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long")
 

@@ -137,6 +137,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fp.join(named, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is its component's smallest, once each.
+
+    Rows without a doc_id can't be named and are kept.
+    """
+    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    once = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"))
+    once = once.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("__n = 1")
+    return once.select(*docs.columns).union(docs.where("doc_id is null"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
