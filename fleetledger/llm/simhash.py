@@ -133,7 +133,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fp = cut(fingerprints(docs, doc_id, text, shingle), "simhash-fps")
     nodes = fp.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     comp = components(links(nodes.where("rep is not null")))
-    named = nodes.join(comp, F.col("rep") == F.col("u"), "left").select(F.col("fp").alias("node"), F.coalesce("v", "rep").alias("component_id"))
+    # a table, so that the join below has a shuffle of its own, which Spark can split where many rows share a fingerprint
+    named = cut(nodes.join(comp, F.col("rep") == F.col("u"), "left").select(F.col("fp").alias("node"), F.coalesce("v", "rep").alias("component_id")), "simhash-components")
     return fp.join(named, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", "component_id")
 
 
