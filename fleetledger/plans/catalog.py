@@ -1,4 +1,309 @@
-"""All fleet queries with the SQL that checks them."""
+"""All fleet queries, each with the SQL that checks it. Times come out as text, so that both engines show them alike."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fleetledger.functions.scalars import json_field
+from fleetledger.operators import changes, integrity, rollups
+from fleetledger.operators import inventory as inv
+from fleetledger.plans.views import SQL, Fleet
+from fleetledger.session import scratch
+from fleetledger.sources import advisories, spdx
+from fleetledger.streaming import uploads
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Register a function of a Fleet under its name, with DuckDB SQL over the fleet's views."""
+
+    def register(f: Callable[[Fleet], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = lambda spark, folder: f(Fleet(spark, folder))
+        if sql:
+            ORACLES[f.__name__] = f"{SQL} {sql}"
+        return f
+
+    return register
+
+
+def at(c: str | Column) -> Column:
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+
+
+def sql_at(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+
+@query("SELECT name, version FROM packages ORDER BY name, version LIMIT 10")
+def packages_limit(x: Fleet) -> DataFrame:
+    x.register()
+    return x.spark.sql("SELECT name, version FROM packages ORDER BY name, version LIMIT 10")
+
+
+@query("SELECT severity, count(*) AS n FROM findings GROUP BY severity")
+def sql_over_views(x: Fleet) -> DataFrame:
+    x.register()
+    return x.spark.sql("SELECT severity, count(*) AS n FROM findings GROUP BY severity")
+
+
+@query("SELECT scan_id, pkg_id, ecosystem, name, version FROM packages")
+def sbom_round_trip(x: Fleet) -> DataFrame:
+    """Documents in a column, written and read again."""
+    docs = spdx.sbom_write(x.packages).select("scan_id", F.from_json("doc", spdx.DOCUMENT).alias("d")).select("scan_id", "d.*")
+    return spdx.packages(docs, ("scan_id",)).select("scan_id", F.substring_index("spdx_id", "-", -1).cast("long").alias("pkg_id"), F.col("purpose").alias("ecosystem"), "name", "version")
+
+
+@query("SELECT 'scan-' || scan_id AS document, name, version FROM packages")
+def sbom_files(x: Fleet) -> DataFrame:
+    """Documents as lines of files, read again."""
+    path = scratch(x.spark, "sbom")
+    spdx.sbom_write(x.packages).select("doc").write.text(path)
+    return spdx.packages(spdx.sbom_read(x.spark, path, multi_line=False)).select("document", "name", "version")
+
+
+@query("SELECT advisory_id, ecosystem, name, introduced, fixed, severity FROM advisories")
+def advisories_read(x: Fleet) -> DataFrame:
+    path = scratch(x.spark, "advisories")
+    x.raw_advisories.write.json(path)
+    return advisories.advisories_read(x.spark, path, "json").drop("ikey", "fkey")
+
+
+@query("SELECT asset_id, scan_id, ecosystem, name, version, advisory_id, introduced, fixed, severity FROM findings")
+def findings(x: Fleet) -> DataFrame:
+    return x.findings.drop("vkey", "fkey")
+
+
+@query("SELECT scan_id, p.ecosystem, p.name, version, advisory_id, severity FROM packages p JOIN advisories a ON p.ecosystem = a.ecosystem AND p.name = a.name AND vkey >= ikey AND (fkey IS NULL OR vkey < fkey)")
+def findings_all_scans(x: Fleet) -> DataFrame:
+    return inv.match_vulnerabilities(x.packages, x.advisories).select("scan_id", "ecosystem", "name", "version", "advisory_id", "severity")
+
+
+@query("SELECT 'scan-' || scan_id AS document, count(*) AS n, count(DISTINCT name) AS n_names FROM packages GROUP BY scan_id")
+def collect_results(x: Fleet) -> DataFrame:
+    """Documents arrive as files and are streamed into a table."""
+    path, out = scratch(x.spark, "arrivals"), scratch(x.spark, "collected")
+    spdx.sbom_write(x.packages).select("doc").write.text(path)
+    uploads.collect_results(x.spark, path, out, scratch(x.spark, "collect-state"), multi_line=False).awaitTermination()
+    return x.spark.read.parquet(out).groupBy("document").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("n_names"))
+
+
+@query("SELECT asset_id, scan_id, ecosystem, name, version FROM inventory")
+def inventory(x: Fleet) -> DataFrame:
+    return x.inventory.drop("vkey")
+
+
+@query("SELECT asset_id, hostname, site_id, asset_kind FROM assets")
+def asset_kinds(x: Fleet) -> DataFrame:
+    of = lambda kind: x.assets.where(F.col("asset_kind") == kind).drop("asset_kind")
+    return inv.asset_kinds(of("host"), of("image"))
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 20 = 3 THEN 'missing' WHEN doc_id % 50 = 0 THEN 'mismatch' ELSE 'ok' END AS status FROM documents""")
+def digest_check(x: Fleet) -> DataFrame:
+    content = x.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    digest = F.when(F.col("id") % 50 == 0, "bad").otherwise(F.sha2(F.col("body").cast("binary"), 256))
+    return integrity.digest_check(content, content.where("id % 20 <> 3").select("id", digest.alias("digest")))
+
+
+@query(f"SELECT event_id, e.user_id, {sql_at('ts')} AS ts FROM events e JOIN (SELECT user_id, min(ts) AS joined_at FROM enrolments GROUP BY user_id) j ON e.user_id = j.user_id AND ts >= joined_at WHERE event_type IN ('click', 'view')")
+def admitted_uploads(x: Fleet) -> DataFrame:
+    return integrity.admitted_uploads(x.events.where("event_type IN ('click', 'view')"), x.enrolments).select("event_id", "user_id", at("ts").alias("ts"))
+
+
+@query("SELECT user_id, count(*) AS n FROM enrolments GROUP BY user_id HAVING count(*) > 13")
+def code_reuse_audit(x: Fleet) -> DataFrame:
+    return integrity.code_reuse_audit(x.enrolments, 13)
+
+
+@query(f"SELECT e.event_id, e.user_id, {sql_at('e.ts')} AS ts, {sql_at('n.ts')} AS enrolled_at FROM (SELECT * FROM events WHERE event_type <> 'signup') e ASOF LEFT JOIN enrolments n ON e.user_id = n.user_id AND e.ts >= n.ts")
+def asof_enrolment(x: Fleet) -> DataFrame:
+    return integrity.asof_enrolment(x.events.where("event_type <> 'signup'"), x.enrolments).withColumns({"ts": at("ts"), "enrolled_at": at("enrolled_at")})
+
+
+@query(f"SELECT scan_id, asset_id, {sql_at('scanned_at')} AS scanned_at FROM latest")
+def latest_scan(x: Fleet) -> DataFrame:
+    return inv.latest_scan(x.scans).withColumn("scanned_at", at("scanned_at"))
+
+
+@query("SELECT * FROM assets WHERE asset_id IN (SELECT asset_id FROM findings WHERE severity = 'CRITICAL')")
+def critical_assets(x: Fleet) -> DataFrame:
+    return inv.critical_assets(x.assets, x.findings)
+
+
+@query("SELECT * FROM assets WHERE asset_id NOT IN (SELECT asset_id FROM findings)")
+def unaffected_assets(x: Fleet) -> DataFrame:
+    return inv.unaffected_assets(x.assets, x.findings)
+
+
+@query("SELECT DISTINCT ecosystem, name FROM inventory i WHERE NOT EXISTS (SELECT 1 FROM advisories a WHERE a.ecosystem = i.ecosystem AND a.name = i.name)")
+def unknown_packages(x: Fleet) -> DataFrame:
+    return inv.unknown_packages(x.inventory, x.advisories)
+
+
+@query(f"SELECT assets.*, {sql_at('scanned_at')} AS last_seen FROM assets LEFT JOIN latest USING (asset_id) WHERE scanned_at IS NULL OR scanned_at < TIMESTAMP '2001-01-01'")
+def stale_assets(x: Fleet) -> DataFrame:
+    return inv.stale_assets(x.assets, x.scans, "2001-01-01").withColumn("last_seen", at("last_seen"))
+
+
+@query("SELECT * FROM assets a WHERE NOT EXISTS (SELECT 1 FROM scans s WHERE s.asset_id = a.asset_id AND scanned_at >= TIMESTAMP '2001-01-01')")
+def not_scanned_since(x: Fleet) -> DataFrame:
+    return inv.not_scanned_since(x.assets, x.scans, "2001-01-01")
+
+
+@query("SELECT ecosystem, name, count(DISTINCT asset_id) AS n_assets, count(DISTINCT version) AS n_versions FROM inventory GROUP BY ecosystem, name")
+def prevalence(x: Fleet) -> DataFrame:
+    return rollups.prevalence(x.inventory)
+
+
+@query("SELECT site_id, severity, count(*) AS n_findings, count(DISTINCT asset_id) AS n_assets FROM findings JOIN assets USING (asset_id) GROUP BY ROLLUP (site_id, severity)")
+def severity_rollup(x: Fleet) -> DataFrame:
+    return rollups.severity_rollup(x.findings, x.assets)
+
+
+@query("SELECT asset_kind, severity, count(*) AS n_findings, count(DISTINCT asset_id) AS n_assets FROM findings JOIN assets USING (asset_id) GROUP BY CUBE (asset_kind, severity)")
+def severity_cube(x: Fleet) -> DataFrame:
+    return rollups.severity_cube(x.findings, x.assets)
+
+
+@query("SELECT asset_id, count(*) AS n_findings FROM findings GROUP BY asset_id ORDER BY n_findings DESC, asset_id LIMIT 20")
+def top_exposed(x: Fleet) -> DataFrame:
+    return rollups.top_exposed(x.findings, 20)
+
+
+@query("SELECT * FROM (SELECT asset_id, n_findings, site_id, rank() OVER (PARTITION BY site_id ORDER BY n_findings DESC)::INT AS place FROM (SELECT asset_id, count(*) AS n_findings FROM findings GROUP BY asset_id) JOIN assets USING (asset_id)) WHERE place <= 3")
+def top_per_site(x: Fleet) -> DataFrame:
+    return rollups.top_per_site(x.findings, x.assets, 3).select("asset_id", "n_findings", "site_id", "place")
+
+
+@query(f"SELECT scan_id, asset_id, {sql_at('scanned_at')} AS scanned_at, lag(scan_id) OVER w AS previous_scan, date_diff('day', lag(scanned_at) OVER w, scanned_at)::INT AS days FROM scans WINDOW w AS (PARTITION BY asset_id ORDER BY scanned_at, scan_id)")
+def scan_gap(x: Fleet) -> DataFrame:
+    return rollups.scan_gap(x.scans).withColumn("scanned_at", at("scanned_at"))
+
+
+@query("""SELECT coalesce(n.asset_id, o.asset_id) AS asset_id, coalesce(n.ecosystem, o.ecosystem) AS ecosystem, CASE WHEN o.asset_id IS NULL THEN 'added' WHEN n.asset_id IS NULL THEN 'removed' ELSE 'kept' END AS change
+FROM (SELECT DISTINCT asset_id, ecosystem FROM latest JOIN packages USING (scan_id) WHERE asset_id IN (SELECT asset_id FROM scans GROUP BY asset_id HAVING count(*) > 1)) n
+FULL JOIN (SELECT DISTINCT asset_id, ecosystem FROM (SELECT asset_id, scan_id, row_number() OVER (PARTITION BY asset_id ORDER BY scanned_at DESC, scan_id DESC) AS rn FROM scans) JOIN packages USING (scan_id) WHERE rn = 2) o
+ON n.asset_id = o.asset_id AND n.ecosystem = o.ecosystem""")
+def scan_diff(x: Fleet) -> DataFrame:
+    return changes.scan_diff(x.scans, x.packages, "ecosystem")
+
+
+@query("""SELECT asset_id, ecosystem FROM latest JOIN packages USING (scan_id) EXCEPT SELECT asset_id, ecosystem FROM scans JOIN packages USING (scan_id) WHERE scanned_at < TIMESTAMP '1997-01-01'""")
+def first_seen(x: Fleet) -> DataFrame:
+    return changes.first_seen(x.scans, x.packages, "1997-01-01", "ecosystem")
+
+
+@query("SELECT ecosystem, name FROM inventory JOIN assets USING (asset_id) WHERE asset_kind = 'host' INTERSECT SELECT ecosystem, name FROM inventory JOIN assets USING (asset_id) WHERE asset_kind = 'image'")
+def common_host_image(x: Fleet) -> DataFrame:
+    return changes.common_host_image(x.inventory, x.assets)
+
+
+@query("SELECT scan_id, ecosystem, name, version FROM packages WHERE scan_id % 2 = 0 UNION SELECT scan_id, ecosystem, name, version FROM packages WHERE scan_id % 3 = 0")
+def merge_feeds(x: Fleet) -> DataFrame:
+    of = lambda n: x.packages.where(F.col("scan_id") % n == 0).select("scan_id", "ecosystem", "name", "version")
+    return changes.merge_feeds(of(2), of(3))
+
+
+@query("SELECT asset_id, ecosystem, name, version, max_by(fixed, fkey) FILTER (WHERE fkey IS NOT NULL) AS upgrade_to, count(*) FILTER (WHERE fkey IS NULL) AS n_unfixed FROM findings GROUP BY asset_id, ecosystem, name, version")
+def upgrade_plan(x: Fleet) -> DataFrame:
+    return inv.upgrade_plan(x.inventory, x.advisories)
+
+
+@query("SELECT scan_id, asset_id, count(scan_id) OVER (PARTITION BY asset_id ORDER BY scanned_at, scan_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS n_recent FROM scans")
+def rolling_scan_count(x: Fleet) -> DataFrame:
+    return rollups.rolling_scan_count(x.scans).drop("scanned_at")
+
+
+@query(f"SELECT {sql_at('week')} AS week, n_scans, n_assets FROM (SELECT date_trunc('week', scanned_at) AS week, count(*) AS n_scans, count(DISTINCT asset_id) AS n_assets FROM scans GROUP BY 1)")
+def weekly_coverage(x: Fleet) -> DataFrame:
+    return rollups.weekly_coverage(x.scans).withColumn("week", at("week"))
+
+
+@query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def content_duplicates(x: Fleet) -> DataFrame:
+    return integrity.content_duplicates(x.table("documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("text").alias("body")))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def props_field(x: Fleet) -> DataFrame:
+    return x.events.select("event_id", json_field(F.col("props"), "$.k").alias("k"))
+
+
+@query()
+def approx_versions(x: Fleet) -> DataFrame:
+    return rollups.approx_versions(x.inventory)
+
+
+@query("SELECT version, array_to_string(vkey, ',') AS vkey FROM packages")
+def version_keys(x: Fleet) -> DataFrame:
+    return x.packages.select("version", F.array_join("vkey", ",").alias("vkey"))
+
+
+_DAILY = f"SELECT {sql_at('day')} AS day, event_type, n FROM (SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL)"
+_SESSIONS = f"""SELECT user_id, {sql_at('min(ts)')} AS start, {sql_at('max(ts) + INTERVAL 6 HOUR')} AS "end", count(*) AS n
+FROM (SELECT user_id, ts, sum(CASE WHEN ts < before + INTERVAL 6 HOUR THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
+FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)) GROUP BY user_id, s"""
+
+
+@query(_DAILY)
+def daily_uploads(x: Fleet) -> DataFrame:
+    return rollups.daily_uploads(x.events).withColumn("day", at("day"))
+
+
+@query(f"SELECT {sql_at('start')} AS start, n FROM (SELECT start, count(*) AS n FROM (SELECT unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY]) AS start FROM events) GROUP BY start)")
+def sliding_uploads(x: Fleet) -> DataFrame:
+    return rollups.sliding_uploads(x.events).withColumn("start", at("start"))
+
+
+@query(_SESSIONS)
+def upload_sessions(x: Fleet) -> DataFrame:
+    return rollups.upload_sessions(x.events).withColumns({"start": at("start"), "end": at("end")})
+
+
+def _stream(x: Fleet) -> DataFrame:
+    return uploads.events_stream(x.spark, f"{x.folder}/events.parquet")
+
+
+@query(_DAILY)
+def stream_daily_uploads(x: Fleet) -> DataFrame:
+    return uploads.run(rollups.daily_uploads(_stream(x)), "complete")[0].withColumn("day", at("day"))
+
+
+@query(_SESSIONS)
+def stream_upload_sessions(x: Fleet) -> DataFrame:
+    return uploads.run(rollups.upload_sessions(_stream(x)), "complete")[0].withColumns({"start": at("start"), "end": at("end")})
+
+
+@query(f"SELECT event_id, user_id, {sql_at('ts')} AS ts FROM events")
+def stream_dedup(x: Fleet) -> DataFrame:
+    """All events, the even ones sent twice."""
+    twice = _stream(x).select("event_id", "user_id", "ts", F.explode(F.when(F.col("event_id") % 2 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("sent"))
+    return uploads.run(uploads.stream_dedup(twice).select("event_id", "user_id", "ts"))[0].withColumn("ts", at("ts"))
+
+
+@query("SELECT event_id, user_id, hostname, asset_kind FROM events LEFT JOIN assets ON user_id = asset_id")
+def stream_enrich(x: Fleet) -> DataFrame:
+    return uploads.run(uploads.stream_enrich(_stream(x), x.assets).select("event_id", "user_id", "hostname", "asset_kind"))[0]
+
+
+@query("SELECT c.user_id, c.event_id AS click_id, e.event_id AS enrolment_id FROM (SELECT * FROM events WHERE event_type = 'click') c JOIN enrolments e ON c.user_id = e.user_id AND c.ts >= e.ts AND c.ts <= e.ts + INTERVAL 1 DAY")
+def stream_enrolment_join(x: Fleet) -> DataFrame:
+    return uploads.run(uploads.stream_enrolment_join(_stream(x).where("event_type = 'click'"), _stream(x).where("event_type = 'signup'")))[0]
+
+
+@query(f"SELECT user_id, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS event_id, {sql_at('max(ts)')} AS ts FROM events GROUP BY user_id")
+def stream_latest(x: Fleet) -> DataFrame:
+    return uploads.run(uploads.stream_latest(_stream(x)), "complete")[0].withColumn("ts", at("ts"))
+
+
+@query()
+def late_data_report(x: Fleet) -> DataFrame:
+    """Rows dropped as late in a windowed stream with a watermark of an hour."""
+    _, ended = uploads.run(rollups.daily_uploads(_stream(x).withWatermark("ts", "1 hour")))
+    rows = uploads.late_data_report(ended)
+    return x.spark.createDataFrame(rows, "batch long, operator string, n_dropped long")
