@@ -61,11 +61,10 @@ def format_chat(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
     ignored; an empty table gives no rows; a null conv_id is a conversation of its own. One conversation is one output
     row, so it must fit in a task's memory.
     """
-    m = fold_events(events)
-    c = m.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("first_seq", "msg_id", "role", "text", "regen_seq"))).alias("all"))
-    c = c.withColumn("regen", F.filter("all", lambda x: x["regen_seq"].isNotNull()))
-    stays = F.filter("all", lambda x: ~F.exists("regen", lambda r: (x["first_seq"] > r["first_seq"]) & (x["first_seq"] < r["regen_seq"])))
-    c = c.select("conv_id", F.when(F.size("regen") == 0, F.col("all")).otherwise(stays).alias("msgs"))
+    earlier = Window.partitionBy("conv_id").orderBy(F.col("first_seq").cast("long")).rangeBetween(Window.unboundedPreceding, -1)
+    m = fold_events(events).withColumn("abandoned_to", F.max("regen_seq").over(earlier))
+    m = m.where(F.col("abandoned_to").isNull() | (F.col("abandoned_to") < F.col("first_seq")))
+    c = m.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("first_seq", "msg_id", "role", "text"))).alias("msgs"))
     head = lambda x: F.concat(F.lit(START), escape_role(x["role"]), F.lit("\n"))
     seg = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
     c = c.withColumn("segments", F.flatten(F.transform("msgs", lambda x: F.array(seg(head(x), F.lit(False)), seg(escape(x["text"]), x["role"] == loss_role), seg(F.lit(END + "\n"), F.lit(False))))))

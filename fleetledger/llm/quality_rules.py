@@ -52,12 +52,16 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     df = docs.withColumn("__text", body).withColumn("__w", F.array_remove(F.split("__text", WORD_BREAK), "")).withColumn("__l", F.filter(F.split("__text", "\n"), lambda x: x.rlike(has_word)))
 
-    words = F.col("__w")
-    grams = F.slice(F.transform(words, lambda w, i: F.struct(F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)).alias("g"), i.alias("p"))), 1, F.greatest(F.size(words) - 2, F.lit(0)))
-    df = df.withColumn("__g", F.sort_array(grams))
-    gram = F.col("__g")
-    again = F.filter(gram, lambda x, k: (x["g"] == F.get(gram, k - 1)["g"]) | (x["g"] == F.get(gram, k + 1)["g"]))
-    df = df.withColumn("__p", F.sort_array(F.transform(again, lambda x: x["p"])))
+    # neighbours come from shifted copies of an array: a lambda that looked them up in the array would be a trap, for the
+    # optimizer may put the array's whole expression into the lambda when a caller filters on the results
+    shift = lambda c, by: F.slice(c, 1 + by, F.greatest(F.size(c) - by, F.lit(0)))
+    pairs = F.zip_with("__w", shift("__w", 1), lambda a, b: F.concat_ws(" ", a, b))
+    grams = F.transform(F.zip_with(pairs, shift("__w", 2), lambda a, c: F.concat_ws(" ", a, c)), lambda g, i: F.struct(g.alias("g"), i.alias("p")))
+    df = df.withColumn("__g", F.sort_array(F.slice(grams, 1, F.greatest(F.size("__w") - 2, F.lit(0)))))
+    df = df.withColumn("__n", F.zip_with("__g", shift("__g", 1), lambda a, b: F.coalesce(a["g"] == b["g"], F.lit(False))))
+    either = F.zip_with("__n", F.concat(F.array(F.lit(False)), "__n"), lambda a, b: a | b)
+    again = F.filter(F.zip_with("__g", either, lambda x, e: F.when(e, x["p"])), lambda x: x.isNotNull())
+    df = df.withColumn("__p", F.sort_array(again))
     df = df.withColumn("__kept", F.filter("__l", lambda x: ~(bad_punctuation(x) | navigation(x) | boilerplate(x))))
 
     # each position of a repeated window covers three words; those already covered by the one before count once
@@ -77,7 +81,7 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     })
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     df = df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("__kept_chars") >= MIN_KEPT_PERCENT * F.col("__all_chars")))
-    return df.drop("__text", "__w", "__l", "__g", "__p", "__kept", "__all_chars", "__kept_chars")
+    return df.drop("__text", "__w", "__l", "__g", "__n", "__p", "__kept", "__all_chars", "__kept_chars")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
