@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spans_of, table
+from .common import cut, spans_of, table
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,8 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, path: str
 def at_paths(versions: DataFrame, findings: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
     """(path, blob_id, spans) for every version, with the findings (new and stored ones) of its content."""
     v = blobs(versions, path, text).select("path", "blob_id")
-    own = findings.where(F.size("spans") > 0).select(F.col("blob_id").alias("found_id"), "spans")
+    # a table, so that the join has a shuffle of its own, which Spark can split where many paths share a content
+    own = cut(findings.where(F.size("spans") > 0), "secret-findings").select(F.col("blob_id").alias("found_id"), "spans")
     return v.join(own, F.col("blob_id") == F.col("found_id"), "left").select("path", "blob_id", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))
 
 
