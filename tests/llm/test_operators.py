@@ -178,13 +178,14 @@ def test_fullest_is_the_best_subset():
 
 @pytest.mark.parametrize("text", ["", " ", "a", "two  spaces", " lead", "trail ", "tab \t here", "a\n b", "a \nb", "x  y", "<|endoftext|> a", "naïve Ünï, 12 34's don't", "l" * 300, "a\r\n\r\n b", "é ​ z"])
 def test_words_are_encoded_as_the_whole_text_is(text):
-    coder = packing.WordTokenizer(packing.default_tokenizer())
+    coder = packing.WordTokenizer(*packing.default_tokenizer())
+    plain = packing.WordTokenizer(packing.default_tokenizer()[0])
     want = np.array(coder.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    assert coder.ids(text) == want and coder.ids(text) == want
+    assert coder.ids(text) == want and coder.ids(text) == want and plain.ids(text) == want
 
 
 def test_pieces_of_documents(spark, data, docs):
-    coder = packing.WordTokenizer(packing.default_tokenizer())
+    coder = packing.WordTokenizer(*packing.default_tokenizer())
     for r in packing.op5_packing(spark, data).where("doc_id % 7 = 0").collect():
         ids = [*coder.tokenizer.encode(docs[r.doc_id], add_special_tokens=False).ids, 0]
         own = ids[r.start : r.start + r.length]
