@@ -80,8 +80,9 @@ def links(fps: DataFrame) -> DataFrame:
     masks = _masks()
     tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])).alias("k")
     keyed = fps.select("fp", "rep", tables).select("fp", "rep", "k.t", "k.key")
-    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("t", "key"))).where("n > 1")
-    shared = cut(shared, "simhash-buckets")
+    # bucket sizes are counted with partial sums and kept as a table: the join has shuffles of its own and a huge bucket is split
+    sizes = cut(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-sizes")
+    shared = cut(keyed.join(sizes, ["t", "key"]), "simhash-buckets")
 
     pivots = {f"p{i}": distance(F.col("fp"), p).cast("tinyint") for i, p in enumerate(_pivots())}
     small = shared.where(F.col("n") <= PAIR_BUCKET).withColumns(pivots)
