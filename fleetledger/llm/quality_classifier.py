@@ -79,14 +79,15 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dimensions: int = DIMENSIONS) -> Model:
     """Learn from at most per_class labelled, not held out documents of either class, chosen by a hash of doc_id.
 
-    Only their ids (bounded) are broadcast to find their texts, and only their term weights come to the driver.
+    Only their ids (bounded) are broadcast to find their texts, and only their term weights come to the driver. Where
+    rows repeat a doc_id, the smallest text stands for it, so a repeated row brings nothing more to the driver.
     """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).distinct()
     order = lambda q: known.where(F.col("quality") == q).orderBy(F.xxhash64("id"), "id").limit(per_class)
     quality = {}
     for r in order(0).union(order(1)).collect():
         quality.setdefault(r.id, []).append(r.quality)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isin(list(quality)))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isin(list(quality))).groupBy("doc_id").agg(F.min("text").alias("text"))
     rows = sorted(texts.mapInArrow(_featurize, "doc_id long, at array<long>, w array<double>").collect(), key=lambda r: (r.doc_id, r["at"], r["w"])) if quality else []
     if not rows:
         return Model(np.zeros((TERMS, 1)), np.zeros((0, 1)), np.zeros(0))
