@@ -430,5 +430,26 @@ def test_pipeline_against_single_steps(spark, data, docs):
     assert len({r.sequence_id for r in rows}) == math.ceil(sum(r.length for r in rows) / 2048)
 
 
+def test_pipeline_edges(spark, edge, tmp_path):
+    """Nulls, empty and long texts, repeated rows and a further column through every stage; then empty tables."""
+    spark.createDataFrame([(1, 1), (2, 1), (5, 1), (6, None), (None, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (None, "of no document at all here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = edge
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == edge.columns and docs.count() > 0, name
+        assert stage(spark, edge.limit(0), str(tmp_path)).count() == 0, name
+    assert sorted((r.doc_id for r in docs.collect()), key=str) == sorted([1, 4, 5, 6, None], key=str)
+    edge.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 4, 5, 6, None}
+
+
+def test_quality_classifier_learns_once_from_repeated_rows(spark):
+    d = spark.createDataFrame([(1, "b b b"), (1, "a a a"), (1, "a a a"), (2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, quality int")
+    model = quality_classifier.fit(d, labels)
+    assert sorted(model.labels.tolist()) == [0.0, 1.0]
+
+
 def test_digest_of_no_span():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
