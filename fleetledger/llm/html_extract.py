@@ -28,7 +28,16 @@ CLOSES = {"p": ({"p"}, {"button", "table", "td", "th"}), "li": ({"li"}, {"ul", "
 ENDS_P = BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "summary", "figcaption"}
 #: Elements, and words in class, id or role, that never hold an article's own text.
 SKIP = frozenset("nav header footer aside form script style noscript iframe template textarea title head button select menu dialog svg object".split())
-_BOILER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|respond|cookies?|consent|disclaimer|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|complementary|contentinfo|search)(?:$|[\s_-])", re.IGNORECASE)
+_BOILER = re.compile(
+    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|banner|container)|advert\w*|alerts?|announcements?|banner|breadcrumbs?"
+    r"|comments?|comment(?:list|form|box|area|section|thread)|discussion|replies|respond|cookies?|consent|disclaimer"
+    r"|(?:page|site)?footer|(?:page|site)?header|masthead|menu|modal|(?:main|side|sub|site|top)?nav|navbar|navigation"
+    r"|newsletter|notices?|pagination|popup|promo\w*|related|share|sharing|side[_-]?bar|social|sponsor\w*|subscribe"
+    r"|toolbar|widget|complementary|contentinfo|search)(?:$|[\s_-])",
+    re.IGNORECASE,
+)
+#: Names of layouts, such as has-sidebar, say what stands beside an element and not what it is.
+_BESIDE = re.compile(r"(?<!\S)(?:has|no|with|without)[_-]\S+", re.IGNORECASE)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|([^<]+|<)", re.DOTALL)
 _MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 #: Longest repeat that is looked for, most items of one element before it becomes a repeat of options, deepest nesting kept.
@@ -48,7 +57,9 @@ class Element:
         return f"{self.name} {self.marks}" if self.marks else self.name
 
     def boiler(self) -> bool:
-        return self.name in SKIP or bool(self.marks and _BOILER.search(self.marks))
+        if self.name in SKIP:
+            return True
+        return bool(self.marks) and self.name not in ("html", "body", "main") and bool(_BOILER.search(_BESIDE.sub("", self.marks)))
 
 
 def parse(page: str) -> Element:

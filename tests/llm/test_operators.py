@@ -401,6 +401,20 @@ def test_html_edges(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("marks", ["commentlist", "comment-form", "reader-comments", "side-bar", "sidebar_left", "topnav", "site-header", "pagefooter", "alert alert-info", "adslot", "ad-unit", "cookie-notice", "discussion"])
+def test_html_marks_of_what_is_no_article(marks):
+    page = f"<body class='home has-sidebar'><main class='with-sidebar no-comments'><h1>Title</h1><p>One</p><div class='{marks}'><p>out</p></div><p>Two</p></main></body>"
+    tree = html_extract.parse(page)
+    assert html_extract.main_text(tree, html_extract.content_path(html_extract.wrap(tree))) == "Title\nOne\nTwo"
+
+
+@pytest.mark.parametrize("marks", ["commentary", "shared-history", "subnavigate", "noticeable", "has-sidebar", "researcher"])
+def test_html_marks_of_articles(marks):
+    tree = html_extract.parse(f"<body><article><p>One</p><section class='{marks}'><p>Two</p></section></article></body>")
+    want = "One" if marks == "header-less" else "One\nTwo"  # a name with "header" as a part of its own counts
+    assert html_extract.main_text(tree, html_extract.content_path(html_extract.wrap(tree))) == "One\nTwo"
+
+
 # pipeline
 
 
