@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetledger.functions.versions import parsed
+from fleetledger.functions.versions import parsed, version_key
 
 
 def latest_scan(scans: DataFrame) -> DataFrame:
@@ -15,18 +15,21 @@ def latest_scan(scans: DataFrame) -> DataFrame:
 
 
 def inventory(scans: DataFrame, packages: DataFrame) -> DataFrame:
-    """Distinct packages of each asset's last scan."""
-    return latest_scan(scans).select("scan_id", "asset_id").join(packages, "scan_id").select("asset_id", "scan_id", "ecosystem", "name", "version", "vkey").distinct()
+    """Distinct packages of each asset's last scan. Keys are made after the distinct: arrays are neither shuffled nor compared."""
+    found = latest_scan(scans).select("scan_id", "asset_id").join(packages, "scan_id").select("asset_id", "scan_id", "ecosystem", "name", "version").distinct()
+    return found.withColumn("vkey", version_key(F.col("version")))
 
 
 def match_vulnerabilities(installed: DataFrame, advisories: DataFrame) -> DataFrame:
     """Pairs of equal ecosystem and name with the version in [introduced, fixed); no fix: no upper end.
 
     An equi-join with a range on the keys. Spark broadcasts the advisories if they measure small, else both sides are
-    shuffled by (ecosystem, name) and adaptive execution splits packages that very many assets have.
+    shuffled by (ecosystem, name) and adaptive execution splits packages that very many assets have. Versions that can't
+    be ordered match nothing; this is asked of candidates only, as a filter it would be pushed to every row scanned.
     """
-    i, a = installed.where(parsed(F.col("vkey"))).alias("i"), advisories.alias("a")
-    within = (F.col("i.vkey") >= F.col("a.ikey")) & (F.col("a.fkey").isNull() | (F.col("i.vkey") < F.col("a.fkey")))
+    i, a = installed.alias("i"), advisories.alias("a")
+    inside = (F.col("i.vkey") >= F.col("a.ikey")) & (F.col("a.fkey").isNull() | (F.col("i.vkey") < F.col("a.fkey")))
+    within = F.when(parsed(F.col("i.vkey")), inside).otherwise(False)
     both = i.join(a, (F.col("i.ecosystem") == F.col("a.ecosystem")) & (F.col("i.name") == F.col("a.name")) & within)
     return both.select("i.*", "a.advisory_id", "a.introduced", "a.fixed", "a.fkey", "a.severity")
 
