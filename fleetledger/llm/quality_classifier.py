@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +24,28 @@ _OF_BYTE = np.zeros(256, np.int64)
 for _k, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r\v\f", b".", b",;:", b"!", b"?", b"*#$%&", b"|<>", b"'\"`", b"()[]{}", b"@+=/\\_-^~")):
     _OF_BYTE[list(_chars)] = _k + 1
 _OF_BYTE[128:] = 15
-#: Terms: triples of character classes, the share of words equal to the one before, and how many words are new.
-TERMS = _CLASSES**3 + 2
+#: Terms: hashed words of the whole text; further ones: triples of character classes, the share of words equal to the one
+#: before, and how many words are new. Relative frequencies of words and of triples are
+#: multiplied by these weights.
+WORD_TERMS, SHAPES = 1 << 16, _CLASSES**3
+TERMS = WORD_TERMS + SHAPES + 2
+WORD_WEIGHT, SHAPE_WEIGHT = 0.5, 1.0
+#: Words are runs without spaces and punctuation; from Thai on, scripts that put no spaces between words give pairs of characters.
+_WORD = re.compile("[^\\s!-/:-@\\[-`{-\xbf\u060c\u061b\u061f\u06d4\u0964\u0965\u2000-\u206f\u3000-\u303f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
+_UNSPACED = "\u0e00"
+#: Columns of the term matrix that the driver holds as numbers at one time.
+COLUMNS = 4096
+
+
+def words_of(text: str) -> Counter:
+    """How often each word occurs, in lower case."""
+    found = Counter(_WORD.findall(text.lower()))
+    if not text.isascii():
+        for w in [w for w in found if len(w) > 2 and max(w) >= _UNSPACED]:
+            n = found.pop(w)
+            for pair in map("".join, zip(w, w[1:])):
+                found[pair] += n
+    return found
 
 
 def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -31,20 +54,24 @@ def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     c = _OF_BYTE[np.frombuffer(raw, np.uint8)]
     if len(c) < 3:
         return np.empty(0, np.int64), np.empty(0)
-    n = np.bincount(c[:-2] * 256 + c[1:-1] * 16 + c[2:], minlength=TERMS).astype(np.float64)
+    counts = words_of(text)
+    hashed = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in counts), np.int64, len(counts)) % WORD_TERMS
+    words, which = np.unique(hashed, return_inverse=True)
+    weights = np.bincount(which, np.fromiter(counts.values(), np.float64, len(counts)), len(words)) * (WORD_WEIGHT / max(1, counts.total()))
+    n = np.bincount(c[:-2] * 256 + c[1:-1] * 16 + c[2:], minlength=SHAPES + 2).astype(np.float64)
     n[0] = 0
-    n /= max(1.0, n.sum())
-    words = raw.split()
-    if words:
-        n[-2] = sum(map(bytes.__eq__, words[1:], words)) / len(words)
-        n[-1] = (1 - len(set(words)) / len(words)) ** 2
+    n *= SHAPE_WEIGHT / max(1.0, n.sum())
+    tokens = raw.split()
+    if tokens:
+        n[-2] = sum(map(bytes.__eq__, tokens[1:], tokens)) / len(tokens)
+        n[-1] = (1 - len(set(tokens)) / len(tokens)) ** 2
     at = np.flatnonzero(n)
-    return at, np.sqrt(n[at])
+    return np.concatenate([words, at + WORD_TERMS]), np.sqrt(np.concatenate([weights, n[at]]))
 
 
 @dataclass
 class Model:
-    """Projection of weighted terms (inverse document frequency times right singular vectors), labelled unit vectors, their labels."""
+    """Projection of weighted terms, words among them (inverse document frequency times right singular vectors), labelled unit vectors, their labels."""
 
     projection: np.ndarray
     vectors: np.ndarray
@@ -73,7 +100,34 @@ class Model:
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         got = [terms(t.as_py()) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.float64()))], ["doc_id", "at", "w"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0].astype("<i4").tobytes() for g in got], pa.binary()), pa.array([g[1].astype("<f8").tobytes() for g in got], pa.binary())], ["doc_id", "at", "w"])
+
+
+def project(found: list[tuple[np.ndarray, np.ndarray]], dimensions: int) -> np.ndarray:
+    """Inverse document frequency times the first right singular vectors of the term matrix, made COLUMNS columns at a time."""
+    doc = np.repeat(np.arange(len(found)), [len(at) for at, _ in found])
+    term, w = np.concatenate([at for at, _ in found]), np.concatenate([w for _, w in found])
+    idf = np.log((1 + len(found)) / (1 + np.bincount(term, minlength=TERMS)))
+    order = np.argsort(term, kind="stable")
+    doc, term, w = doc[order], term[order], (w * idf[term])[order]
+
+    def blocks() -> Iterator[tuple[int, np.ndarray]]:
+        for first in range(0, TERMS, COLUMNS):
+            a, b = np.searchsorted(term, [first, first + COLUMNS])
+            if a < b:
+                m = np.zeros((len(found), min(COLUMNS, TERMS - first)))
+                m[doc[a:b], term[a:b] - first] = w[a:b]
+                yield first, m
+
+    gram = np.zeros((len(found), len(found)))
+    for _, m in blocks():
+        gram += m @ m.T
+    values, left = np.linalg.eigh(gram)
+    keep = [i for i in np.argsort(-values)[:dimensions] if values[i] > 1e-9 * max(values.max(), 1e-12)]
+    right = np.zeros((TERMS, len(keep)))
+    for first, m in blocks():
+        right[first : first + m.shape[1]] = m.T @ left[:, keep] / np.sqrt(values[keep])
+    return idf[:, None] * right
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dimensions: int = DIMENSIONS) -> Model:
@@ -88,19 +142,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dimensio
     for r in order(0).union(order(1)).collect():
         quality.setdefault(r.id, []).append(r.quality)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isin(list(quality))).groupBy("doc_id").agg(F.min("text").alias("text"))
-    rows = sorted(texts.mapInArrow(_featurize, "doc_id long, at array<long>, w array<double>").collect(), key=lambda r: (r.doc_id, r["at"], r["w"])) if quality else []
+    rows = sorted(texts.mapInArrow(_featurize, "doc_id long, at binary, w binary").collect(), key=lambda r: r.doc_id) if quality else []
     if not rows:
         return Model(np.zeros((TERMS, 1)), np.zeros((0, 1)), np.zeros(0))
-    m = np.zeros((len(rows), TERMS))
-    for i, r in enumerate(rows):
-        m[i, r["at"]] = r["w"]
-    idf = np.log((1 + len(rows)) / (1 + (m > 0).sum(axis=0)))
-    gram = (m * idf) @ (m * idf).T
-    values, left = np.linalg.eigh(gram)
-    keep = [i for i in np.argsort(-values)[:dimensions] if values[i] > 1e-9 * max(values.max(), 1e-12)]
-    right = (m * idf).T @ left[:, keep] / np.sqrt(values[keep])
-    model = Model(idf[:, None] * right, np.zeros((0, 1)), np.zeros(0))
-    v = model.embed([(np.array(r["at"], np.int64), np.array(r["w"])) for r in rows])
+    found = [(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["w"], "<f8")) for r in rows]
+    model = Model(project(found, dimensions), np.zeros((0, 1)), np.zeros(0))
+    v = model.embed(found)
     ones = [q for r in rows for q in quality[r.doc_id]]
     return Model(model.projection, np.repeat(v, [len(quality[r.doc_id]) for r in rows], axis=0), np.array(ones, np.float64))
 

@@ -121,6 +121,19 @@ def test_quality_classifier_edges(spark, edge):
     assert quality_classifier.score_quality(edge.limit(0), model).count() == 0 and quality_classifier.keep_quality(edge, model).columns == edge.columns
 
 
+@pytest.mark.parametrize("good,bad", [("warm river stone", "cold virus money"), ("река камень", "вирус деньги"), ("河流石头森林", "病毒金钱广告"), ("แม่น้ำหินป่า", "ไวรัสเงินขาย")])
+def test_quality_classifier_reads_words(spark, good, bad):
+    """Texts of one shape, in any script, differ by their words; long runs without spaces share pairs of characters."""
+    shaped = lambda t: {int(x) for x in quality_classifier.terms(t)[0] if x >= quality_classifier.WORD_TERMS}
+    worded = lambda t: {int(x) for x in quality_classifier.terms(t)[0] if x < quality_classifier.WORD_TERMS}
+    assert shaped("warm river") == shaped("cold virus") and worded(good) - worded(bad) and worded(bad) - worded(good) and worded(good) & worded(f"{good} {good[:3]}")
+    rows = [(i, f"{(good, bad)[i % 2]} {'x' * (i // 2 + 1)}") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality_classifier.fit(d, spark.createDataFrame([(i, 1 - i % 2) for i in range(30)], "doc_id long, quality int"))
+    got = {r.doc_id: r.score for r in quality_classifier.score_quality(d, model).where("doc_id >= 30").collect()}
+    assert all((s > 0.5) == (i % 2 == 0) for i, s in got.items())
+
+
 # 4
 
 
