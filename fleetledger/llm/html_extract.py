@@ -40,7 +40,8 @@ _BOILER = re.compile(
 _BESIDE = re.compile(r"(?<!\S)(?:has|no|with|without)[_-]\S+", re.IGNORECASE)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|([^<]+|<)", re.DOTALL)
 _MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-#: Longest repeat that is looked for, most items of one element before it becomes a repeat of options, deepest nesting kept.
+#: Longest repeat that is looked for, most items of one element before it becomes a repeat of options, levels of a
+#: wrapper: what lies deeper is one slot of it. The tree that texts are read from has all levels.
 PERIOD, WIDEST, DEEPEST = 4, 24, 60
 #: Wrappers of one host merged in one call, and characters of rules that may be broadcast.
 FAN_IN, BROADCAST_CHARS = 64, 16_000_000
@@ -66,6 +67,19 @@ def parse(page: str) -> Element:
     """The element tree of a page; texts are strings among the items. Missing end tags are supplied, stray ones ignored."""
     root = Element("#page")
     stack, at, n = [root], 0, len(page)
+    where: dict[str, list[int]] = {}  # depths of the open elements of each name, and of all blocks: no tag searches the stack
+    blocks = [0]
+
+    def close(depth: int) -> None:
+        for e in reversed(stack[depth:]):
+            where[e.name].pop()
+            if e.name in BLOCKS:
+                blocks.pop()
+        del stack[depth:]
+
+    def last(names: set[str]) -> int:
+        return max((where[k][-1] for k in names if where.get(k)), default=0)
+
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -76,10 +90,8 @@ def parse(page: str) -> Element:
             continue
         name = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
+            if where.get(name):
+                close(where[name][-1])
             continue
         if name in CLOSES:
             own, fence = CLOSES[name]
@@ -88,12 +100,9 @@ def parse(page: str) -> Element:
         else:
             own, fence = (), ()
         if own:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in own:
-                    del stack[i:]
-                    break
-                if stack[i].name in fence or (stack[i].name in BLOCKS and name not in ("tr", "td", "th")):
-                    break
+            fenced = last(fence) if name in ("tr", "td", "th") else max(last(fence), blocks[-1])
+            if (mine := last(own)) and mine >= fenced:
+                close(mine)
         marks = " ".join(a or b or c for _, a, b, c in sorted(_MARK.findall(m[3]))) if "=" in m[3] else ""
         e = Element(name, marks)
         stack[-1].items.append(e)
@@ -101,7 +110,10 @@ def parse(page: str) -> Element:
             end = re.compile(f"</{name}(?=[\\s/>]|$)", re.IGNORECASE).search(page, at)
             e.items.append(page[at : end.start() if end else n])
             at = n if not end else (page.find(">", end.end()) + 1 or n)
-        elif name not in VOID and not m[3].endswith("/") and len(stack) < DEEPEST:
+        elif name not in VOID and not m[3].endswith("/"):
+            where.setdefault(name, []).append(len(stack))
+            if name in BLOCKS:
+                blocks.append(len(stack))
             stack.append(e)
     return root
 
@@ -110,15 +122,29 @@ def parse(page: str) -> Element:
 # key "": a group, body its items; else an element, body its items.
 
 
-def wrap(e: Element) -> list:
+def deep_chars(e: Element) -> int:
+    """Characters of an element's texts, outside links and what never holds an article's text."""
+    total, todo = 0, [e]
+    while todo:
+        for x in todo.pop().items:
+            if isinstance(x, str):
+                total += len(" ".join(x.split()))
+            elif not (x.name in RAW or x.name == "a" or x.boiler()):
+                todo.append(x)
+    return total
+
+
+def wrap(e: Element, depth: int = 0) -> list:
     """The wrapper of one page."""
+    if depth == DEEPEST:
+        return [["#", 0, 0, [None, chars, 1]]] if (chars := deep_chars(e)) else []
     items = []
     for x in e.items:
         if isinstance(x, str):
             if (text := " ".join(x.split())) and e.name not in RAW:
                 items.append(["#", 0, 0, [hash_of(text), len(text), 1]])
         elif not (x.name in RAW or x.name in VOID):
-            items.append([x.key, 0, 0, wrap(x)])
+            items.append([x.key, 0, 0, wrap(x, depth + 1)])
     return fold(items)
 
 
@@ -255,26 +281,27 @@ def main_text(root: Element, path: list[str]) -> str:
         places = [x for p in places for x in p.items if isinstance(x, Element) and x.key == key]
     if not path or not places:
         places = _own(root)
+    elif len(path) >= DEEPEST:  # the wrapper does not tell what lies below
+        places = [x for p in places for x in _own(p)]
     blocks: list[list[str]] = [[]]
 
-    def walk(e: Element) -> None:
-        for x in e.items:
-            if isinstance(x, str):
+    for p in places:
+        blocks.append([])
+        todo: list[Element | str | None] = p.items[::-1]
+        while todo:
+            x = todo.pop()
+            if x is None:
+                blocks.append([])
+            elif isinstance(x, str):
                 blocks[-1].append(x)
-            elif x.boiler():
+            elif x.boiler() or x.name == "br":
                 blocks[-1].append(" ")
             elif x.name in BLOCKS:
                 blocks.append([])
-                walk(x)
-                blocks.append([])
-            elif x.name == "br":
-                blocks[-1].append(" ")
+                todo.append(None)
+                todo += reversed(x.items)
             elif x.name not in RAW:
-                walk(x)
-
-    for p in places:
-        blocks.append([])
-        walk(p)
+                todo += reversed(x.items)
     texts = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
     return "\n".join(t for t in texts if t)
 

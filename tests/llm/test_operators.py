@@ -428,6 +428,20 @@ def test_html_marks_of_articles(marks):
     assert html_extract.main_text(tree, html_extract.content_path(html_extract.wrap(tree))) == "One\nTwo"
 
 
+def _main(page):
+    tree = html_extract.parse(page)
+    return html_extract.main_text(tree, html_extract.content_path(html_extract.wrap(tree)))
+
+
+def test_html_deep_nesting():
+    deep = "<div>" * 70 + "deep<nav>menu</nav>" + "</div>" * 70
+    assert _main(f"<html><body><div id='page'><article>{deep}<p>after</p></article><p>out</p></div></body></html>") == "deep\nafter"
+    unclosed = "<font>line<br>" * 80
+    assert _main(f"<body><article><div>{unclosed}<div>x</div></div><p>after</p></article></body>").endswith("x\nafter")
+    assert _main("<body>" + "<div>" * 70 + "<article><p>in</p></article><p>out</p>") == "in"
+    assert _main("<body><article>" + "<div>" * 20000 + "deep" + "</div></b>" * 20000 + "<p>after") == "deep\nafter"
+
+
 # pipeline
 
 
