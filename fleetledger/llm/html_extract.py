@@ -26,7 +26,8 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 #: A start tag ends an open element of these names, up to the nearest element of those.
 CLOSES = {"p": ({"p"}, {"button", "table", "td", "th"}), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ENDS_P = BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "summary", "figcaption"}
-#: Elements, and words in class, id or role, that never hold an article's own text.
+#: Elements that never hold an article's own text, and words in class or role that say so of blocks. Headings, inline
+#: elements, html, body and main are judged by no name.
 SKIP = frozenset("nav header footer aside form script style noscript iframe template textarea title head button select menu dialog svg object".split())
 _BOILER = re.compile(
     r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|banner|container)|advert\w*|alerts?|announcements?|banner|breadcrumbs?"
@@ -36,10 +37,25 @@ _BOILER = re.compile(
     r"|toolbar|widget|complementary|contentinfo|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+NAMED = BLOCKS - {"html", "body", "main", "hr", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: Ids are often made from headings: they count as a whole, on plain containers, and not if they could be a heading's text.
+HOLDERS = frozenset("div aside ul ol menu dl table center fieldset details".split())
+_BOILER_ID = re.compile(
+    r"(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|reader|user|cookie)[_-]?)?"
+    r"(?:ads?|ad(?:box|slot|unit|banner|container)|breadcrumbs?|comments?|comment[_-]?(?:list|form|box|area|section|thread)|respond"
+    r"|cookies?|cookie[_-]?(?:banner|notice|consent)|footer|header|masthead|menu|nav|navbar|navigation|newsletter|pagination"
+    r"|popup|modal|side[_-]?bar|toolbar|(?:share|social|search|related)[_-](?:box|bar|buttons?|links?|icons?|form|posts?|articles?))"
+    r"(?:[_-]?(?:area|wrap|wrapper|container|inner|left|right|primary|secondary|\d+))?",
+    re.IGNORECASE,
+)
+_SECTION = re.compile(r"(?<!\S)section(?!\S)", re.IGNORECASE)
+#: Names of an article's own header.
+_OWN_HEADER = re.compile(r"(?<!\S)(?:entry|post|article|story|content|section)[_-]header(?!\S)", re.IGNORECASE)
+_PLAIN_HEADER = re.compile(r"(?<!\S)(?:page[_-]?)?header(?!\S)", re.IGNORECASE)
 #: Names of layouts, such as has-sidebar, say what stands beside an element and not what it is.
 _BESIDE = re.compile(r"(?<!\S)(?:has|no|with|without)[_-]\S+", re.IGNORECASE)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|([^<]+|<)", re.DOTALL)
-_MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+_MARK = re.compile(r"(?<![\w:.-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 #: Longest repeat that is looked for, most items of one element before it becomes a repeat of options, levels of a
 #: wrapper: what lies deeper is one slot of it. The tree that texts are read from has all levels.
 PERIOD, WIDEST, DEEPEST = 4, 24, 60
@@ -48,19 +64,27 @@ FAN_IN, BROADCAST_CHARS = 64, 16_000_000
 
 
 class Element:
-    __slots__ = ("name", "marks", "items")
+    """marks: class, id and role for the key; names: class and role; inside: in an article, a section or the main element."""
+
+    __slots__ = ("name", "marks", "names", "ident", "inside", "items")
 
-    def __init__(self, name: str, marks: str = "") -> None:
-        self.name, self.marks, self.items = name, marks, []
+    def __init__(self, name: str, marks: str = "", names: str = "", ident: str = "", inside: bool = False) -> None:
+        self.name, self.marks, self.names, self.ident, self.inside, self.items = name, marks, names, ident, inside, []
 
     @property
     def key(self) -> str:
         return f"{self.name} {self.marks}" if self.marks else self.name
 
     def boiler(self) -> bool:
-        if self.name in SKIP:
+        own = self.name == "header" and self.inside
+        if self.name in SKIP and not own:
             return True
-        return bool(self.marks) and self.name not in ("html", "body", "main") and bool(_BOILER.search(_BESIDE.sub("", self.marks)))
+        if not (self.names or self.ident) or not (self.name in NAMED or "-" in self.name):
+            return False
+        names = _OWN_HEADER.sub("", _BESIDE.sub("", self.names))
+        if _BOILER.search(_PLAIN_HEADER.sub("", names) if own else names):
+            return True
+        return self.name in HOLDERS and not _SECTION.search(names) and bool(_BOILER_ID.fullmatch(self.ident))
 
 
 def parse(page: str) -> Element:
@@ -103,8 +127,10 @@ def parse(page: str) -> Element:
             fenced = last(fence) if name in ("tr", "td", "th") else max(last(fence), blocks[-1])
             if (mine := last(own)) and mine >= fenced:
                 close(mine)
-        marks = " ".join(a or b or c for _, a, b, c in sorted(_MARK.findall(m[3]))) if "=" in m[3] else ""
-        e = Element(name, marks)
+        found = sorted((k.lower(), a or b or c) for k, a, b, c in _MARK.findall(m[3])) if "=" in m[3] else []
+        marks, names = " ".join(v for _, v in found), " ".join(v for k, v in found if k != "id")
+        inside = name == "header" and bool(where.get("article") or where.get("main") or where.get("section"))
+        e = Element(name, marks, names, next((v.strip() for k, v in found if k == "id"), ""), inside)
         stack[-1].items.append(e)
         if name in RAW:
             end = re.compile(f"</{name}(?=[\\s/>]|$)", re.IGNORECASE).search(page, at)
@@ -143,7 +169,7 @@ def wrap(e: Element, depth: int = 0) -> list:
         if isinstance(x, str):
             if (text := " ".join(x.split())) and e.name not in RAW:
                 items.append(["#", 0, 0, [hash_of(text), len(text), 1]])
-        elif not (x.name in RAW or x.name in VOID):
+        elif not (x.name in RAW or x.name in VOID or x.boiler()):
             items.append([x.key, 0, 0, wrap(x, depth + 1)])
     return fold(items)
 
@@ -231,14 +257,14 @@ def align(a: list, b: list) -> list:
 
 
 def mass(items: list, linked: bool = False) -> int:
-    """Characters in slots that differ between pages, outside links and what never holds an article's text."""
+    """Characters in slots that differ between pages, outside links. What never holds an article's text is in no wrapper."""
     total = 0
     for key, _, _, body in items:
         if key == "#":
             total += 0 if linked or (body[0] is not None and body[2] > 1) else body[1]
         elif key == "":
             total += mass(body, linked)
-        elif not Element(*key.partition(" ")[::2]).boiler():
+        else:
             total += mass(body, linked or key.split(" ")[0] == "a")
     return total
 
@@ -253,8 +279,6 @@ def content_path(items: list) -> list[str]:
                 out += named(body, path) if key == "" else []
                 continue
             name, _, marks = key.partition(" ")
-            if Element(name, marks).boiler():
-                continue
             if name in ("article", "main") or re.search(r"\b(main|article)\b", marks):
                 out.append((mass(body) + (1 if name == "article" else 0), [*path, key]))
             out += named(body, [*path, key])
@@ -278,7 +302,7 @@ def main_text(root: Element, path: list[str]) -> str:
     """Blocks of all elements at the path, else of the page's own article, main element or body."""
     places = [root]
     for key in path:
-        places = [x for p in places for x in p.items if isinstance(x, Element) and x.key == key]
+        places = [x for p in places for x in p.items if isinstance(x, Element) and x.key == key and not x.boiler()]
     if not path or not places:
         places = _own(root)
     elif len(path) >= DEEPEST:  # the wrapper does not tell what lies below

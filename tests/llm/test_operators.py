@@ -442,6 +442,19 @@ def test_html_deep_nesting():
     assert _main("<body><article>" + "<div>" * 20000 + "deep" + "</div></b>" * 20000 + "<p>after") == "deep\nafter"
 
 
+@pytest.mark.parametrize("part", [
+    "<section id='discussion'><p>Two</p></section>", "<h2 id='related-work'>Two</h2>", "<h2 id='social-impact' class='notice'>Two</h2>", "<p><span class='mw-headline' id='Discussion'>Two</span></p>", "<div class='section' id='search'><p>Two</p></div>",
+    "<div id='related'><p>Two</p></div>", "<p id='alert'>Two</p>", "<header><h2>Two</h2></header>", "<header class='entry-header'><h2>Two</h2></header>", "<div class='post-header'><p>Two</p></div>",
+])
+def test_html_names_of_article_parts(part):
+    assert _main(f"<body><header>Site</header><article><p>One</p>{part}<p>Three</p></article></body>") == "One\nTwo\nThree"
+
+
+@pytest.mark.parametrize("part", ["<div id='comments'><h3>Comments</h3></div>", "<div id='site-footer'>out</div>", "<ul class='share'><li>out</ul>", "<section role='complementary'>out</section>", "<aside>out</aside>"])
+def test_html_names_of_other_parts(part):
+    assert _main(f"<body><header>Site</header><article><p>One</p>{part}<p>Three</p></article></body>") == "One\nThree"
+
+
 # pipeline
 
 
