@@ -11,7 +11,9 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -59,6 +61,9 @@ _MARK = re.compile(r"(?<![\w:.-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 #: Longest repeat that is looked for, most items of one element before it becomes a repeat of options, levels of a
 #: wrapper: what lies deeper is one slot of it. The tree that texts are read from has all levels.
 PERIOD, WIDEST, DEEPEST = 4, 24, 60
+#: A class, id or role that is on less than one of so many pages of its host, or on one page only, is no layout's.
+RARE = 20
+_DIGITS = re.compile(r"\d+")
 #: Wrappers of one host merged in one call, and characters of rules that may be broadcast.
 FAN_IN, BROADCAST_CHARS = 64, 16_000_000
 
@@ -87,8 +92,20 @@ class Element:
         return self.name in HOLDERS and not _SECTION.search(names) and bool(_BOILER_ID.fullmatch(self.ident))
 
 
-def parse(page: str) -> Element:
-    """The element tree of a page; texts are strings among the items. Missing end tags are supplied, stray ones ignored."""
+def masked(mark: str) -> str:
+    return _DIGITS.sub("0", mark)
+
+
+def layout(marks: str, kept: frozenset[str]) -> str:
+    """The marks that are in kept, as they are or with their digits masked."""
+    return " ".join(v if v in kept else masked(v) for v in marks.split() if v in kept or masked(v) in kept)
+
+
+def parse(page: str, kept: frozenset[str] | None = None) -> Element:
+    """The element tree of a page; texts are strings among the items. Missing end tags are supplied, stray ones ignored.
+
+    Keys of elements have only the marks in kept; all marks without it.
+    """
     root = Element("#page")
     stack, at, n = [root], 0, len(page)
     where: dict[str, list[int]] = {}  # depths of the open elements of each name, and of all blocks: no tag searches the stack
@@ -129,6 +146,7 @@ def parse(page: str) -> Element:
                 close(mine)
         found = sorted((k.lower(), a or b or c) for k, a, b, c in _MARK.findall(m[3])) if "=" in m[3] else []
         marks, names = " ".join(v for _, v in found), " ".join(v for k, v in found if k != "id")
+        marks = marks if kept is None else layout(marks, kept)
         inside = name == "header" and bool(where.get("article") or where.get("main") or where.get("section"))
         e = Element(name, marks, names, next((v.strip() for k, v in found if k == "id"), ""), inside)
         stack[-1].items.append(e)
@@ -344,13 +362,63 @@ def _own(root: Element) -> list[Element]:
     return [root]
 
 
-def wrappers(pages: DataFrame, host: str = "host", page: str = "html") -> DataFrame:
-    """(host, wrapper): the wrapper of all pages of every host.
+def common_marks(pages: DataFrame) -> DataFrame:
+    """(host, kept): for every host with two pages or more, the classes, ids and roles of its layout as a JSON list.
 
-    Tasks merge the pages that they read, so nothing but wrappers (whose size is bounded by the layout) is shuffled;
-    then at most FAN_IN wrappers of a host are merged in a call, level by level, however many tasks saw the host.
+    Counted with and without masked digits. A host has at most RARE times as many of them as a page has marks.
     """
 
+    def rows(n: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], ["host", "mark", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        for b in batches:
+            for h, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found = {v for _, x, y, z in _MARK.findall(t.as_py() or "") for v in (x or y or z).split()}
+                n.update((h, v) for v in found | {masked(v) for v in found})
+                n[h, ""] += 1  # the page itself
+                if len(n) > 50_000:
+                    yield rows(n)
+                    n = Counter()
+        yield rows(n)
+
+    counts = cut(pages.select("host", "html").mapInArrow(count, "host string, mark string, n long").groupBy("host", "mark").agg(F.sum("n").alias("n")).where("n > 1"), "html-marks")
+    hosts = counts.where("mark = ''").select(F.col("host").alias("of"), F.col("n").alias("pages"))
+    both = hosts.join(counts.where("mark <> ''"), (F.col("host") == F.col("of")) & (F.col("n") * RARE >= F.col("pages")), "left")
+    return both.groupBy(F.col("of").alias("host")).agg(F.to_json(F.sort_array(F.collect_list("mark"))).alias("kept"))
+
+
+def noted(pages: DataFrame, notes: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch], list[str | None]]]:
+    """pages, and what reads the notes (host, text) of a batch's rows: broadcast if they measure at most BROADCAST_CHARS, else joined."""
+    host, note = notes.columns
+    if (notes.agg(F.sum(F.length(host) + F.length(note))).first()[0] or 0) <= BROADCAST_CHARS:
+        shared = pages.sparkSession.sparkContext.broadcast({r[0]: r[1] for r in notes.collect()})
+        return pages, lambda b: [shared.value.get(h) for h in b.column("host").to_pylist()]
+    own = notes.toDF("note_host", "note")
+    return pages.join(own, F.col("host") == F.col("note_host"), "left").drop("note_host"), lambda b: b.column("note").to_pylist()
+
+
+@lru_cache(256)
+def kept_of(note: str | None) -> frozenset[str] | None:
+    return None if note is None else frozenset(json.loads(note))
+
+
+@lru_cache(256)
+def rule_of(note: str | None) -> tuple[list[str], frozenset[str] | None]:
+    path, kept = json.loads(note or "[[], null]")
+    return path, None if kept is None else frozenset(kept)
+
+
+def wrappers(pages: DataFrame, kept: DataFrame) -> DataFrame:
+    """(host, wrapper): the wrapper of all pages (host, html) of every host; kept: common_marks of them.
+
+    Keys have no marks but the layout's, so a wrapper's size is bounded by the layout and not by the number of pages.
+    Tasks merge the pages that they read and nothing but wrappers is shuffled; then at most FAN_IN wrappers of a host
+    are merged in a call, level by level, however many tasks saw the host.
+    """
+    pages, note = noted(pages.select("host", "html"), kept)
+
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, own = TaskContext.get().partitionId(), {}
 
@@ -358,8 +426,8 @@ def wrappers(pages: DataFrame, host: str = "host", page: str = "html") -> DataFr
             return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([part] * len(own), pa.int64()), pa.array([json.dumps(w) for w in own.values()], pa.string())], ["host", "part", "wrapper"])
 
         for b in batches:
-            for h, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                w = wrap(parse(t.as_py() or ""))
+            for h, t, k in zip(b.column(0).to_pylist(), b.column(1), note(b), strict=True):
+                w = wrap(parse(t.as_py() or "", kept_of(k)))
                 own[h] = align(own[h], w) if h in own else w
             if len(own) > 2000:
                 yield rows()
@@ -374,8 +442,7 @@ def wrappers(pages: DataFrame, host: str = "host", page: str = "html") -> DataFr
         return pa.table({"host": batch.column("host").slice(0, 1), "part": pa.array([rows[0][0] // FAN_IN], pa.int64()), "wrapper": pa.array([json.dumps(out)], pa.string())})
 
     schema = "host string, part long, wrapper string"
-    small_batches(pages.sparkSession)
-    level = cut(pages.select(F.col(host).alias("host"), F.col(page).cast("string").alias("html")).mapInArrow(within, schema), "html-wrappers")
+    level = cut(pages.mapInArrow(within, schema), "html-wrappers")
     while (level.agg(F.max("part")).first()[0] or 0) > 0:
         salt = F.floor(F.col("part") / FAN_IN).alias("salt")
         level = cut(level.groupBy("host", salt).applyInArrow(merged, schema), "html-wrappers")
@@ -391,8 +458,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
 
     A null or empty html, or one without text, gives text '' and 0. Pages with a null url share the host ''. A host
     with one page has a wrapper without differences, whose main element is still found by name or mass. Repeated rows
-    come back each; extra columns are ignored. The main elements' paths are broadcast if they measure at most
-    BROADCAST_CHARS, else joined to the pages by host.
+    come back each; extra columns are ignored. The hosts' common marks and main elements' paths are broadcast if they
+    measure at most BROADCAST_CHARS, else joined to the pages by host.
     """
     spark = pages.sparkSession
     p = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html")).withColumn("host", host_of(F.col("url")))
@@ -401,28 +468,26 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([json.dumps(content_path(json.loads(w.as_py()))) for w in b.column(1)], pa.string())], ["host", "path"])
 
-    paths = cut(wrappers(p).mapInArrow(to_path, "host string, path string"), "html-paths")
-    chars = paths.agg(F.sum(F.length("host") + F.length("path"))).first()[0] or 0
+    small_batches(spark)
+    kept = cut(common_marks(p), "html-kept")
+    paths = cut(wrappers(p, kept).mapInArrow(to_path, "host string, path string"), "html-paths")
+    rule = F.concat(F.lit("["), F.col("path"), F.lit(","), F.coalesce("kept", F.lit("null")), F.lit("]")).alias("rule")
+    own = kept.withColumnRenamed("host", "kept_host")
+    p, note = noted(p, cut(paths.join(own, F.col("host") == F.col("kept_host"), "left").select("host", rule), "html-rules"))
     kind = f"page_id {dict(p.dtypes)['page_id']}, url string, text string, n_chars long"
 
     def done(b: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    if chars <= BROADCAST_CHARS:
-        shared = spark.sparkContext.broadcast({r.host: json.loads(r.path) for r in paths.collect()})
-
-        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield done(b, [main_text(parse(t.as_py() or ""), shared.value.get(h.as_py(), [])) for h, t in zip(b.column(3), b.column(2), strict=True)])
-
-        return p.mapInArrow(work, kind)
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield done(b, [main_text(parse(t.as_py() or ""), json.loads(w.as_py() or "[]")) for w, t in zip(b.column(3), b.column(2), strict=True)])
+            texts = []
+            for t, k in zip(b.column(2), note(b), strict=True):
+                path, kept = rule_of(k)
+                texts.append(main_text(parse(t.as_py() or "", kept), path))
+            yield done(b, texts)
 
-    own = paths.withColumnRenamed("host", "path_host")
-    return p.join(own, F.col("host") == F.col("path_host"), "left").select("page_id", "url", "html", "path").mapInArrow(joined, kind)
+    return p.mapInArrow(work, kind)
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -455,6 +455,21 @@ def test_html_names_of_other_parts(part):
     assert _main(f"<body><header>Site</header><article><p>One</p>{part}<p>Three</p></article></body>") == "One\nThree"
 
 
+@pytest.mark.parametrize("limit", [html_extract.BROADCAST_CHARS, 0])
+def test_html_marks_of_single_pages(spark, monkeypatch, limit):
+    """Marks that differ from page to page are no part of keys: wrappers do not grow and one path fits all pages."""
+    monkeypatch.setattr(html_extract, "BROADCAST_CHARS", limit)
+    word = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    page = lambda i: f"<body class='home postid-{i}'><div class='col-4'><p>Side {i} of it</p></div><div id='post-{i}' class='col-8 tag-{word(i)}'><div class='x{word(i)}'><p>Text {i} of a page, long enough to be it</p></div></div></body>"
+    size = {}
+    for n in (30, 120):
+        p = spark.createDataFrame([(i, "http://h/", page(i)) for i in range(n)], "page_id long, url string, html string").repartition(3)
+        own = p.withColumn("host", F.lit("h"))
+        size[n] = len(html_extract.wrappers(own, html_extract.common_marks(own)).first().wrapper)
+        assert {r.page_id: r.text for r in html_extract.extract(p).collect()} == {i: f"Text {i} of a page, long enough to be it" for i in range(n)}
+    assert size[120] < size[30] + 100
+
+
 # pipeline
 
 
