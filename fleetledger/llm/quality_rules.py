@@ -14,6 +14,21 @@ WORD_BREAK = f"[{SPACES}]+"
 NOT_SYMBOLS = "[^#*$%&|<>]+"
 NOT_SEPARATORS = "[^|»›·]+"
 BOILERPLATE = "(?i)(all rights reserved|cookie policy|privacy policy|terms of (use|service)|click here|subscribe to|sign up|share this|powered by|licensed under|enable javascript)"
+#: The base rules above, which the SQL has too, know ASCII and English. What follows holds for other languages.
+#: Ends of sentences in any script; Thai and Lao mark none, so their letters are taken as such.
+SENTENCE_END = "[.!?…。！？｡．‼⁇⁈⁉।॥۔؟։።፧။៕། \u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ede]".replace(" ", "")
+QUOTED = "«[^«»]*»|»[^«»]*«|‹[^‹›]*›|›[^‹›]*‹"
+_SPACED = f"{SPACES}\u00a0\u202f"
+#: A bar, or one of »›· with space or an end of the line on both sides that does not follow the end of a sentence.
+SEPARATOR = rf"(?:\||(?<![^{_SPACED}])(?<![.!?…][{_SPACED}])[»›·](?![^{_SPACED}]))"
+MENU = f"{SEPARATOR}.*{SEPARATOR}|{SEPARATOR}[{_SPACED}]*$"
+BOILERPLATE_ELSEWHERE = (
+    r"(?iu)(?<!\p{L})(?=[acdhijklmnprstupé])(?:tous droits réservés|politique (?:de confidentialité|(?:de|en matière de|relative aux) cookies)|mentions légales|conditions (?:générales )?d['’]utilisation|cliquez ici|abonnez-vous|inscrivez-vous|partagez? cet article|propulsé par|sous licence|activez javascript"
+    r"|alle rechte vorbehalten|datenschutz(?:erklärung|richtlinie|bestimmungen)|cookie-richtlinie|nutzungsbedingungen|(?:klicken sie hier|hier klicken)|newsletter abonnieren|jetzt (?:anmelden|registrieren|abonnieren)|lizenziert unter|javascript aktivieren"
+    r"|todos los derechos reservados|política de (?:privacidad|cookies)|(?:términos|condiciones) (?:de uso|de servicio|del servicio)|(?:haga|haz) clic aquí|suscríb(?:ete|ase)|regístrate|comparte est[eo]|licenciado bajo|habilit[ae] javascript)"
+)
+#: Characters of scripts that put no spaces between words; two of them count as a word in kept.
+NOT_UNSPACED = "[^\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]+"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MIN_KEPT_PERCENT = 50
@@ -28,17 +43,17 @@ def count_of(line: Column, others: str) -> Column:
 def bad_punctuation(line: Column) -> Column:
     """Over a tenth symbols, over a tenth doubled exclamation marks, or long without any end of a sentence."""
     doubled = F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))
-    unended = (F.length(line) >= LONG_LINE) & ~line.rlike("[.!?…]")
+    unended = (F.length(line) >= LONG_LINE) & ~line.rlike(SENTENCE_END)
     return (count_of(line, NOT_SYMBOLS) * 10 > F.length(line)) | (doubled * 10 > F.length(line)) | unended
 
 
 def navigation(line: Column) -> Column:
-    """Menu entries: two separators or more, or one at the end."""
-    return (count_of(line, NOT_SEPARATORS) >= 2) | line.rlike(f"[|»›·][{SPACES}]*$")
+    """Menu entries: two separators or more, or one at the end. Quotation marks and letters such as l·l are none."""
+    return line.rlike("[|»›·]") & F.regexp_replace(line, QUOTED, "").rlike(MENU)
 
 
 def boilerplate(line: Column) -> Column:
-    return line.rlike(BOILERPLATE)
+    return line.rlike(BOILERPLATE) | line.rlike(BOILERPLATE_ELSEWHERE)
 
 
 def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -80,7 +95,11 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
         "__kept_chars": F.length(F.array_join("__kept", "")),
     })
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    df = df.withColumn("kept", ~F.col("base_failed") & (100 * F.col("__kept_chars") >= MIN_KEPT_PERCENT * F.col("__all_chars")))
+    # base_failed counts words by spaces; kept does not ask that of scripts without them
+    unspaced = F.when(F.col("__text").rlike("[\u0e00-\u9fff]"), count_of(F.col("__text"), NOT_UNSPACED)).otherwise(0)
+    few = (F.col("n_words") < MIN_WORDS) & (F.col("n_words") + unspaced / 2 < MIN_WORDS)
+    again = 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
+    df = df.withColumn("kept", ~few & ~again & (100 * F.col("__kept_chars") >= MIN_KEPT_PERCENT * F.col("__all_chars")))
     return df.drop("__text", "__w", "__l", "__g", "__n", "__p", "__kept", "__all_chars", "__kept_chars")
 
 

@@ -63,6 +63,21 @@ def test_quality_rules_keep_the_good(spark, data):
     assert all(r.kept == (r.quality == 1) for r in rows)
 
 
+FRENCH = "« Je ne sais pas », dit le meunier. « Demandez donc au boulanger du village. »\nElle répondit longuement, puis se tut. »\n» Il reprit la route.\nCol·lecció d'un il·lustre autor de la ciutat.\n»Guten Tag«, sagte sie. »Kommen Sie herein.«\n"
+CHINESE = "这条河流经过许多古老的村庄，两岸的人们世世代代在这里种田打鱼，他们的生活平静而安宁，孩子们在河边长大，老人们在树下讲述从前的故事，春天花开的时候整个山谷都充满了香气。\n"
+
+
+@pytest.mark.parametrize("text", [FRENCH + "Le vent soufflait encore sur la plaine et chacun de nous cherchait un abri pour la nuit qui venait, car il faisait froid. Nous avons marché longtemps avant de voir enfin une lumière.", CHINESE + CHINESE.replace("河", "江"), "यह नदी बहुत से पुराने गाँवों के बीच से होकर बहती है और लोग यहाँ पीढ़ियों से खेती करते आए हैं। " + " ".join(f"शब्द{i}" for i in range(60))])
+def test_quality_rules_keep_clean_text_of_other_languages(spark, text):
+    r = quality_rules.clean_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r.kept and r.n_bad_lines == 0
+
+
+@pytest.mark.parametrize("line", ["Accueil » Produits » Contact", "Start · Über uns · Kontakt", "Home | About | More", "Weiter »", "Tous droits réservés.", "Alle Rechte vorbehalten.", "Todos los derechos reservados.", "Lesen Sie unsere Datenschutzerklärung."])
+def test_quality_rules_find_menus_and_boilerplate(spark, line):
+    assert quality_rules.clean_lines(spark.createDataFrame([(1, line)], "doc_id long, text string")).first().n_bad_lines == 1
+
+
 # 2
 
 
