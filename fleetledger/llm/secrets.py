@@ -99,10 +99,16 @@ def redacted(text: Column, spans: Column, rules: tuple[Rule, ...] = RULES) -> Co
     return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(end["out"], ""), text.substr(end["at"] + 1, F.length(text))))
 
 
-def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """The rows of docs, with all their columns; secrets in text are replaced, n_chars (if there) follows."""
+def redact(docs: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """The rows of docs, with all their columns; secrets in text are replaced, n_chars (if there) follows.
+
+    stored: all rows (blob_id, rules_version, spans) of earlier scans; their contents are redacted without a new scan.
+    """
+    findings = scan_unseen(docs, stored)
+    if stored is not None:
+        findings = findings.unionByName(stored.where(F.col("rules_version") == RULES_VERSION).select(*findings.columns).dropDuplicates(["blob_id"]))
     # a table, as in at_paths: a content that very many rows share can then be split over tasks
-    found = cut(scan_unseen(docs, ledger).where(F.size("spans") > 0), "secret-findings").select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans"))
+    found = cut(findings.where(F.size("spans") > 0), "secret-findings").select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans"))
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = docs.withColumn("__own", F.sha2(body.cast("binary"), 256)).join(found, F.col("__own") == F.col("__blob"), "left")
     out = own.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("__spans"))))

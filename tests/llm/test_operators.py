@@ -296,6 +296,14 @@ def test_secret_edges_and_redaction(spark, edge):
     assert got == {1: ("a [SECRET:assign] b [SECRET:access]", 35), 2: ("é [SECRET:assign] end", 21), 3: (None, 7)}
 
 
+def test_secrets_of_seen_contents_are_redacted(spark):
+    d = spark.createDataFrame([(1, "token=abcdefgh"), (2, "none")], "doc_id long, text string")
+    stored = secrets.scan_unseen(d).cache()
+    more = d.union(spark.createDataFrame([(3, "secret=12345678"), (4, "token=abcdefgh")], d.schema))
+    got = {r.doc_id: r.text for r in secrets.redact(more, stored.union(stored)).collect()}
+    assert got == {1: "[SECRET:assign]", 2: "none", 3: "[SECRET:assign]", 4: "[SECRET:assign]"}
+
+
 # 8
 
 
