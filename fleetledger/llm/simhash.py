@@ -127,15 +127,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """A row per row of docs: doc_id, fp (long), component_id (smallest doc_id reachable over links of at most 2 bits).
 
     Null and empty texts and texts without words have fingerprint 0 and are linked like any other. Rows with equal
-    fingerprints are one node, whose number is the smallest doc_id, so thousands of exact copies cost one row in the
+    fingerprints are one node, whose number is the fingerprint, so thousands of exact copies cost one row in the
     search. Rows with a null doc_id are kept and get a component like others; where no row of a component has an id, it
     is null. Repeated rows each come back. Extra columns are ignored. An empty table gives an empty result.
     """
     fp = cut(fingerprints(docs, doc_id, text, shingle), "simhash-fps")
-    nodes = fp.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    comp = components(links(nodes.where("rep is not null")))
-    # a table, so that the join below has a shuffle of its own, which Spark can split where many rows share a fingerprint
-    named = cut(nodes.join(comp, F.col("rep") == F.col("u"), "left").select(F.col("fp").alias("node"), F.coalesce("v", "rep").alias("component_id")), "simhash-components")
+    nodes = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    comp = components(links(nodes.select("fp", F.col("fp").alias("rep"))))
+    # tables, so that the joins below have shuffles of their own, which Spark can split where many rows share a key
+    grouped = cut(nodes.join(comp, F.col("fp") == F.col("u"), "left").select(F.col("fp").alias("node"), F.coalesce("v", "fp").alias("root"), "least"), "simhash-nodes")
+    ids = cut(grouped.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id")), "simhash-ids")
+    named = cut(grouped.join(ids, F.col("root") == F.col("of")).select("node", "component_id"), "simhash-components")
     return fp.join(named, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", "component_id")
 
 

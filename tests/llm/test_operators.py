@@ -396,6 +396,14 @@ def test_simhash_edges(spark, edge):
     assert sorted((r.doc_id for r in simhash.keep_one(edge).collect()), key=str) == sorted([1, 4, 5, 6, None], key=str)
 
 
+def test_simhash_rows_without_id_link_others(spark, monkeypatch):
+    """Fingerprints 0, 3, 15: the middle one is only on a row without an id."""
+    base = spark.createDataFrame([(7, 0), (None, 3), (5, 15), (9, 1 << 40 | 1 << 41 | 1 << 42), (None, -1)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: base)
+    got = {r.fp: r.component_id for r in simhash.near_duplicates(base).collect()}
+    assert got == {0: 5, 3: 5, 15: 5, 1 << 40 | 1 << 41 | 1 << 42: 9, -1: None}
+
+
 # 10
 
 
