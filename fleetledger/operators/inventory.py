@@ -25,7 +25,7 @@ def match_vulnerabilities(installed: DataFrame, advisories: DataFrame) -> DataFr
 
     An equi-join with a range on the keys. Spark broadcasts the advisories if they measure small, else both sides are
     shuffled by (ecosystem, name) and adaptive execution splits packages that very many assets have. Versions that can't
-    be ordered match nothing; this is asked of candidates only, as a filter it would be pushed to every row scanned.
+    be ordered match nothing and are in unparsed(); this is asked of candidates only, as a filter it would be pushed to every row scanned.
     """
     i, a = installed.alias("i"), advisories.alias("a")
     inside = (F.col("i.vkey") >= F.col("a.ikey")) & (F.col("a.fkey").isNull() | (F.col("i.vkey") < F.col("a.fkey")))
@@ -34,6 +34,12 @@ def match_vulnerabilities(installed: DataFrame, advisories: DataFrame) -> DataFr
     return both.select("i.*", "a.advisory_id", "a.introduced", "a.fixed", "a.fkey", "a.severity")
 
 
+def unparsed(installed: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Installed packages that an advisory names but whose versions can't be ordered: neither affected nor unaffected."""
+    named = installed.join(advisories.select("ecosystem", "name").distinct(), ["ecosystem", "name"], "left_semi")
+    return named.where(F.col("vkey").isNull() | ~parsed(F.col("vkey")))
+
+
 def asset_kinds(hosts: DataFrame, images: DataFrame) -> DataFrame:
     """Hosts and container images in one relation."""
     return hosts.withColumn("asset_kind", F.lit("host")).unionByName(images.withColumn("asset_kind", F.lit("image")))

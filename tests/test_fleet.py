@@ -43,6 +43,14 @@ def test_matching_bounds_and_broken_versions(spark):
     assert [r.advisory_id for r in advisories.unparsed(known).collect()] == ["c"]
 
 
+def test_installed_versions_without_order_are_kept_apart(spark):
+    rows = [(1, "e", "n", v) for v in ("1.0", "1.2-rc1", "2:1.0-1ubuntu3", "1.0.20240101120000", None)] + [(1, "e", "other", "x")]
+    have = spark.createDataFrame(rows, "asset_id int, ecosystem string, name string, version string").withColumn("vkey", version_key(F.col("version")))
+    known = advisories.keyed(spark.createDataFrame([("a", "e", "n", "1.0.1", None, "LOW"), ("b", "e", "n", "9", None, "LOW")], advisories.SCHEMA))
+    assert {r.version for r in inv.unparsed(have, known).collect()} == {"1.2-rc1", "2:1.0-1ubuntu3", None} and inv.unparsed(have, known).count() == 3
+    assert {r.version for r in inv.match_vulnerabilities(have, known).collect()} == {"1.0.20240101120000"}
+
+
 def test_assets_without_scans_are_stale(spark):
     assets = spark.createDataFrame([(1,), (2,)], "asset_id int")
     scans = spark.sql("SELECT 10 AS scan_id, 1 AS asset_id, TIMESTAMP_NTZ '2024-01-01' AS scanned_at")
