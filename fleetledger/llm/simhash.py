@@ -11,15 +11,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, slices, table
 
 MAX_BITS = 2
 SEED = 42
-#: Bits of the five segments of a fingerprint. Two changed bits leave three of the five unchanged.
-SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-N_PIVOTS = 16
-#: Buckets with more fingerprints are linked through shared references at distance 1 and not pair by pair.
-PAIR_BUCKET = 64
+#: The reference fingerprints: a base, and references that differ from it in two neighbouring bits of one cell. A cell
+#: has as many references as bits; cells (first bit, bits) make up five blocks.
+BASE = 0x9E3779B97F4A7C15
+BLOCKS = tuple(((at, 5 if at < 52 else 4), (at + (5 if at < 52 else 4), 4), (at + (9 if at < 52 else 8), 4)) for at in (0, 13, 26, 39, 52))
+CELLS = tuple(c for block in BLOCKS for c in block)
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -41,65 +41,131 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp as signed long) for every row of docs."""
+    """(doc_id, th: XXH64 of the text as a signed long, a null text counting as empty; fp as signed long) for every row of docs."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "th", "fp"])
+
+    body = F.col(text).cast("string")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_hash(body).alias("th"), body.alias("text"))
+    return rows.mapInArrow(work, "doc_id long, th long, fp long")
+
+
+def text_hash(body: Column) -> Column:
+    return F.xxhash64(F.coalesce(body, F.lit("")))
+
+
+def references() -> np.ndarray:
+    """The base, then the references of each cell in order."""
+    pairs = [(1 << at + k) | (1 << at + (k + 1) % n) for at, n in CELLS for k in range(n)]
+    return np.array([BASE, *[BASE ^ p for p in pairs]], np.uint64)
+
+
+def distances(fps: np.ndarray) -> np.ndarray:
+    """A row of the pivot table for each fingerprint: its Hamming distances to all references."""
+    return np.bitwise_count(fps.view(np.uint64)[:, None] ^ references()).astype(np.int8)
+
+
+def coordinates(fps: np.ndarray) -> np.ndarray:
+    """(n, cells): what the distances to a cell's references say beyond the distance to the base (-2, 0 or 2 each), as one number.
+
+    A changed bit changes the coordinates of its own cell only.
+    """
+    d = distances(fps)
+    digits = (d[:, 1:] - d[:, :1]) // 2 + 1
+    out, at = np.empty((len(fps), len(CELLS)), np.int64), 0
+    for c, (_, n) in enumerate(CELLS):
+        out[:, c] = digits[:, at : at + n] @ 3 ** np.arange(n)
+        at += n
+    return out
+
+
+#: Every choice of blocks that agree (level 1), and of cells of the blocks left out that agree besides (level 2).
+AGREE = [[3 * b + k for b in blocks for k in range(3)] for blocks in combinations(range(5), 5 - MAX_BITS)]
+BESIDES = [list(c) for cells in AGREE for c in combinations([x for x in range(15) if x not in cells], 6 - MAX_BITS)]
+
+
+def first_keys(fps: DataFrame) -> DataFrame:
+    """(fp, t, key): for every fingerprint and choice of blocks, a hash of the coordinates there."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fp = b.column(0).to_numpy(zero_copy_only=False)
+            c = coordinates(fp)
+            keys = [pa.array(np.column_stack([_hash(c[:, cells], t) for t, cells in enumerate(AGREE)]).reshape(-1))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, len(AGREE))), pa.array(np.tile(np.arange(len(AGREE), dtype=np.int8), len(fp))), *keys], ["fp", "t", "key"])
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(work, "doc_id long, fp long")
+    return fps.select("fp").mapInArrow(work, "fp long, t tinyint, key long")
 
 
-def _masks() -> list[int]:
-    seg = [((1 << n) - 1) << at for at, n in SEGMENTS]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    return [signed(sum(c)) for c in combinations(seg, len(SEGMENTS) - MAX_BITS)]
+def second_keys(first: DataFrame) -> DataFrame:
+    """(fp, key): for every row of first keys and choice of cells besides, a hash of the first key and the coordinates there."""
+    n = len(BESIDES) // len(AGREE)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, t, key = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            c, out = coordinates(fp), np.empty((len(fp), n), np.int64)
+            for k in range(len(AGREE)):
+                own = np.flatnonzero(t == k)
+                for s in range(n):
+                    out[own, s] = _hash(np.column_stack([key[own], c[own][:, BESIDES[k * n + s]]]), s)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, n)), pa.array(out.reshape(-1))], ["fp", "key"])
+
+    return first.select("fp", "t", "key").mapInArrow(work, "fp long, key long")
 
 
-def _pivots() -> list[int]:
-    return np.random.default_rng(9).integers(-(2**63), 2**63 - 1, N_PIVOTS, dtype=np.int64).tolist()
+def _hash(columns: np.ndarray, seed: int) -> np.ndarray:
+    """One number for each row. Rows that collide are candidates without need, which the distances discard."""
+    h = np.full(len(columns), seed + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(columns.shape[1]):
+            h = (h ^ columns[:, k].astype(np.uint64)) * np.uint64(0x9FB21C651E98DF25)
+            h ^= h >> np.uint64(29)
+    return h.view(np.int64)
 
 
-def distance(a: Column, b: Column | int) -> Column:
-    return F.bit_count(a.bitwiseXOR(F.lit(b) if isinstance(b, int) else b))
+def shared_keys(keyed: DataFrame, name: str) -> DataFrame:
+    """The rows of keyed whose key is on two rows or more.
+
+    Keys are counted with partial sums and kept as a table: the join has shuffles of its own, which Spark can split.
+    """
+    keyed = cut(keyed, f"{name}-all")
+    counts = cut(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("of")), f"{name}-counts")
+    return cut(keyed.join(counts, F.col("key") == F.col("of"), "left_semi"), name)
+
+
+def candidates(fps: DataFrame) -> DataFrame:
+    """Pairs (u, v), u > v, of distinct fingerprints (fp) that agree in the coordinates of 13 of the 15 cells.
+
+    At most MAX_BITS cells hold the bits in which a pair in reach differs, so such a pair agrees in all others and in at
+    least three of the five blocks. The index has two levels of keys: the coordinates of three blocks, then, of
+    fingerprints that share such a key, those of four of the other two blocks' six cells. The two cells left out have at
+    most ten bits, which bounds what shares a key by about 2^10 fingerprints however many there are.
+    """
+    both = shared_keys(second_keys(shared_keys(first_keys(fps), "simhash-blocks")), "simhash-cells")
+    a, b = both.alias("a"), both.alias("b")
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") > F.col("b.fp"))).select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Edges (u, v), u > v, between fingerprints (fp, rep) at most MAX_BITS apart, enough of them to connect all such pairs.
-
-    Keys: a fingerprint's distances to reference fingerprints that differ only inside a segment tell the segment's bits,
-    and the other way round; two fingerprints in reach agree on three segments of five, so their distances to all
-    those references agree there: ten equi-join tables and no pair in reach is lost. Within a bucket, the distances to
-    N_PIVOTS references over all bits are compared: |d(x,p) - d(y,p)| > 2 for any p discards the pair, and survivors
-    are verified. Buckets over PAIR_BUCKET fingerprints use the other side of the triangle inequality: all within 1 bit
-    of one reference are linked to the smallest, with every fingerprint and every 1-bit change as a reference: exact,
-    27 rows a fingerprint, no pairs.
+    """Edges (u, v), u > v: all pairs of distinct fingerprints (fp) at most MAX_BITS apart, once each.
+
+    Two fingerprints k bits apart have distances to any reference that differ by at most k. Pairs are found by their
+    coordinates, discarded if the largest difference of their distances exceeds MAX_BITS, and survivors are verified.
+    A fingerprint has no more than 2,080 others in reach, so edges grow with the fingerprints.
     """
-    masks = _masks()
-    tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])).alias("k")
-    keyed = fps.select("fp", "rep", tables).select("fp", "rep", "k.t", "k.key")
-    # bucket sizes are counted with partial sums and kept as a table: the join has shuffles of its own and a huge bucket is split
-    sizes = cut(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-sizes")
-    shared = cut(keyed.join(sizes, ["t", "key"]), "simhash-buckets")
-
-    pivots = {f"p{i}": distance(F.col("fp"), p).cast("tinyint") for i, p in enumerate(_pivots())}
-    small = shared.where(F.col("n") <= PAIR_BUCKET).withColumns(pivots)
-    a, b = small.alias("a"), small.alias("b")
-    near = (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") > F.col("b.rep"))
-    for p in pivots:
-        near &= F.abs(F.col(f"a.{p}") - F.col(f"b.{p}")) <= MAX_BITS
-    pairs = a.join(b, near & (distance(F.col("a.fp"), F.col("b.fp")) <= MAX_BITS)).select(F.col("a.rep").alias("u"), F.col("b.rep").alias("v"))
-
-    every = (1 << 64) - 1
-    free = lambda m: [b for b in range(64) if not (m & every) >> b & 1]
-    bit = lambda b: (1 << b) if b < 63 else -(1 << 63)
-    changes = F.element_at(F.array(*[F.array(F.lit(0).cast("long"), *[F.lit(bit(x)).cast("long") for x in free(m)]) for m in masks]), F.col("t") + 1)
-    balls = shared.where(F.col("n") > PAIR_BUCKET).select("rep", "t", "key", F.explode(changes).alias("flip"), "fp").withColumn("z", F.col("fp").bitwiseXOR(F.col("flip")))
-    low = balls.groupBy("t", "key", "z").agg(F.min("rep").alias("v"), F.collect_list("rep").alias("us")).where("size(us) > 1")  # at most 27 fingerprints lie within 1 bit of z
-    through = low.select(F.explode("us").alias("u"), "v").where("u > v")
-    return pairs.union(through).distinct()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u, v = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            left = np.flatnonzero(np.abs(distances(u) - distances(v)).max(axis=1, initial=0) <= MAX_BITS)
+            left = left[np.bitwise_count((u[left] ^ v[left]).view(np.uint64)) <= MAX_BITS]
+            yield pa.RecordBatch.from_arrays([pa.array(u[left]), pa.array(v[left])], ["u", "v"])
+
+    return candidates(fps).mapInArrow(near, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -123,35 +189,49 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def grouped(fp: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the rows of fingerprints: (node, component_id) for each fingerprint, and (none, id, th) of each component's first row.
+
+    The first row has the smallest doc_id (rows without one come last) and of those the smallest th. Rows with equal
+    fingerprints are one node, whose number is the fingerprint, so thousands of exact copies cost one row in the search.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "th")
+    nodes = cut(fp.groupBy("fp").agg(F.min(order).alias("least")), "simhash-nodes")
+    comp = components(links(nodes))
+    # tables, so that later joins have shuffles of their own, which Spark can split where many rows share a key
+    roots = cut(nodes.join(comp, F.col("fp") == F.col("u"), "left").select(F.col("fp").alias("node"), F.coalesce("v", "fp").alias("root"), "least"), "simhash-roots")
+    firsts = cut(roots.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("first")), "simhash-firsts")
+    component = F.when(~F.col("first.none"), F.col("first.id")).alias("component_id")
+    return cut(roots.join(firsts, F.col("root") == F.col("of")).select("node", component), "simhash-components"), firsts.select("first.*")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """A row per row of docs: doc_id, fp (long), component_id (smallest doc_id reachable over links of at most 2 bits).
 
-    Null and empty texts and texts without words have fingerprint 0 and are linked like any other. Rows with equal
-    fingerprints are one node, whose number is the fingerprint, so thousands of exact copies cost one row in the
-    search. Rows with a null doc_id are kept and get a component like others; where no row of a component has an id, it
-    is null. Repeated rows each come back. Extra columns are ignored. An empty table gives an empty result.
+    Null and empty texts and texts without words have fingerprint 0 and are linked like any other. Rows with a null
+    doc_id are kept and get a component like others; where no row of a component has an id, it is null. Repeated rows
+    each come back. Extra columns are ignored. An empty table gives an empty result.
     """
     fp = cut(fingerprints(docs, doc_id, text, shingle), "simhash-fps")
-    nodes = fp.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    comp = components(links(nodes.select("fp", F.col("fp").alias("rep"))))
-    # tables, so that the joins below have shuffles of their own, which Spark can split where many rows share a key
-    grouped = cut(nodes.join(comp, F.col("fp") == F.col("u"), "left").select(F.col("fp").alias("node"), F.coalesce("v", "fp").alias("root"), "least"), "simhash-nodes")
-    ids = cut(grouped.groupBy(F.col("root").alias("of")).agg(F.min("least").alias("component_id")), "simhash-ids")
-    named = cut(grouped.join(ids, F.col("root") == F.col("of")).select("node", "component_id"), "simhash-components")
-    return fp.join(named, F.col("fp") == F.col("node"), "left").select("doc_id", "fp", "component_id")
+    return fp.join(grouped(fp)[0], F.col("fp") == F.col("node"), "left").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id is its component's smallest, once each.
+    """One row of docs, with all its columns, for each component: that of the smallest doc_id, of those the smallest XXH64 of the text.
 
-    Rows without a doc_id can't be named and are kept.
+    Rows without a doc_id come last: one of them stays only where no other row is in reach. A null text counts as empty.
+    Rows that share doc_id and text are one row here. Rows that share a doc_id but not the text are judged by their own
+    fingerprints, so no text goes unless a near copy of it, or one linked to it by others, stays.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    once = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept"))
-    once = once.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("__n = 1")
-    return once.select(*docs.columns).union(docs.where("doc_id is null"))
+    firsts = grouped(cut(fingerprints(docs), "simhash-fps"))[1].toDF("__n", "__i", "__t")
+    keys = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__th": text_hash(F.col("text").cast("string"))}
+    # before the join, so that each task passes on one of its equal rows at most
+    once = docs.withColumns(keys | {"__row": F.row_number().over(Window.partitionBy(*keys.values()).orderBy(F.lit(0)))}).where("__row = 1")
+    kept = once.join(firsts, (F.col("__none") == F.col("__n")) & (F.col("__id") == F.col("__i")) & (F.col("__th") == F.col("__t")), "left_semi")
+    return kept.select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of documents; edge cases as there. The fingerprint is written as 16 lower-case hex digits."""
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
