@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,19 +20,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, slices, table
 
 CAPACITY = 2048
 #: Encoded words that a worker keeps are up to twice CACHE; longer ones than LONG characters are not kept.
 CACHE, LONG = 400_000, 32
+#: A space where a text can be cut: neither neighbour is white space of any kind.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class WordTokenizer:
     """Ids as little-endian 32-bit bytes. Words are encoded once and kept.
 
-    The tokenizer never joins a piece across a single space between two other characters, so a text is the
-    concatenation of its words, each with the space before it. Texts with spaces in a row, at an end, or beside another
-    white-space character are encoded whole.
+    The tokenizer never joins a piece across a space whose neighbours both are no white space, so a text is the
+    concatenation of what stands between such spaces, each part with the space before it. Only parts that neither
+    begin nor end with white space are kept, so a text with other spaces is not mistaken for a row of kept words.
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None) -> None:
@@ -57,14 +60,16 @@ class WordTokenizer:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def ids(self, text: str) -> bytes:
+        if not text:
+            return b""
         words = text.split(" ")
-        if "" in words:
-            return self._encode([text])[0] if text else b""
         words[1:] = [" " + w for w in words[1:]]
         try:
             return b"".join([self.kept[w] for w in words])
         except KeyError:
             pass
+        words = _CUT.split(text)
+        words[1:] = [" " + w for w in words[1:]]
         if len(self.kept) > CACHE:  # words not met again since the last time are dropped
             self.kept, self.older = {}, self.kept
         kept, older, new = self.kept, self.older, []
@@ -74,7 +79,7 @@ class WordTokenizer:
             else:
                 new.append(w)
         coded = dict(zip(new, self._encode(new), strict=True))
-        kept.update((w, ids) for w, ids in coded.items() if len(w) <= LONG)
+        kept.update((w, ids) for w, ids in coded.items() if len(w) <= LONG and w[:2].strip() and not w[-1].isspace())
         return b"".join([kept[w] if w in kept else coded[w] for w in words])
 
 
@@ -94,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer: tuple[str, str | None, str | None], doc_i
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_tokenizer(*tokenizer)
-        for b in batches:
+        for b in slices(batches):
             out: list[list[int]] = [[], [], [], [], []]
             for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = coder.ids(t.as_py() or "") + b"\0\0\0\0"
@@ -105,7 +110,6 @@ def pieces(docs: DataFrame, tokenizer: tuple[str, str | None, str | None], doc_i
                     start, end, k = end, end + capacity, k + 1
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(out)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(work, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
@@ -160,7 +164,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * b.num_rows, pa.int32()), pa.array(range(at, at + b.num_rows), pa.int64())], [*b.schema.names, "__part", "__at"])
             at += b.num_rows
 
@@ -174,7 +178,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, part_at, lengths, length_at, slots = shared.value
-        for b in batches:
+        for b in slices(batches):
             length, part, at = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "__part", "__at"))
             rank = part_at[np.searchsorted(parts, part)] + at - length_at[np.searchsorted(lengths, length)]
             key = np.int64(1) << np.int64(48)
