@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetledger.session import scratch
+
 #: The characters that end a word: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"\x20\x09-\x0D"
 
@@ -16,20 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh temporary one where it is unset (tests)."""
-    if not (path := spark.conf.get("spark.checkpoint.dir", None)):
-        path = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: later steps start from that copy.
 
     The table survives lost executors and is computed once, however often it is used.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -65,8 +59,8 @@ def spans_of(text: Column, pattern: str, context: int = 0) -> Column:
     return F.coalesce(F.aggregate(F.filter(after, lambda x: x["m"].isNotNull()), zero, add)["out"], F.array().cast("array<struct<s:int,e:int,m:string,pre:string,post:string>>"))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Texts can be long: hand Python at most so many rows at a time, unless the session asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches, which Spark bounds in bytes, in parts of at most so many rows, which bounds what Python makes of them at one time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

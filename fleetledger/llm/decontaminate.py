@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import slices, table
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -149,13 +149,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
-    small_batches(docs.sparkSession)
     out = None
     for index in item_blocks(benchmark, item_id, item_text, shingle, containment, block_chars):
 
         def work(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             powers = _Powers()
-            for b in batches:
+            for b in slices(batches):
                 hits = [(d, i, m, k, k / m) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) if (body := t.as_py()) for i, m, k in index.value.search(body, powers)]
                 yield pa.RecordBatch.from_arrays([pa.array([h[c] for h in hits], pa.float64() if c == 4 else pa.int64()) for c in range(5)], ["doc_id", "item_id", "n_shingles", "n_shared", "containment"])
 
@@ -166,12 +165,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, containment: float = CONTAINMENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs, with all their columns, that hold no benchmark item (as find_leaks has it). Rows are not moved."""
-    small_batches(docs.sparkSession)
     for index in item_blocks(benchmark, item_id, item_text, shingle, containment, block_chars):
 
         def work(batches: Iterator[pa.RecordBatch], index=index, at=docs.columns.index(text)) -> Iterator[pa.RecordBatch]:
             powers = _Powers()
-            for b in batches:
+            for b in slices(batches):
                 if b.num_rows:
                     yield b.filter(pa.array([not ((body := t.as_py()) and index.value.search(body, powers)) for t in b.column(at)], pa.bool_()))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, table
+from .common import held_out, slices, table
 
 #: Documents per language that the network may learn from, characters of each, and languages: these bound what is collected.
 PER_LANGUAGE, SAMPLE_CHARS, LANGUAGES = 150, 384, 200
@@ -197,7 +197,7 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ask = [i for i, a in enumerate(b.column(2).to_pylist()) if a]
             out = [("und", 0.0)] * b.num_rows
             size, group = 0, []
@@ -211,7 +211,6 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
                     size, group = 0, []
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"), text.alias("text"))
     return d.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")

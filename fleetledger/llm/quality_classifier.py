@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches, table
+from .common import held_out, slices, table
 
 #: Labelled documents of either class that the model may hold: this bounds what is collected and broadcast.
 PER_CLASS = 1000
@@ -98,7 +98,7 @@ class Model:
 
 
 def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         got = [terms(t.as_py()) for t in b.column(1)]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0].astype("<i4").tobytes() for g in got], pa.binary()), pa.array([g[1].astype("<f8").tobytes() for g in got], pa.binary())], ["doc_id", "at", "w"])
 
@@ -161,12 +161,11 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             score = shared.value.score([terms(t.as_py()) for t in b.column(2)]) if b.num_rows else np.empty(0)
             score = np.clip(score, 0, 1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return d.mapInArrow(work, "doc_id long, held_out boolean, score double, predicted int")
 
@@ -181,9 +180,8 @@ def keep_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) ->
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             if b.num_rows:
                 yield b.filter(pa.array(shared.value.score([terms(t.as_py()) for t in b.column(at)]) >= threshold))
 
-    small_batches(docs.sparkSession)
     return docs.mapInArrow(work, docs.schema)

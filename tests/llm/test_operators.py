@@ -4,6 +4,7 @@ import collections
 import hashlib
 import html
 import math
+import random
 import re
 import zlib
 
@@ -204,7 +205,7 @@ def test_fullest_is_the_best_subset():
         assert sum(k * n for k, n in got.items()) == best and all(n <= counts[k] for k, n in got.items())
 
 
-@pytest.mark.parametrize("text", ["", " ", "a", "two  spaces", " lead", "trail ", "tab \t here", "a\n b", "a \nb", "x  y", "<|endoftext|> a", "naïve Ünï, 12 34's don't", "l" * 300, "a\r\n\r\n b", "é ​ z"])
+@pytest.mark.parametrize("text", ["", " ", "a", "two  spaces", " lead", "trail ", "tab \t here", "a\n b", "a \nb", "x \u00a0 \u00a0 y", "<|endoftext|> a", "naïve Ünï, 12 34's don't", "l" * 300, "a\r\n\r\n b", "é \u200b z"])
 def test_words_are_encoded_as_the_whole_text_is(text):
     coder = packing.WordTokenizer(*packing.default_tokenizer())
     plain = packing.WordTokenizer(packing.default_tokenizer()[0])
@@ -212,10 +213,25 @@ def test_words_are_encoded_as_the_whole_text_is(text):
     assert coder.ids(text) == want and coder.ids(text) == want and plain.ids(text) == want
 
 
+def test_words_of_random_texts_are_encoded_as_the_whole_text_is():
+    """100,000 short texts with every kind of white space, new lines and special tokens; kept words of earlier texts are there for later ones."""
+    spaces = [chr(c) for c in (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+    words = ["a", "x", "é", "12", "'s", "don't", "Ü", "!", "...", "<|endoftext|>", "word", "漢字", "😀", "-"]
+    coder, plain = packing.WordTokenizer(*packing.default_tokenizer()), packing.WordTokenizer(packing.default_tokenizer()[0])
+    r = random.Random(5)
+    texts = ["".join(r.choice(spaces) if r.random() < 0.3 else " " if r.random() < 0.45 else r.choice(words) for _ in range(r.randint(1, 9))) for _ in range(100_000)]
+    for text, e in zip(texts, coder.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        want = np.array(e.ids, "<u4").tobytes()
+        assert coder.ids(text) == want and plain.ids(text) == want, repr(text)
+
+
 def test_pieces_of_documents(spark, data, docs):
     coder = packing.WordTokenizer(*packing.default_tokenizer())
-    for r in packing.op5_packing(spark, data).where("doc_id % 7 = 0").collect():
-        ids = [*coder.tokenizer.encode(docs[r.doc_id], add_special_tokens=False).ids, 0]
+    whole = {i: [*coder.tokenizer.encode(t, add_special_tokens=False).ids, 0] for i, t in docs.items()}
+    rows = packing.op5_packing(spark, data).collect()
+    assert sum(r.length for r in rows) == sum(map(len, whole.values()))
+    for r in rows:
+        ids = whole[r.doc_id]
         own = ids[r.start : r.start + r.length]
         assert len(own) == r.length and r.ids_crc32 == zlib.crc32(np.array(own, "<u4").tobytes()) and (len(own) == 2048 or r.piece == 0)
 
@@ -371,10 +387,12 @@ def test_simhash_brute_force(spark, data, docs):
     assert {i: rows[i].component_id for i, _ in fps} == _smallest(fps)
 
 
-@pytest.mark.parametrize("bucket", [64, 2])
-def test_simhash_links_near_fingerprints(spark, monkeypatch, bucket):
-    """Chains and balls around a few centres, by pairs and through references."""
-    monkeypatch.setattr(simhash, "PAIR_BUCKET", bucket)
+def _signed(f):
+    return f - (1 << 64) if f >> 63 else f
+
+
+def test_simhash_links_near_fingerprints(spark):
+    """Chains and balls around a few centres, and a dense ball in which all differ in ten bits only; all pairs in reach are found."""
     r = np.random.default_rng(9)
     fps = []
     for c in r.integers(0, 2**63, 4).tolist():
@@ -383,10 +401,24 @@ def test_simhash_links_near_fingerprints(spark, monkeypatch, bucket):
             for b in r.integers(0, 64, 2).tolist():
                 c = c ^ (1 << b) if r.random() < 0.5 else c
             fps.append(c ^ (1 << int(r.integers(64))))
-    fps = [(100 + i, f) for i, f in enumerate(dict.fromkeys(fps))]
-    table = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in fps], "fp long, rep long")
-    got = {x.u: x.v for x in simhash.components(simhash.links(table)).collect()}
-    assert {i: got.get(i, i) for i, _ in fps} == _smallest(fps)
+    fps = list(dict.fromkeys([*fps, *(0xABCDEF << 40 | k << 5 for k in range(300))]))
+    edges = {frozenset((x.u, x.v)) for x in simhash.links(spark.createDataFrame([(_signed(f),) for f in fps], "fp long")).collect()}
+    assert edges == {frozenset((_signed(x), _signed(y))) for i, x in enumerate(fps) for y in fps[:i] if (x ^ y).bit_count() <= 2}
+
+
+def test_simhash_pivots_discard_pairs(spark, data, docs):
+    """The references' distances are the index: few pairs agree in enough of them, and the largest difference discards the rest."""
+    fps = sorted({_print(t) for t in docs.values()})
+    refs = simhash.references().tolist()
+    assert len(set(refs)) == 65
+    d = {f: row.tolist() for f, row in zip(fps, simhash.distances(np.array(fps, np.uint64)), strict=True)}
+    assert all(d[f] == [(f ^ p).bit_count() for p in refs] for f in fps)
+    pairs = [(r.u % (1 << 64), r.v % (1 << 64)) for r in simhash.candidates(spark.createDataFrame([(_signed(f),) for f in fps], "fp long")).collect()]
+    pairs = [(u, v, max(abs(a - b) for a, b in zip(d[u], d[v], strict=True))) for u, v in pairs]
+    near = {(x, y) for i, x in enumerate(fps) for y in fps[:i] if (x ^ y).bit_count() <= 2}
+    left = {tuple(sorted(p[:2], reverse=True)) for p in pairs if p[2] <= 2}
+    assert near <= left and all(d <= (x ^ y).bit_count() for x, y, d in pairs)
+    assert len(left) < len(fps) * (len(fps) - 1) / 2 / 50
 
 
 def test_simhash_edges(spark, edge):
@@ -394,11 +426,25 @@ def test_simhash_edges(spark, edge):
     assert len(rows) == len(EDGE) and {r.component_id for r in rows if r.doc_id in (1, 2, 3)} == {1}
     assert {r.component_id for r in rows if r.doc_id in (6, 7)} == {6} and simhash.near_duplicates(edge.limit(0)).count() == 0
     assert sorted((r.doc_id for r in simhash.keep_one(edge).collect()), key=str) == sorted([1, 4, 5, 6, None], key=str)
+    assert simhash.keep_one(edge.limit(0)).count() == 0 and simhash.keep_one(edge).columns == edge.columns
+
+
+A_TEXT, B_TEXT = "one text of several words that stands alone", "quite another story about a river and its old stone bridge"
+
+
+@pytest.mark.parametrize("rows,want", [
+    ([(1, A_TEXT), (2, B_TEXT), (2, A_TEXT)], [(1, A_TEXT), (2, B_TEXT)]), ([(2, A_TEXT), (2, B_TEXT), (1, B_TEXT)], [(1, B_TEXT), (2, A_TEXT)]), ([(3, A_TEXT)] * 3, [(3, A_TEXT)]),
+    ([(None, A_TEXT), (4, A_TEXT), (None, B_TEXT), (None, B_TEXT)], [(4, A_TEXT), (None, B_TEXT)]), ([(0, A_TEXT), (None, A_TEXT)], [(0, A_TEXT)]),
+])
+def test_simhash_keeps_every_text_once(spark, rows, want):
+    """Rows that share a doc_id but not the text, repeated rows, and rows without an id."""
+    got = simhash.keep_one(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, fp int")).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
 
 
 def test_simhash_rows_without_id_link_others(spark, monkeypatch):
     """Fingerprints 0, 3, 15: the middle one is only on a row without an id."""
-    base = spark.createDataFrame([(7, 0), (None, 3), (5, 15), (9, 1 << 40 | 1 << 41 | 1 << 42), (None, -1)], "doc_id long, fp long")
+    base = spark.createDataFrame([(7, 0, 0), (None, 0, 3), (5, 0, 15), (9, 0, 1 << 40 | 1 << 41 | 1 << 42), (None, 0, -1)], "doc_id long, th long, fp long")
     monkeypatch.setattr(simhash, "fingerprints", lambda *_: base)
     got = {r.fp: r.component_id for r in simhash.near_duplicates(base).collect()}
     assert got == {0: 5, 3: 5, 15: 5, 1 << 40 | 1 << 41 | 1 << 42: 9, -1: None}
@@ -550,6 +596,3 @@ def test_quality_classifier_learns_once_from_repeated_rows(spark):
     model = quality_classifier.fit(d, labels)
     assert sorted(model.labels.tolist()) == [0.0, 1.0]
 
-
-def test_digest_of_no_span():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
