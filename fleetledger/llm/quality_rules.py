@@ -5,6 +5,9 @@ Everything happens inside the row (arrays and higher-order functions): no shuffl
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,11 @@ BOILERPLATE_ELSEWHERE = (
     r"|alle rechte vorbehalten|datenschutz(?:erklärung|richtlinie|bestimmungen)|cookie-richtlinie|nutzungsbedingungen|(?:klicken sie hier|hier klicken)|newsletter abonnieren|jetzt (?:anmelden|registrieren|abonnieren)|lizenziert unter|javascript aktivieren"
     r"|todos los derechos reservados|política de (?:privacidad|cookies)|(?:términos|condiciones) (?:de uso|de servicio|del servicio)|(?:haga|haz) clic aquí|suscríb(?:ete|ase)|regístrate|comparte est[eo]|licenciado bajo|habilit[ae] javascript)"
 )
+#: Every match of either pattern holds one of these in lower case: texts without them are not searched line by line.
+BOILERPLATE_HINTS = "rights reserved;cookie policy;privacy policy;terms of ;click here;subscribe to;sign up;share this;powered by;licensed under;javascript".split(";")
+BOILERPLATE_HINTS += "tous droits;politique ;mentions légales;utilisation;cliquez ici;abonnez-vous;inscrivez-vous;cet article;propulsé par;sous licence".split(";")
+BOILERPLATE_HINTS += "alle rechte;datenschutz;cookie-richtlinie;nutzungsbedingungen;klicken;newsletter abo;jetzt ;lizenziert unter".split(";")
+BOILERPLATE_HINTS += "todos los derechos;política de;términos d;condiciones d;clic aquí;suscríb;regístrate;comparte est;licenciado bajo".split(";")
 #: Characters of scripts that put no spaces between words; two of them count as a word in kept.
 NOT_UNSPACED = "[^\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]+"
 MIN_WORDS = 50
@@ -40,11 +48,15 @@ def count_of(line: Column, others: str) -> Column:
     return F.length(F.regexp_replace(line, others, ""))
 
 
-def bad_punctuation(line: Column) -> Column:
-    """Over a tenth symbols, over a tenth doubled exclamation marks, or long without any end of a sentence."""
+def unended(line: Column) -> Column:
+    """Long and without any end of a sentence."""
+    return (F.length(line) >= LONG_LINE) & ~line.rlike(SENTENCE_END)
+
+
+def symbols(line: Column) -> Column:
+    """Over a tenth symbols, or over a tenth doubled exclamation marks."""
     doubled = F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))
-    unended = (F.length(line) >= LONG_LINE) & ~line.rlike(SENTENCE_END)
-    return (count_of(line, NOT_SYMBOLS) * 10 > F.length(line)) | (doubled * 10 > F.length(line)) | unended
+    return (count_of(line, NOT_SYMBOLS) * 10 > F.length(line)) | (doubled * 10 > F.length(line))
 
 
 def navigation(line: Column) -> Column:
@@ -56,6 +68,19 @@ def boilerplate(line: Column) -> Column:
     return line.rlike(BOILERPLATE) | line.rlike(BOILERPLATE_ELSEWHERE)
 
 
+def good_lines(lines: str, text: str, low: str) -> list[Column]:
+    """The lines that pass: each rule filters what the one before left (column __kept), and only where the text, or the
+    text in lower case, holds what the rule needs."""
+    left = lambda holds, rule: F.when(holds, F.filter("__kept", lambda x: ~rule(x))).otherwise(F.col("__kept"))
+    hinted = reduce(or_, [F.col(low).contains(h) for h in BOILERPLATE_HINTS])
+    return [
+        F.filter(lines, lambda x: ~unended(x)),
+        left(F.col(text).rlike("[#*$%&|<>]") | F.col(text).contains("!!"), symbols),
+        left(F.col(text).rlike("[|»›·]"), navigation),
+        left(hinted, boilerplate),
+    ]
+
+
 def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add counts, the cleaned text and the verdict to every row of docs.
 
@@ -70,14 +95,23 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     # neighbours come from shifted copies of an array: a lambda that looked them up in the array would be a trap, for the
     # optimizer may put the array's whole expression into the lambda when a caller filters on the results
     shift = lambda c, by: F.slice(c, 1 + by, F.greatest(F.size(c) - by, F.lit(0)))
-    pairs = F.zip_with("__w", shift("__w", 1), lambda a, b: F.concat_ws(" ", a, b))
-    grams = F.transform(F.zip_with(pairs, shift("__w", 2), lambda a, c: F.concat_ws(" ", a, c)), lambda g, i: F.struct(g.alias("g"), i.alias("p")))
-    df = df.withColumn("__g", F.sort_array(F.slice(grams, 1, F.greatest(F.size("__w") - 2, F.lit(0)))))
-    df = df.withColumn("__n", F.zip_with("__g", shift("__g", 1), lambda a, b: F.coalesce(a["g"] == b["g"], F.lit(False))))
+    windows = lambda c: F.slice(c, 1, F.greatest(F.size("__w") - 2, F.lit(0)))
+    df = df.withColumn("__h", F.transform("__w", lambda x: F.xxhash64(x)))
+    pairs = F.zip_with("__h", shift("__h", 1), lambda a, b: F.xxhash64(a, b))
+    df = df.withColumn("__h", windows(F.zip_with(pairs, shift("__h", 2), lambda a, c: F.xxhash64(a, c))))
+    # windows of one hash stand together when sorted; only these are made into texts, and compared as such
+    numbered = F.sort_array(F.transform("__h", lambda x, i: F.struct(x.alias("g"), i.alias("p"))))
+    none = lambda kind: F.array().cast(f"array<struct<g:{kind},p:int>>")
+    equal = lambda c: F.zip_with(c, shift(c, 1), lambda a, b: F.coalesce(a["g"] == b["g"], F.lit(False)))
     either = F.zip_with("__n", F.concat(F.array(F.lit(False)), "__n"), lambda a, b: a | b)
-    again = F.filter(F.zip_with("__g", either, lambda x, e: F.when(e, x["p"])), lambda x: x.isNotNull())
-    df = df.withColumn("__p", F.sort_array(again))
-    df = df.withColumn("__kept", F.filter("__l", lambda x: ~(bad_punctuation(x) | navigation(x) | boilerplate(x))))
+    df = df.withColumn("__g", F.when(F.size(F.array_distinct("__h")) < F.size("__h"), numbered).otherwise(none("bigint"))).withColumn("__n", equal("__g"))
+    df = df.withColumn("__p", F.sort_array(F.slice(F.zip_with("__g", either, lambda x, e: F.struct(x["p"].alias("p"), e.alias("e"))), 1, F.size("__g"))))
+    three = F.filter(F.arrays_zip(F.col("__p").alias("q"), F.col("__w").alias("a"), shift("__w", 1).alias("b"), shift("__w", 2).alias("c")), lambda x: F.coalesce(x["q"]["e"], F.lit(False)))
+    texts = F.sort_array(F.transform(three, lambda x: F.struct(F.concat_ws(" ", x["a"], x["b"], x["c"]).alias("g"), x["q"]["p"].alias("p"))))
+    df = df.withColumn("__g", F.when(F.size("__p") > 0, texts).otherwise(none("string"))).withColumn("__n", equal("__g"))
+    df = df.withColumn("__p", F.sort_array(F.filter(F.zip_with("__g", either, lambda x, e: F.when(e, x["p"])), lambda x: x.isNotNull()))).withColumn("__low", F.lower("__text"))
+    for lines in good_lines("__l", "__text", "__low"):
+        df = df.withColumn("__kept", lines)
 
     # each position of a repeated window covers three words; those already covered by the one before count once
     state = "struct<n:bigint,last:int>"
@@ -100,10 +134,11 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     few = (F.col("n_words") < MIN_WORDS) & (F.col("n_words") + unspaced / 2 < MIN_WORDS)
     again = 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     df = df.withColumn("kept", ~few & ~again & (100 * F.col("__kept_chars") >= MIN_KEPT_PERCENT * F.col("__all_chars")))
-    return df.drop("__text", "__w", "__l", "__g", "__n", "__p", "__kept", "__all_chars", "__kept_chars")
+    return df.drop("__text", "__low", "__w", "__l", "__h", "__g", "__n", "__p", "__kept", "__all_chars", "__kept_chars")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clean_lines of documents without the cleaned texts; edge cases as there."""
     return clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_bad_lines")
 
 
