@@ -1,9 +1,10 @@
-"""Main text of pages by union-free wrappers: same-host pages are aligned into one expression with slots, options and repeats.
+"""Main text of pages by union-free wrappers: token streams of same-host pages are aligned into one expression with slots, options and repeats.
 
-A wrapper is a tree. Each element holds a sequence of items (content, optional, repeated); an item is an element, a text
-slot, or a group of items that repeats. Aligning two sequences keeps what both have, makes what one lacks optional and
-folds what comes again into repeats; texts that differ become slots, equal ones stay part of the template. Alternatives
-don't exist. Wrappers of wrappers are made the same way, so a host's pages are merged within tasks, then level by level.
+A wrapper is a stream of tokens like a page's: tags, texts, and groups of them, each of which may be optional or repeated.
+Aligning two streams level by level keeps what both have; texts that differ become slots, equal ones stay part of the
+template; what one lacks becomes optional, what comes again is folded into repeats. Alternatives don't exist. Wrappers of
+wrappers are made the same way, so a host's pages are merged within tasks, then level by level. The wrapper then says
+where a host's articles stand and which texts there are the template's.
 """
 
 from __future__ import annotations
@@ -11,11 +12,13 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,29 +59,42 @@ _OWN_HEADER = re.compile(r"(?<!\S)(?:entry|post|article|story|content|section)[_
 _PLAIN_HEADER = re.compile(r"(?<!\S)(?:page[_-]?)?header(?!\S)", re.IGNORECASE)
 #: Names of layouts, such as has-sidebar, say what stands beside an element and not what it is.
 _BESIDE = re.compile(r"(?<!\S)(?:has|no|with|without)[_-]\S+", re.IGNORECASE)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|([^<]+|<)", re.DOTALL)
+#: A quotation mark begins a value only after an equals sign.
+_ATTRIBUTES = r"(?:[^=>]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>?|([^<]+|<)", re.DOTALL)
+_ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S*))")
 _MARK = re.compile(r"(?<![\w:.-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-#: Longest repeat that is looked for, most items of one element before it becomes a repeat of options, levels of a
-#: wrapper: what lies deeper is one slot of it. The tree that texts are read from has all levels.
-PERIOD, WIDEST, DEEPEST = 4, 24, 60
+_BARE_SLASH = re.compile(r"=\s*(?:[^\s\"']\S*)?/$")
+_MAIN = re.compile(r"\b(?:main|article)\b")
+#: A level of a wrapper with more items is written as a repeat of options.
+WIDEST = 24
+#: Pages that share over so many times the characters in which they differ are copies.
+COPIES = 4
 #: A class, id or role that is on less than one of so many pages of its host, or on one page only, is no layout's.
 RARE = 20
 _DIGITS = re.compile(r"\d+")
+#: Pages of one host that a task aligns at one time, so that what some of them share is known from the start, and tokens
+#: that a task reads before it passes its wrappers on.
+TOGETHER, WAITING = 16, 2_000_000
 #: Wrappers of one host merged in one call, and characters of rules that may be broadcast.
 FAN_IN, BROADCAST_CHARS = 64, 16_000_000
 
 
 class Element:
-    """marks: class, id and role for the key; names: class and role; inside: in an article, a section or the main element."""
+    """marks: class, id and role for the key; names: class and role; inside: in an article, a section or the main element.
 
-    __slots__ = ("name", "marks", "names", "ident", "inside", "items")
+    links: how many it holds; texted: whether it holds text outside links. The key of what holds links only ends with @.
+    """
+
+    __slots__ = ("name", "marks", "names", "ident", "inside", "items", "links", "texted")
 
     def __init__(self, name: str, marks: str = "", names: str = "", ident: str = "", inside: bool = False) -> None:
         self.name, self.marks, self.names, self.ident, self.inside, self.items = name, marks, names, ident, inside, []
+        self.links, self.texted = 0, False
 
     @property
     def key(self) -> str:
-        return f"{self.name} {self.marks}" if self.marks else self.name
+        return f"{self.name}{' ' if self.marks else ''}{self.marks}{'@' if self.links > 1 and not self.texted else ''}"
 
     def boiler(self) -> bool:
         own = self.name == "header" and self.inside
@@ -112,11 +128,13 @@ def parse(page: str, kept: frozenset[str] | None = None) -> Element:
     blocks = [0]
 
     def close(depth: int) -> None:
-        for e in reversed(stack[depth:]):
+        for _ in range(len(stack) - depth):
+            e = stack.pop()
             where[e.name].pop()
             if e.name in BLOCKS:
                 blocks.pop()
-        del stack[depth:]
+            stack[-1].links += e.links + (e.name == "a")
+            stack[-1].texted |= e.texted and e.name != "a"
 
     def last(names: set[str]) -> int:
         return max((where[k][-1] for k in names if where.get(k)), default=0)
@@ -126,6 +144,7 @@ def parse(page: str, kept: frozenset[str] | None = None) -> Element:
         at = m.end()
         if m[4] is not None:
             stack[-1].items.append(m[4])
+            stack[-1].texted = stack[-1].texted or not m[4].isspace()
             continue
         if m[2] is None:
             continue
@@ -144,7 +163,7 @@ def parse(page: str, kept: frozenset[str] | None = None) -> Element:
             fenced = last(fence) if name in ("tr", "td", "th") else max(last(fence), blocks[-1])
             if (mine := last(own)) and mine >= fenced:
                 close(mine)
-        found = sorted((k.lower(), a or b or c) for k, a, b, c in _MARK.findall(m[3])) if "=" in m[3] else []
+        found = sorted((k.lower(), a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[3]) if k.lower() in ("class", "id", "role")) if "=" in m[3] else []
         marks, names = " ".join(v for _, v in found), " ".join(v for k, v in found if k != "id")
         marks = marks if kept is None else layout(marks, kept)
         inside = name == "header" and bool(where.get("article") or where.get("main") or where.get("section"))
@@ -154,197 +173,342 @@ def parse(page: str, kept: frozenset[str] | None = None) -> Element:
             end = re.compile(f"</{name}(?=[\\s/>]|$)", re.IGNORECASE).search(page, at)
             e.items.append(page[at : end.start() if end else n])
             at = n if not end else (page.find(">", end.end()) + 1 or n)
-        elif name not in VOID and not m[3].endswith("/"):
+        elif name not in VOID and not (m[3].endswith("/") and not _BARE_SLASH.search(m[3])):
             where.setdefault(name, []).append(len(stack))
             if name in BLOCKS:
                 blocks.append(len(stack))
             stack.append(e)
+    close(1)
     return root
 
 
-# A wrapper's item is a list [key, optional, repeated, body]; key "#": body [hash or null for a slot, characters, texts];
-# key "": a group, body its items; else an element, body its items.
+# A wrapper is a stream of tokens: a start tag ["<", key, optional, repeated, pages], the end ">" of it, a text ["#", hash or
+# None for a slot, optional, repeated, pages, characters], a group ["(", optional, repeated, pages, of options] and its end ")". pages: on
+# how many pages the token was met. A page is a wrapper of one page. The first token is the page itself.
+#
+# While streams are aligned, one level at a time, what stands between a start tag and its end is an item
+# [shape, optional, repeated, pages, hash, characters, inside]: shape is what must agree for two items to be one; hash is
+# that of its constant content or None; inside lists the stretches of streams that it stands for, or a group's items.
 
 
-def deep_chars(e: Element) -> int:
-    """Characters of an element's texts, outside links and what never holds an article's text."""
-    total, todo = 0, [e]
+def stream_of(root: Element) -> list:
+    """The token stream of a page, without what never holds an article's text."""
+    out: list = []
+    todo: list = [root]
     while todo:
-        for x in todo.pop().items:
-            if isinstance(x, str):
-                total += len(" ".join(x.split()))
-            elif not (x.name in RAW or x.name == "a" or x.boiler()):
-                todo.append(x)
-    return total
-
-
-def wrap(e: Element, depth: int = 0) -> list:
-    """The wrapper of one page."""
-    if depth == DEEPEST:
-        return [["#", 0, 0, [None, chars, 1]]] if (chars := deep_chars(e)) else []
-    items = []
-    for x in e.items:
-        if isinstance(x, str):
-            if (text := " ".join(x.split())) and e.name not in RAW:
-                items.append(["#", 0, 0, [hash_of(text), len(text), 1]])
-        elif not (x.name in RAW or x.name in VOID or x.boiler()):
-            items.append([x.key, 0, 0, wrap(x, depth + 1)])
-    return fold(items)
+        x = todo.pop()
+        if x is None:
+            out.append(">")
+        elif isinstance(x, str):
+            if text := " ".join(x.split()):
+                out.append(["#", hash_of(text), 0, 0, 1, len(text)])
+        elif x is root or not (x.name in RAW or x.name in VOID or x.boiler()):
+            out.append(["<", x.key, 0, 0, 1])
+            todo.append(None)
+            todo += reversed(x.items)
+    return out
 
 
 def hash_of(text: str) -> int:
-    import xxhash
-
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
-def shape(item: list) -> str:
-    """What must agree for two items to be one: an element's key, or a group's first key."""
-    return item[0] if item[0] else "(" + "|".join(shape(x) for x in item[3])
+def indexed(stream: list) -> tuple[list, list[int], list[int | None]]:
+    """The stream, where the element or group that starts at each place ends, and the hash of its content if all of that is constant."""
+    ends, hashes, todo = [0] * len(stream), [None] * len(stream), [[]]
+    starts: list[int] = []
+    for i, t in enumerate(stream):
+        if isinstance(t, str):
+            inner, start = todo.pop(), starts.pop()
+            ends[start] = i
+            known = None if None in inner or stream[start][0] == "(" else hash((stream[start][1], *inner))
+            hashes[start] = known
+            todo[-1].append(None if known is None or any(stream[start][2:4]) else known)
+        elif t[0] == "#":
+            hashes[i] = t[1]
+            todo[-1].append(None if t[2] or t[3] else t[1])
+        else:
+            starts.append(i)
+            todo.append([])
+    return stream, ends, hashes
+
+
+def level(stretch: tuple) -> list[list]:
+    """The items of one level."""
+    (stream, ends, hashes), at, end = stretch
+    out = []
+    while at < end:
+        t = stream[at]
+        if t[0] == "#":
+            out.append(["#", t[2], t[3], t[4], t[1], t[5], []])
+            at += 1
+            continue
+        if t[0] == "<":
+            out.append([t[1], t[2], t[3], t[4], hashes[at], 0, [((stream, ends, hashes), at + 1, ends[at])]])
+        else:
+            out.append(group(level(((stream, ends, hashes), at + 1, ends[at])), *t[1:]))
+        at = ends[at] + 1
+    return out
+
+
+def group(items: list[list], optional: int, repeated: int, pages: int, options: int = 0) -> list:
+    return ["(*" if options else "(" + "|".join(x[0] for x in items), optional, repeated, pages, None, 0, items]
 
 
-def join(a: list, b: list) -> list:
-    """One item that stands for either, of equal shape."""
-    if a[0] == "#":
-        (h, c, n), (i, d, m) = a[3], b[3]
-        body = [h if h == i else None, c + d, n + m]
-    else:
-        body = align(a[3], b[3])
-    return [a[0], a[1] | b[1], a[2] | b[2], body]
+def joined(x: list, y: list, again: bool = False) -> list:
+    """One item that stands for either, of equal shape; again: both are on one page."""
+    inside = [joined(p, q, again) for p, q in zip(x[6], y[6], strict=True)] if x[0][:1] == "(" else x[6] + y[6]
+    known = x[4] if x[4] == y[4] else None
+    if again:
+        return [x[0], x[1] & y[1], x[2] | y[2], max(x[3], y[3]), known, x[5] + y[5], inside]
+    return [x[0], x[1] | y[1], x[2] | y[2], x[3] + y[3], known, x[5] + y[5], inside]
 
 
-def again(a: list, b: list) -> list:
-    """As join, for two that follow each other: they repeat, and their texts are slots."""
-    out = join(a, b)
-    return [out[0], out[1], 1, [None, *out[3][1:]] if out[0] == "#" else out[3]]
+def repeat(x: list, y: list) -> list:
+    out = joined(x, y, again=True)
+    out[2] = 1
+    return out
 
 
-def fold(items: list) -> list:
-    """Neighbours of the same shapes become one repeated item or group; too wide a sequence, a repeat of options."""
-    for period in range(1, PERIOD + 1):
-        out: list = []
-        for x in items:
+def anchored(x: list, shared: set | frozenset) -> bool:
+    """Is the item a constant that several pages have? Such items are no part of repeats."""
+    return x[4] is not None and (x[3] > 1 or x[4] in shared)
+
+
+def folded(items: list[list], shared: set | frozenset) -> list[list]:
+    """Neighbours of one shape, and rows of any length that come again, become repeats; too wide a level, a repeat of options."""
+    out: list[list] = []
+    where = defaultdict(list)  # places in out of items, or of groups that end with one, by shape
+    for x in items:
+        if anchored(x, shared):
             out.append(x)
-            while len(out) >= 2 * period or (period > 1 and len(out) > period and out[-period - 1][0] == ""):
-                tail = out[-period:]
-                names = [shape(y) for y in tail]
-                if period > 1 and len(out) > period and out[-period - 1][0] == "" and [shape(y) for y in out[-period - 1][3]] == names:
-                    group = out[-period - 1]
-                    out[-period - 1 :] = [["", group[1], 1, [join(p, q) for p, q in zip(group[3], tail, strict=True)]]]
-                elif len(out) >= 2 * period and [shape(y) for y in out[-2 * period : -period]] == names and (period == 1 or len(set(names)) > 1):
-                    both = [again(p, q) if period == 1 else join(p, q) for p, q in zip(out[-2 * period : -period], tail, strict=True)]
-                    out[-2 * period :] = both if period == 1 else [["", 0, 1, both]]
-                else:
-                    break
-        items = out
-    return items if len(items) <= WIDEST else widen(items)
-
-
-def widen(items: list) -> list:
-    flat: dict[str, list] = {}
+            continue
+        if out and out[-1][0] == x[0] and not anchored(out[-1], shared):
+            out[-1] = repeat(out[-1], x)
+            continue
+        out.append(x)
+        last = len(out) - 1
+        for j in reversed(where[x[0]]):
+            if j >= last:
+                continue
+            before, row = out[j], out[j + 1 :]
+            if before[0][:1] == "(" and [y[0] for y in before[6]] == [y[0] for y in row]:
+                out[j:] = [repeat(before, group(row, 0, 1, max(y[3] for y in row)))]
+                break
+            n = last - j
+            if n > 1 and j + 1 >= n and before[0] == x[0] and [y[0] for y in out[j + 1 - n : j + 1]] == [y[0] for y in row] and not any(anchored(y, shared) for y in out[j + 1 - n :]):
+                rows = [group(out[j + 1 - n : j + 1], 0, 1, max(y[3] for y in row)), group(row, 0, 1, max(y[3] for y in row))]
+                out[j + 1 - n :] = [repeat(*rows)]
+                break
+        where[x[0]].append(len(out) - 1)
+    return out if len(out) <= WIDEST else widened(out, shared)
+
+
+def widened(items: list[list], shared: set | frozenset) -> list[list]:
+    """A repeat of options: one for each shape and each anchored constant."""
+    options: dict[tuple, list] = {}
     for x in items:
-        for y in x[3] if x[0] == "" else [x]:
-            flat[shape(y)] = again(flat[shape(y)], y) if shape(y) in flat else y
-    return [["", 0, 1, [[k, 1, r, body] for k, _, r, body in flat.values()]]]
-
-
-def align(a: list, b: list) -> list:
-    """The longest common subsequence of shapes is joined; the rest becomes optional."""
-    x, y = [shape(i) for i in a], [shape(i) for i in b]
-    if x == y:
-        return [join(p, q) for p, q in zip(a, b, strict=True)]
-    if len(a) == 1 and a[0][0] == "" and a[0][2] and all(i[1] for i in a[0][3]):
-        return fold(widen([*a, *b]))
+        for y in x[6] if x[0][:1] == "(" else [x]:
+            k = (y[0], y[4] if anchored(y, shared) else None)
+            options[k] = joined(options[k], y, again=True) if k in options else y
+    rows = [[y[0], 1, *y[2:]] for y in options.values()]
+    return [group(rows, 0, 1, max((y[3] for y in rows), default=1), options=1)]
+
+
+def align(a: list[list], b: list[list], shared: set | frozenset) -> list[list]:
+    """Two levels of items as one: equal constants first, then equal shapes, in order; texts that differ become slots, what one lacks is optional."""
+    both = {x[4] for x in a if x[4] is not None} & {x[4] for x in b if x[4] is not None} | shared
+    a, b = folded(a, both), folded(b, both)
+    if any(x[0] == "(*" for x in (*a, *b)):
+        return widened([*a, *b], both)
+
+    def worth(x: list, y: list) -> int:
+        if x[0] != y[0]:
+            return 0
+        if x[4] is not None and x[4] == y[4]:
+            return 8
+        return 1 if anchored(x, both) or anchored(y, both) else 2
+
+    w = [[worth(x, y) for y in b] for x in a]
+    if len(a) == len(b) and all(w[i][i] > 1 for i in range(len(a))):
+        return [joined(x, y) for x, y in zip(a, b, strict=True)]
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + w[i][j] if w[i][j] else 0)
     i = j = 0
     out = []
     while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and x[i] == y[j]:
-            out.append(join(a[i], b[j]))
+        if i < len(a) and j < len(b) and w[i][j] and best[i][j] == best[i + 1][j + 1] + w[i][j]:
+            out.append(joined(a[i], b[j]))
             i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
+        elif j == len(b) or (i < len(a) and best[i][j] == best[i + 1][j]):
             out.append([a[i][0], 1, *a[i][2:]])
             i += 1
         else:
             out.append([b[j][0], 1, *b[j][2:]])
             j += 1
-    return fold(out)
+    return folded(out, both)
+
+
+def merge(streams: list[list]) -> list:
+    """The wrapper of wrappers, aligned one after the other from the outermost level inwards."""
+    if len(streams) == 1:
+        return streams[0]
+    parts = [indexed(s) for s in streams]
+    met = Counter(h for _, _, hashes in parts for h in {h for h in hashes if h is not None})
+    shared = frozenset(h for h, n in met.items() if n > 1)
+    out: list = []
+    todo: list = [("in", [(p, 0, len(p[0])) for p in parts], sum(s[0][4] for s in streams))]
+    while todo:
+        kind, x, pages = todo.pop()
+        if kind == "out":
+            out.append(x)
+            continue
+        if kind == "in":
+            items = level(x[0])
+            for stretch in x[1:]:
+                items = align(items, level(stretch), shared)
+        else:
+            items = x
+        for shape, optional, repeated, n, known, chars, inside in reversed(items):
+            n = min(n, pages)
+            if shape == "#":
+                todo.append(("out", ["#", known, optional, repeated, n, chars], n))
+            elif shape[:1] == "(":
+                todo += [("out", ")", n), ("items", inside, n), ("out", ["(", optional, repeated, n, int(shape == "(*")], n)]
+            else:
+                todo += [("out", ">", n), ("in", inside, n), ("out", ["<", shape, optional, repeated, n], n)]
+    return out
 
 
-def mass(items: list, linked: bool = False) -> int:
-    """Characters in slots that differ between pages, outside links. What never holds an article's text is in no wrapper."""
-    total = 0
-    for key, _, _, body in items:
-        if key == "#":
-            total += 0 if linked or (body[0] is not None and body[2] > 1) else body[1]
-        elif key == "":
-            total += mass(body, linked)
-        else:
-            total += mass(body, linked or key.split(" ")[0] == "a")
-    return total
+def below(place: int, key: str) -> int:
+    """The number of a path of keys that is one longer."""
+    return xxhash.xxh64_intdigest(f"{place:x}/{key}".encode("utf-8", "surrogatepass"))
 
 
-def content_path(items: list) -> list[str]:
-    """Keys from the page to the main element: <article> or <main> if the wrapper has one, else down while one child holds most."""
+def rule(wrapper: list) -> dict:
+    """What a wrapper says of its pages: path, the keys from the page to the main element; drop, texts of the template there; menus, paths of menus there.
 
-    def named(level: list, path: list[str]) -> list[tuple[int, list[str]]]:
-        out = []
-        for key, _, _, body in level:
-            if key in ("#", ""):
-                out += named(body, path) if key == "" else []
-                continue
-            name, _, marks = key.partition(" ")
-            if name in ("article", "main") or re.search(r"\b(main|article)\b", marks):
-                out.append((mass(body) + (1 if name == "article" else 0), [*path, key]))
-            out += named(body, [*path, key])
-        return out
-
-    if found := [f for f in named(items, []) if f[0] > 1]:
-        inner = [f for f in found if f[1][-1].split(" ")[0] == "article"] or found
-        return max(inner, key=lambda f: (f[0], f[1]))[1]
+    A text is the template's if over half of the pages have it in one place, two at least. The main element is <article>
+    or <main> if the wrapper has one: the page says itself what its article is, and nothing in it is dropped. Else it is
+    found by going down while one child's slots hold most characters outside links. Where constants have over COPIES times
+    the slots' characters the pages are copies of each other, and constants are text like any other.
+    """
+    pages = wrapper[0][4]
+    n = len(wrapper)
+    slots, constant, parent, ends = [0] * n, [0] * n, [-1] * n, [0] * n
+    place, inner = [0] * n, [False] * n  # inner: in a link
+    texts, starts, todo = [], [], []
+    for i, t in enumerate(wrapper):
+        up = todo[-1] if todo else -1
+        if isinstance(t, str):
+            at = todo.pop()
+            ends[at] = i
+            if (up := todo[-1] if todo else -1) >= 0:
+                for sums in (slots, constant):
+                    sums[up] += sums[at]
+            continue
+        parent[i] = up
+        inner[i] = up >= 0 and inner[up]
+        if t[0] == "#":
+            fixed = t[1] is not None and t[4] > 1 and 2 * t[4] > pages
+            if fixed:
+                texts.append((i, below(place[up], f"#{t[1]}")))
+            if fixed or not inner[i]:
+                (constant if fixed else slots)[up] += t[5]
+            continue
+        todo.append(i)
+        place[i] = place[up] if t[0] == "(" else below(place[up] if up >= 0 else 0, t[1])
+        if t[0] == "<":
+            starts.append(i)
+            inner[i] = inner[i] or t[1].split(" ")[0] == "a"
+
+    def path_to(i: int) -> list[str]:
+        keys = []
+        while i > 0:
+            if wrapper[i][0] == "<":
+                keys.append(wrapper[i][1])
+            i = parent[i]
+        return keys[::-1]
+
+    named = []
+    for i in starts:
+        name, _, marks = wrapper[i][1].partition(" ")
+        if (name in ("article", "main") or _MAIN.search(marks)) and slots[i] + (name == "article") > 1:
+            named.append((name == "article", slots[i], i))
+    if named:
+        articles = [x for x in named if x[0]] or named
+        most = max(x[1] for x in articles)
+        return {"path": max(path_to(i) for _, k, i in articles if k == most), "drop": [], "menus": []}
+    children = defaultdict(list)
+    for i in starts[1:]:
+        up = parent[i]
+        while wrapper[up][0] == "(":
+            up = parent[up]
+        children[up].append(i)
     path: list[str] = []
+    here = [0]
     while True:
-        level = [x for i in items for x in (i[3] if i[0] == "" else [i])]
-        own = sum(mass([x]) for x in level)
-        best = max((x for x in level if x[0] != "#"), key=lambda x: mass([x]), default=None)
-        if best is None or best[0].split(" ")[0] in ("p", "table", "ul", "ol") or mass([best]) * 10 < 7 * max(own, 1) or not mass([best]):
-            return path
-        path.append(best[0])
-        items = best[3]
-
-
-def main_text(root: Element, path: list[str]) -> str:
-    """Blocks of all elements at the path, else of the page's own article, main element or body."""
-    places = [root]
-    for key in path:
+        by_key: Counter = Counter()
+        for i in here:
+            for c in children[i]:
+                by_key[wrapper[c][1]] += slots[c]
+        key, most = max(by_key.items(), key=lambda kv: kv[1], default=("", 0))
+        if not most or key.split(" ")[0] in ("p", "table", "ul", "ol") or most * 10 < 7 * sum(slots[i] for i in here):
+            break
+        path.append(key)
+        here = [c for i in here for c in children[i] if wrapper[c][1] == key]
+    if sum(constant[i] for i in here) > COPIES * sum(slots[i] for i in here):
+        return {"path": path, "drop": [], "menus": []}
+    inside = lambda i: any(h < i < ends[h] for h in here)
+    menus = {place[i] for i in starts if wrapper[i][1][-1] == "@" and inside(i)}
+    return {"path": path, "drop": sorted({k for i, k in texts if inside(i)}), "menus": sorted(menus)}
+
+
+@dataclass(frozen=True)
+class Rule:
+    """path, drop and menus of rule(), and the host's marks."""
+
+    path: tuple[str, ...] = ()
+    drop: frozenset[int] = frozenset()
+    menus: frozenset[int] = frozenset()
+    kept: frozenset[str] | None = None
+
+
+def main_text(root: Element, found: Rule) -> str:
+    """Blocks of all elements at the rule's path, without the template's texts and menus; else of the page's own article, main element or body."""
+    places, at = [root], below(0, root.key)
+    for key in found.path:
         places = [x for p in places for x in p.items if isinstance(x, Element) and x.key == key and not x.boiler()]
-    if not path or not places:
-        places = _own(root)
-    elif len(path) >= DEEPEST:  # the wrapper does not tell what lies below
-        places = [x for p in places for x in _own(p)]
+        at = below(at, key)
+    told = bool(found.drop or found.menus)
+    if not places or not (found.path or told):
+        places, told = _own(root), False
     blocks: list[list[str]] = [[]]
 
     for p in places:
         blocks.append([])
-        todo: list[Element | str | None] = p.items[::-1]
+        todo: list[tuple] = [(x, at) for x in reversed(p.items)]
         while todo:
-            x = todo.pop()
+            x, up = todo.pop()
             if x is None:
                 blocks.append([])
             elif isinstance(x, str):
-                blocks[-1].append(x)
+                if not told or below(up, f"#{hash_of(' '.join(x.split()))}") not in found.drop:
+                    blocks[-1].append(entities.unescape(x))
             elif x.boiler() or x.name == "br":
                 blocks[-1].append(" ")
-            elif x.name in BLOCKS:
-                blocks.append([])
-                todo.append(None)
-                todo += reversed(x.items)
             elif x.name not in RAW:
-                todo += reversed(x.items)
-    texts = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
+                here = below(up, x.key) if told else 0
+                if told and here in found.menus:
+                    blocks[-1].append(" ")
+                    continue
+                if x.name in BLOCKS:
+                    blocks.append([])
+                    todo.append((None, 0))
+                todo += [(y, here) for y in reversed(x.items)]
+    texts = (" ".join("".join(b).split()) for b in blocks)
     return "\n".join(t for t in texts if t)
 
 
@@ -405,9 +569,11 @@ def kept_of(note: str | None) -> frozenset[str] | None:
 
 
 @lru_cache(256)
-def rule_of(note: str | None) -> tuple[list[str], frozenset[str] | None]:
-    path, kept = json.loads(note or "[[], null]")
-    return path, None if kept is None else frozenset(kept)
+def rule_of(note: str | None) -> Rule:
+    if note is None:
+        return Rule()
+    own, kept = json.loads(note)
+    return Rule(tuple(own["path"]), frozenset(own["drop"]), frozenset(own["menus"]), None if kept is None else frozenset(kept))
 
 
 def wrappers(pages: DataFrame, kept: DataFrame) -> DataFrame:
@@ -420,25 +586,29 @@ def wrappers(pages: DataFrame, kept: DataFrame) -> DataFrame:
     pages, note = noted(pages.select("host", "html"), kept)
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, own = TaskContext.get().partitionId(), {}
+        part, own = TaskContext.get().partitionId(), defaultdict(list)
+        waiting = 0
 
         def rows() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([part] * len(own), pa.int64()), pa.array([json.dumps(w) for w in own.values()], pa.string())], ["host", "part", "wrapper"])
+            found = [json.dumps(merge(w)) for w in own.values()]
+            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array([part] * len(own), pa.int64()), pa.array(found, pa.string())], ["host", "part", "wrapper"])
 
         for b in slices(batches):
             for h, t, k in zip(b.column(0).to_pylist(), b.column(1), note(b), strict=True):
-                w = wrap(parse(t.as_py() or "", kept_of(k)))
-                own[h] = align(own[h], w) if h in own else w
-            if len(own) > 2000:
+                w = stream_of(parse(t.as_py() or "", kept_of(k)))
+                own[h].append(w)
+                waiting += len(w)
+                if len(own[h]) > TOGETHER:
+                    own[h] = [merge(own[h])]
+            if waiting > WAITING:
                 yield rows()
-                own = {}
+                own.clear()
+                waiting = 0
         yield rows()
 
     def merged(batch: pa.Table) -> pa.Table:
         rows = sorted(zip(batch.column("part").to_pylist(), batch.column("wrapper").to_pylist(), strict=True))
-        out = json.loads(rows[0][1])
-        for _, w in rows[1:]:
-            out = align(out, json.loads(w))
+        out = merge([json.loads(w) for _, w in rows])
         return pa.table({"host": batch.column("host").slice(0, 1), "part": pa.array([rows[0][0] // FAN_IN], pa.int64()), "wrapper": pa.array([json.dumps(out)], pa.string())})
 
     schema = "host string, part long, wrapper string"
@@ -466,13 +636,13 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
 
     def to_path(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([json.dumps(content_path(json.loads(w.as_py()))) for w in b.column(1)], pa.string())], ["host", "path"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([json.dumps(rule(json.loads(w.as_py()))) for w in b.column(1)], pa.string())], ["host", "path"])
 
     kept = cut(common_marks(p), "html-kept")
     paths = cut(wrappers(p, kept).mapInArrow(to_path, "host string, path string"), "html-paths")
-    rule = F.concat(F.lit("["), F.col("path"), F.lit(","), F.coalesce("kept", F.lit("null")), F.lit("]")).alias("rule")
+    both = F.concat(F.lit("["), F.col("path"), F.lit(","), F.coalesce("kept", F.lit("null")), F.lit("]")).alias("rule")
     own = kept.withColumnRenamed("host", "kept_host")
-    p, note = noted(p, cut(paths.join(own, F.col("host") == F.col("kept_host"), "left").select("host", rule), "html-rules"))
+    p, note = noted(p, cut(paths.join(own, F.col("host") == F.col("kept_host"), "left").select("host", both), "html-rules"))
     kind = f"page_id {dict(p.dtypes)['page_id']}, url string, text string, n_chars long"
 
     def done(b: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
@@ -482,12 +652,13 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
         for b in slices(batches):
             texts = []
             for t, k in zip(b.column(2), note(b), strict=True):
-                path, kept = rule_of(k)
-                texts.append(main_text(parse(t.as_py() or "", kept), path))
+                found = rule_of(k)
+                texts.append(main_text(parse(t.as_py() or "", found.kept), found))
             yield done(b, texts)
 
     return p.mapInArrow(work, kind)
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """extract of pages; edge cases as there."""
     return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))

@@ -1,12 +1,11 @@
 """Each operator against brute force, and on nulls, empty and long texts, repeated rows, empty tables and clashing names."""
 
 import collections
-import hashlib
-import html
 import math
 import random
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -453,26 +452,108 @@ def test_simhash_rows_without_id_link_others(spark, monkeypatch):
 # 10
 
 
+class _Article(HTMLParser):
+    """The text of <article> by the standard library's parser: blocks are what stands between tags of BREAKS, br is a space."""
+
+    BREAKS = set("p h1 h2 h3 ul ol li div section article blockquote table tr td".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.hidden, self.blocks = 0, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.hidden += tag in ("script", "style")
+        self.blocks += [""] * (tag in self.BREAKS)
+        self.blocks[-1] += " " * (tag == "br")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.hidden -= tag in ("script", "style")
+        self.blocks += [""] * (tag in self.BREAKS)
+
+    def handle_data(self, data):
+        if self.depth and not self.hidden:
+            self.blocks[-1] += data
+
+
 def test_html_articles(spark, data):
     def own(page):
-        body = re.search(r"<article>(.*?)</article>", page, re.DOTALL)[1]
-        blocks = (" ".join(html.unescape(re.sub("<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", body))
-        return "\n".join(b for b in blocks if b)
+        parser = _Article()
+        parser.feed(page)
+        parser.close()
+        return "\n".join(t for b in parser.blocks if (t := " ".join(b.split())))
 
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     rows = html_extract.op10_html_extract(spark, data).collect()
     assert len(rows) == len(pages) and all(r.text == own(pages[r.page_id]) and r.n_chars == len(r.text) for r in rows)
 
 
+def _wrapper(*pages):
+    return html_extract.merge([html_extract.stream_of(html_extract.parse(p)) for p in pages])
+
+
+def _rule(*pages):
+    r = html_extract.rule(_wrapper(*pages))
+    return html_extract.Rule(tuple(r["path"]), frozenset(r["drop"]), frozenset(r["menus"]))
+
+
+def _shown(wrapper):
+    """A wrapper as text: =constant, . slot, ? and + after what is optional and repeated."""
+    out, open_ = [], []
+    for t in wrapper:
+        if isinstance(t, str):
+            out.append(f"{t}{open_.pop()}")
+        elif t[0] == "#":
+            out.append(("." if t[1] is None else "=") + "?" * t[2] + "+" * t[3])
+        else:
+            out.append(t[1] if t[0] == "<" else "(")
+            optional, repeated = t[2:4] if t[0] == "<" else t[1:3]
+            open_.append("?" * optional + "+" * repeated)
+    return " ".join(out)
+
+
 def test_html_wrappers():
-    page = lambda *items: html_extract.wrap(html_extract.parse("<body><h1>Site</h1><ul>" + "".join(f"<li><b>{x}</b></li>" for x in items) + "</ul></body>"))
-    got = html_extract.align(page("a", "b"), html_extract.wrap(html_extract.parse("<body><h1>Site</h1><p>extra</p></body>")))
-    body = got[0][3]
-    assert [(x[0], x[1], x[2]) for x in body] == [("h1", 0, 0), ("ul", 1, 0), ("p", 1, 0)] or [(x[0], x[1], x[2]) for x in body] == [("h1", 0, 0), ("p", 1, 0), ("ul", 1, 0)]
-    assert body[0][3][0][3][0] is not None  # an equal text stays in the template
-    assert next(x for x in body if x[0] == "ul")[3][0][:3] == ["li", 0, 1]
-    pairs = html_extract.wrap(html_extract.parse("<dl>" + "<dt>k<dd>v" * 5 + "</dl>"))
-    assert pairs[0][3][0][0] == "" and [x[0] for x in pairs[0][3][0][3]] == ["dt", "dd"]
+    page = lambda *items: "<body><h1>Site</h1><ul>" + "".join(f"<li><b>{x}</b></li>" for x in items) + "</ul></body>"
+    assert _shown(_wrapper(page("a", "b"), page("c", "d", "e"))) == "#page body h1 = > ul li b . > >+ > > >"
+    assert _shown(_wrapper(page("a", "b"), "<body><h1>Site</h1><p>extra</p></body>")) in (f"#page body h1 = > {x} > >" for x in ("ul li b . > >+ >? p = >?", "p = >? ul li b . > >+ >?", "ul li b = > > li b = > > >? p = >?", "p = >? ul li b = > > li b = > > >?"))
+    pairs = lambda w: f"<dl>{''.join(f'<dt>{w}{i}<dd>{w}v{i}' for i in range(5))}</dl>"
+    assert _shown(_wrapper(pairs("a"), pairs("b"))) == "#page dl ( dt . > dd . > )+ > >"
+    notes = [f"<p>Text {w} of it</p>" * 2 + "<p>Copyright</p>" for w in "abc"]
+    assert _shown(_wrapper(*notes)) == "#page p . >+ p = > >"
+    wide = ["".join(f"<p>{w}{i}</p><{t}>x{w}{i}</{t}>" for i, t in enumerate(f"h{1 + int(r.integers(6))}" for _ in range(60))) for w, r in (("a", np.random.default_rng(1)), ("b", np.random.default_rng(2)))]
+    assert len(_wrapper(*wide)) < 60 and html_extract.main_text(html_extract.parse(wide[0]), _rule(*wide)).count("\n") == 119
+
+
+#: Pages without article, main or telling names.
+NAMELESS = [
+    f"<html><body><div>Welcome to our pages, where you find all of it. <a href=/>Log in</a></div><div><a href=/a>Rivers {w}</a><a href=/b>Stones</a></div><div class={c}{i}><p>{w} begins here and goes on for a while.</p><ul><li>{w} one</li><li>two {w}</li></ul></div><div>Copyright by its owner. No part may be used.</div></body></html>"
+    for c in ("x", "y") for i, w in enumerate(("Water", "A long story", "Nothing", "Somebody"), 1)
+]
+
+
+@pytest.mark.parametrize("pages", [NAMELESS[:3], NAMELESS[:2], NAMELESS, [p.replace("class=", "data-c=") for p in NAMELESS[:4]]])
+def test_html_wrappers_find_text_without_names(spark, pages):
+    """What is equal on the pages of a host is the template's, links beside it are a menu; an empty wrapper shows all of it."""
+    rows = [(i, "http://h/", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, p in enumerate(pages):
+        want = re.search("<p>(.*?) begins", p)[1]
+        assert got[i] == f"{want} begins here and goes on for a while.\n{want} one\ntwo {want}"
+        assert html_extract.main_text(html_extract.parse(p), html_extract.Rule()) != got[i]
+
+
+def test_html_copies_keep_their_text(spark):
+    rows = [(i, "http://h/", "<body><div>Some <i>text</i> here</div><p>and more</p></body>") for i in range(4)]
+    assert {r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"Some text here\nand more"}
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<a href=x title=it's>link</a> on", "link on"), ("<p title='a>b'>x</p>", "x"), ("<a href=/>Log in</a> y", "Log in y"), ("<a href=/x/>y</a> z", "y z"), ("a<b>&am</b>p; c", "a&amp; c"), ('<p class="a" id=b/c/>x<br/>y', "x y"), ("1 < 2 &lt; 3", "1 < 2 < 3"),
+    ('<p title="class=ad">x</p>', "x"), ("<p title=\"open>x</p>", "x"),
+])
+def test_html_attributes_and_references(page, want):
+    assert html_extract.main_text(html_extract.parse(page), html_extract.Rule()) == want
 
 
 def test_html_edges(spark):
@@ -494,20 +575,16 @@ def test_html_edges(spark):
 @pytest.mark.parametrize("marks", ["commentlist", "comment-form", "reader-comments", "side-bar", "sidebar_left", "topnav", "site-header", "pagefooter", "alert alert-info", "adslot", "ad-unit", "cookie-notice", "discussion"])
 def test_html_marks_of_what_is_no_article(marks):
     page = f"<body class='home has-sidebar'><main class='with-sidebar no-comments'><h1>Title</h1><p>One</p><div class='{marks}'><p>out</p></div><p>Two</p></main></body>"
-    tree = html_extract.parse(page)
-    assert html_extract.main_text(tree, html_extract.content_path(html_extract.wrap(tree))) == "Title\nOne\nTwo"
+    assert _main(page) == "Title\nOne\nTwo"
 
 
 @pytest.mark.parametrize("marks", ["commentary", "shared-history", "subnavigate", "noticeable", "has-sidebar", "researcher"])
 def test_html_marks_of_articles(marks):
-    tree = html_extract.parse(f"<body><article><p>One</p><section class='{marks}'><p>Two</p></section></article></body>")
-    want = "One" if marks == "header-less" else "One\nTwo"  # a name with "header" as a part of its own counts
-    assert html_extract.main_text(tree, html_extract.content_path(html_extract.wrap(tree))) == "One\nTwo"
+    assert _main(f"<body><article><p>One</p><section class='{marks}'><p>Two</p></section></article></body>") == "One\nTwo"
 
 
 def _main(page):
-    tree = html_extract.parse(page)
-    return html_extract.main_text(tree, html_extract.content_path(html_extract.wrap(tree)))
+    return html_extract.main_text(html_extract.parse(page), _rule(page))
 
 
 def test_html_deep_nesting():
@@ -516,6 +593,8 @@ def test_html_deep_nesting():
     unclosed = "<font>line<br>" * 80
     assert _main(f"<body><article><div>{unclosed}<div>x</div></div><p>after</p></article></body>").endswith("x\nafter")
     assert _main("<body>" + "<div>" * 70 + "<article><p>in</p></article><p>out</p>") == "in"
+    many = ["<body>" + "<div>" * 3000 + f"deep {w}<nav>menu</nav>" for w in "ab"]
+    assert [html_extract.main_text(html_extract.parse(p), _rule(*many)) for p in many] == ["deep a", "deep b"]
     assert _main("<body><article>" + "<div>" * 20000 + "deep" + "</div></b>" * 20000 + "<p>after") == "deep\nafter"
 
 
