@@ -7,6 +7,10 @@ arithmetic is done where it is collected.
 
 from __future__ import annotations
 
+from functools import reduce
+from math import prod
+from operator import add, or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +18,7 @@ from .common import cut, spans_of, table
 
 #: Kinds of the base, in the order in which spans at one place are listed, then those that the method may add.
 BASE = ("email", "ip", "card", "phone")
-MORE = ("ssn", "iban", "tel", "account")
+MORE = ("ssn", "iban", "tel", "account", "name", "address", "birth")
 KINDS = BASE + MORE
 # Java patterns. Possessive parts and look-behinds keep matching linear on any text and find what the plain patterns find.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -25,6 +29,25 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 TEL = r"(?<![0-9+.(-])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
+#: Titles, the given names and street words below are gazetteers of English, German, French and Spanish.
+NAME = r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Monsieur|Madame|Mademoiselle|Mme|Mlle|Señora?|Señorita|Sra?|Doña)\.?\x20\p{Lu}[\p{L}'’]+(?:[\x20-]\p{Lu}[\p{L}'’]+){0,2}"
+ADDRESS = (
+    r"(?<![\p{L}\p{N}])(?:[0-9]{1,5}[a-z]?,?\x20(?:\p{Lu}\p{L}+\x20){1,3}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Square)(?!\p{L})"
+    r"|[0-9]{1,5},?\x20(?:bis\x20|ter\x20)?(?:rue|avenue|boulevard|place|chemin|allée|impasse)\x20(?:de\x20la\x20|de\x20|du\x20|des\x20|d['’]|l['’])?\p{Lu}\p{L}+"
+    r"|\p{Lu}\p{L}*(?:straße|strasse|str\.|weg|platz|allee|gasse)\x20[0-9]{1,4}[a-z]?(?![\p{L}\p{N}])"
+    r"|(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo)\x20(?:de\x20la\x20|de\x20|del\x20)?\p{Lu}\p{L}+,?\x20(?:n[.ºo]\x20?)?[0-9]{1,4}(?![\p{L}\p{N}]))"
+)
+BIRTH = r"(?<![0-9./-])(?:[0-3]?[0-9][./-][0-3]?[0-9][./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9])(?![0-9./-]?[0-9])"
+GIVEN_NAMES = (
+    "James|John|Robert|Michael|William|David|Richard|Thomas|Charles|Daniel|Mary|Patricia|Jennifer|Linda|Elizabeth|Susan|Jessica|Sarah|Karen|Emma|Anna|Peter|Paul|Mark|George"
+    "|Hans|Klaus|Jürgen|Wolfgang|Stefan|Andreas|Matthias|Ursula|Monika|Petra|Sabine|Renate|Jean|Pierre|Michel|Philippe|Alain|Nicolas|Marie|Nathalie|Isabelle|Sylvie|Catherine|Françoise"
+    "|José|Antonio|Juan|Manuel|Francisco|Luis|Carlos|Javier|María|Carmen|Ana|Isabel|Laura|Cristina|Marta|Lucía"
+)
+BIRTH_CUES = r"(born|birth|d\.?o\.?b|geboren|geburt|geb\.|\bnée?\b|naissance|nacid|nacimiento)"
+NAME_CUES = r"(dear|contact|attn|signed|author|patient|client|customer|name|regards|liebe|sehr geehrte|kunde|cher|chère|bonjour|estimad|cliente)"
+ADDRESS_CUES = r"(address|lives? (at|in)|resid|located|deliver|ship|send|visit|adresse|wohn|habite|domicil|dirección|vive|reside)"
+#: Lengths of account numbers by country; of other countries nothing is known.
+IBAN_LENGTHS = "AT20|BE16|CH21|DE22|DK18|ES24|FI18|FR27|GB22|IE22|IT27|LU20|NL18|NO15|PL28|PT25|SE24"
 TOP_DOMAINS = "com|org|net|edu|gov|mil|int|info|biz|io|de|fr|es|it|uk|nl|be|ch|at|pl|se|no|fi|dk|pt|eu|ru|cn|jp|kr|in|br|mx|ar|ca|au|us"
 CALLING_CODES = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 IBAN_COUNTRIES = "AD|AT|BE|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IT|LT|LU|LV|MT|NL|NO|PL|PT|RO|SE|SI|SK"
@@ -34,7 +57,7 @@ CONTEXT = 24
 ROUNDS, ACCEPT = 12, 0.5
 ABSTAIN, NO, YES = 0, 1, 2
 _SPAN = "array<struct<s:int,k:int,e:int,code:int>>"
-_N_FEATURES = 8
+_N_FEATURES = 64
 
 
 def _digits(m: Column) -> Column:
@@ -59,11 +82,16 @@ def format_vote(kind: str, m: Column) -> Column:
     if kind == "ssn":
         good = m.rlike("^(?!000|666|9)...-(?!00)..-(?!0000)....$")
         return _vote(good, ~good)
-    return F.lit(ABSTAIN if kind == "account" else YES)
+    if kind == "name":
+        return _vote(m.rlike(r"\x20\p{Lu}[\p{L}'’]+[\x20-]\p{Lu}"), F.lit(False))
+    if kind == "iban":
+        right = reduce(or_, [m.startswith(x[:2]) & (F.length(m) == int(x[2:])) for x in IBAN_LENGTHS.split("|")])
+        return _vote(right, m.rlike(f"^({'|'.join(x[:2] for x in IBAN_LENGTHS.split('|'))})") & ~right)
+    return F.lit(ABSTAIN if kind in ("account", "birth") else YES)
 
 
 def gazetteer_vote(kind: str, m: Column) -> Column:
-    """Lists of top-level domains, calling codes, countries and issuers' first digits."""
+    """Lists of top-level domains, calling codes, countries, issuers' first digits, given names and years of birth."""
     if kind == "email":
         good = m.rlike(rf"(?i)\.({TOP_DOMAINS})$")
         return _vote(good, ~good)
@@ -78,20 +106,35 @@ def gazetteer_vote(kind: str, m: Column) -> Column:
     if kind == "iban":
         good = m.rlike(f"^({IBAN_COUNTRIES})")
         return _vote(good, ~good)
+    if kind == "name":
+        return _vote(m.rlike(f"\\x20({GIVEN_NAMES})(?!\\p{{L}})"), F.lit(False))
+    if kind == "birth":
+        return _vote(m.rlike("(19[2-9]|200|201)[0-9]"), m.rlike("(190|191|202|20[3-9])[0-9]"))
     return F.lit(ABSTAIN)
 
 
-def context_vote(pre: Column) -> Column:
+def context_vote(kind: str, pre: Column) -> Column:
+    """Cues in the text before: for some kinds their own, and their absence counts against a date."""
     low = F.lower(pre)
-    return _vote(low.rlike(CUES), low.rlike(COUNTER_CUES))
+    if kind == "birth":
+        return _vote(low.rlike(BIRTH_CUES), ~low.rlike(BIRTH_CUES))
+    own = {"name": NAME_CUES, "address": ADDRESS_CUES}.get(kind, CUES)
+    return _vote(low.rlike(own), low.rlike(COUNTER_CUES))
+
+
+#: What the classifier sees of a span beside its kind and votes: each is a bit.
+FEATURES = (
+    lambda x: ~x["pre"].rlike("[A-Za-z0-9]$") & ~x["post"].rlike("^[A-Za-z0-9]"),  # stands apart from letters and digits
+    lambda x: F.length(x["m"]) >= 14,
+    lambda x: F.length(_digits(x["m"])) * 2 > F.length(x["m"]),
+    lambda x: x["pre"].rlike(r"[:=]\s*$"),
+    lambda x: x["m"].rlike(r"[\x20().-]"),
+    lambda x: x["pre"].rlike(r"(^|\n)$") & x["post"].rlike(r"^($|\n)"),  # a line of its own
+)
 
 
 def features(x: Column) -> Column:
-    """Three bits for the classifier: stands apart from letters and digits, at least 14 characters, mostly digits."""
-    apart = ~x["pre"].rlike("[A-Za-z0-9]$") & ~x["post"].rlike("^[A-Za-z0-9]")
-    long = F.length(x["m"]) >= 14
-    digits = F.length(_digits(x["m"])) * 2 > F.length(x["m"])
-    return apart.cast("int") + 2 * long.cast("int") + 4 * digits.cast("int")
+    return reduce(add, [f(x).cast("int") * (1 << k) for k, f in enumerate(FEATURES)])
 
 
 def candidates(text: Column) -> Column:
@@ -101,7 +144,7 @@ def candidates(text: Column) -> Column:
         found = spans_of(text, pattern, CONTEXT)
         if holds is not None:
             found = F.filter(found, lambda x: holds(x["m"]))
-        code = lambda x: (((F.lit(KINDS.index(kind)) * 3 + format_vote(kind, x["m"])) * 3 + gazetteer_vote(kind, x["m"])) * 3 + context_vote(x["pre"])) * _N_FEATURES + features(x)
+        code = lambda x: (((F.lit(KINDS.index(kind)) * 3 + format_vote(kind, x["m"])) * 3 + gazetteer_vote(kind, x["m"])) * 3 + context_vote(kind, x["pre"])) * _N_FEATURES + features(x)
         return F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e"), code(x).alias("code"))).cast(_SPAN)
 
     between = lambda low, high: lambda m: F.length(_digits(m)).between(low, high)
@@ -117,6 +160,9 @@ def candidates(text: Column) -> Column:
         given(SSN, of("ssn", SSN)),
         given(IBAN, of("iban", IBAN)),
         given(TEL, of("tel", TEL)),
+        given(NAME, of("name", NAME)),
+        given(ADDRESS, of("address", ADDRESS)),
+        given(BIRTH, of("birth", BIRTH)),
     ]
     return F.sort_array(F.concat(*parts))
 
@@ -131,10 +177,10 @@ def unpack(code: int) -> tuple[int, tuple[int, int, int], int]:
 
 
 def learn(counts: dict[int, int], rounds: int = ROUNDS) -> list[int]:
-    """Codes that the final classifier accepts, from how often each occurs (at most len(KINDS) * 27 * 8 numbers).
+    """Codes that the final classifier accepts, from how often each occurs (at most len(KINDS) * 27 * 64 numbers).
 
     EM: the probability of each vote given that a span is, or isn't, personal data, for each labeler, and a prior for
-    each kind. Then a naive-Bayes span classifier is fitted to EM's posteriors, with kind, votes and features as inputs.
+    each kind. Then a naive-Bayes span classifier is fitted to EM's posteriors, with kind, votes and the features, each for itself, as inputs.
     """
     seen = [(*unpack(code), n, code) for code, n in sorted(counts.items())]
     prior, smooth = [0.5] * len(KINDS), 1.0
@@ -156,13 +202,14 @@ def learn(counts: dict[int, int], rounds: int = ROUNDS) -> list[int]:
                     sums[i][y][v] += w
         prior = [a / (a + b) for a, b in kinds]
         vote = [[[x / sum(row) for x in row] for row in labeler] for labeler in sums]
-    feature = [[smooth] * _N_FEATURES for _ in range(2)]
+    bits = [[[smooth, smooth] for _ in range(2)] for _ in FEATURES]  # [feature][0: it is, 1: it isn't][absent, present]
     for k, votes, f, n, _code in seen:
         p = posterior(k, votes)
-        feature[0][f] += n * p
-        feature[1][f] += n * (1 - p)
-    ratio = [(a / sum(feature[0])) / (b / sum(feature[1])) for a, b in zip(*feature, strict=True)]
-    return [code for k, votes, f, _n, code in seen if posterior(k, votes, ratio[f]) >= ACCEPT]
+        for b, rows in enumerate(bits):
+            rows[0][f >> b & 1] += n * p
+            rows[1][f >> b & 1] += n * (1 - p)
+    ratio = [[(yes[v] / sum(yes)) / (no[v] / sum(no)) for v in range(2)] for yes, no in bits]
+    return [code for k, votes, f, _n, code in seen if posterior(k, votes, prod(r[f >> b & 1] for b, r in enumerate(ratio))) >= ACCEPT]
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -183,6 +230,7 @@ def count_kind(k: int) -> Column:
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_pii of documents with counts and digest of the base spans; edge cases as there."""
     out = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = F.array(*[F.lit(k) for k in KINDS])
     written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"], x["e"])), ",")
