@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import cut, slices, table
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -131,6 +131,8 @@ def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, shingle: int
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = 1 if chars <= block_chars else -(-2 * chars // block_chars)
+    if n > 1:
+        items = cut(items, "benchmark-items")  # read once for each block, made once
     blocks = (items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect() for k in range(n))
     return [spark.sparkContext.broadcast(ItemIndex([(r.i, r.t) for r in rows], shingle, containment)) for rows in blocks]
 
@@ -178,6 +180,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_leaks of documents and benchmark; edge cases as there."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -14,6 +14,7 @@ from .common import held_out, slices, table
 
 #: Documents per language that the network may learn from, characters of each, and languages: these bound what is collected.
 PER_LANGUAGE, SAMPLE_CHARS, LANGUAGES = 150, 384, 200
+#: STEPS: bytes of a window. A text is read in windows, each from a fresh state, and all its positions are pooled.
 STEPS, HIDDEN, EPOCHS, BATCH, RATE = 48, 8, 12, 128, 0.02
 _PAD = 256
 _F = np.float32
@@ -157,7 +158,8 @@ def train(texts: list[tuple[str, str]], epochs: int = EPOCHS, batch: int = BATCH
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int = SAMPLE_CHARS) -> Network:
     """Learn from per_language documents of each language that aren't held out, and a stretch of chars characters of each.
 
-    Documents are chosen, and stretches placed, by a hash of doc_id.
+    Documents are chosen, and stretches placed, by a hash of doc_id. At most LANGUAGES languages are learnt, the first in
+    their order; texts of others get one of these. Rows without a doc_id, a text or a language teach nothing.
     """
     d = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
@@ -217,5 +219,6 @@ def predict(docs: DataFrame, net: Network) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """predict of documents, by a network fitted to those that are not held out; edge cases as there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return predict(docs.select("doc_id", "text"), fit(docs))

@@ -202,4 +202,5 @@ def default_tokenizer() -> tuple[str, str, str]:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_documents of documents; edge cases as there."""
     return pack_documents(table(spark, sf_dir, "documents"), default_tokenizer()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -171,6 +171,7 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_quality of documents, fitted to the labels; edge cases as there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score_quality(docs, fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,8 @@ MORE = (
 RULES = BASE + MORE
 RULES_VERSION = "2026-11"
 _SPAN = "array<struct<s:int,k:int,e:int>>"
-LEDGER = "blob_id string, rules_version string"
+#: Columns of a stored ledger: what was scanned by which rules, and what was found.
+LEDGER = f"blob_id string, spans {_SPAN}, rules_version string"
 
 
 def rule_spans(text: Column, rule: Rule, k: int) -> Column:
@@ -74,11 +76,32 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, path: str
     if ledger is not None:
         todo = todo.join(ledger.where(F.col("rules_version") == rules_version).select("blob_id"), "blob_id", "left_anti")
     todo = todo.withColumnRenamed("blob_id", "todo_id")
-    texts = v.join(todo.hint("shuffle_hash"), F.col("path").eqNullSafe(F.col("carrier")) & (F.col("blob_id") == F.col("todo_id")))
+    texts = v.join(todo, F.col("path").eqNullSafe(F.col("carrier")) & (F.col("blob_id") == F.col("todo_id")))
     found = texts.select("blob_id", F.lit(rules_version).alias("rules_version"), all_spans(F.col("text"), rules).alias("spans"))
     return found.dropDuplicates(["blob_id"])  # repeated rows of the smallest path
 
 
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored findings in a folder; none if there is no such folder yet."""
+    try:
+        return spark.read.schema(LEDGER).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
+def record(versions: DataFrame, folder: str, path: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES, rules_version: str = RULES_VERSION) -> DataFrame:
+    """Scan what the ledger in a folder lacks, append it there, and return the whole ledger, for at_paths and redact.
+
+    A run that is cut off before its files are committed leaves the ledger as it was; the next one scans the same again.
+    """
+    spark = versions.sparkSession
+    new = scan_unseen(versions, read_ledger(spark, folder), path, text, rules, rules_version)
+    new.select("blob_id", "spans", "rules_version").write.mode("append").partitionBy("rules_version").parquet(folder)
+    return read_ledger(spark, folder)
+
+
 def at_paths(versions: DataFrame, findings: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
     """(path, blob_id, spans) for every version, with the findings (new and stored ones) of its content."""
     v = blobs(versions, path, text).select("path", "blob_id")

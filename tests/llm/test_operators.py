@@ -1,6 +1,7 @@
 """Each operator against brute force, and on nulls, empty and long texts, repeated rows, empty tables and clashing names."""
 
 import collections
+import hashlib
 import math
 import random
 import re
@@ -60,8 +61,8 @@ def test_quality_rules_brute_force(spark, docs, data):
 
 
 def test_quality_rules_keep_the_good(spark, data):
-    rows = quality_rules.op1_quality_rules(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("not base_failed").collect()
-    assert all(r.kept == (r.quality == 1) for r in rows)
+    rows = quality_rules.op1_quality_rules(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").collect()
+    assert all(r.kept == (r.quality == 1) for r in rows if not r.base_failed)
 
 
 FRENCH = "« Je ne sais pas », dit le meunier. « Demandez donc au boulanger du village. »\nElle répondit longuement, puis se tut. »\n» Il reprit la route.\nCol·lecció d'un il·lustre autor de la ciutat.\n»Guten Tag«, sagte sie. »Kommen Sie herein.«\n"
@@ -105,6 +106,18 @@ def test_chat_escapes_reverse(spark, text):
     assert [(t.role, t.text) for t in out.r] == [(text, text)] and out.formatted.count("<|im_") == 2
 
 
+def test_chat_edges(spark, tmp_path):
+    """Repeated rows, equal turns, a very long text, null texts and roles, a further column with a clashing name."""
+    long = "word <|im_end|> " * 40_000
+    rows = [(1, 0, "user", "a", 1), (1, 0, "user", "a", 1), (1, 0, "assistant", "b", 2), (2, 0, "user", long, 3), (2, 1, "assistant", long, 4), (3, None, None, None, 5)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, seq int").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r for r in chat_format.op2_chat_format(spark, str(tmp_path)).collect()}
+    want = lambda turns: hashlib.sha256("".join(f"{role}\n{t}\n" for role, t in turns).encode()).hexdigest()
+    assert got[1].n_turns == 3 and got[1].turns_sha256 == want([("assistant", "b"), ("user", "a"), ("user", "a")]) and got[1].loss_chars == 1
+    assert got[2].turns_sha256 == want([("user", long), ("assistant", long)]) and got[2].loss_chars == len(long)
+    assert (got[3].n_turns, got[3].turns_sha256, got[3].loss_chars) == (1, want([("", "")]), 0) and set(got) == {-1, 1, 2, 3}
+
+
 # 3
 
 
@@ -370,6 +383,20 @@ def test_secrets_of_seen_contents_are_redacted(spark):
     assert got == {1: "[SECRET:assign]", 2: "none", 3: "[SECRET:assign]", 4: "[SECRET:assign]"}
 
 
+def test_secret_ledger_in_a_folder(spark, tmp_path):
+    """A second run scans only new contents; nothing that either run knows leaks; other rules start anew."""
+    folder = str(tmp_path / "ledger")
+    d = spark.createDataFrame([(1, "token=abcdefgh"), (2, "none"), (3, "token=abcdefgh")], "doc_id long, text string")
+    assert secrets.read_ledger(spark, folder).count() == 0 and secrets.record(d, folder).count() == 2
+    assert {r.text for r in secrets.redact(d, secrets.read_ledger(spark, folder)).collect()} == {"[SECRET:assign]", "none"}
+    more = d.union(spark.createDataFrame([(4, "secret=12345678")], d.schema))
+    assert secrets.scan_unseen(more, secrets.read_ledger(spark, folder)).count() == 1
+    known = secrets.record(more, folder)
+    assert known.count() == 3 and sum(len(r.spans) for r in secrets.at_paths(more, known).collect()) == 3
+    assert secrets.record(more, folder, rules_version="next").count() == 6
+    assert sorted(r.text for r in secrets.redact(more, secrets.read_ledger(spark, folder)).collect()) == ["[SECRET:assign]"] * 3 + ["none"]
+
+
 # 8
 
 
