@@ -26,11 +26,20 @@ def code_reuse_audit(enrolments: DataFrame, limit: int) -> DataFrame:
 
 
 def asof_enrolment(events: DataFrame, enrolments: DataFrame) -> DataFrame:
-    """Every event with its user's last enrolment at or before it: one shuffle and a running last value, no join."""
-    e = events.select("event_id", "user_id", "ts", F.lit(1).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("enrolled"))
-    n = enrolments.select("event_id", "user_id", "ts", F.lit(0).alias("kind"), F.col("ts").alias("enrolled"))
-    w = Window.partitionBy("user_id").orderBy("ts", "kind", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.unionByName(n).withColumn("enrolled_at", F.last("enrolled", ignorenulls=True).over(w)).where("kind = 1").select("event_id", "user_id", "ts", "enrolled_at")
+    """Every event with its user's last enrolment at or before it.
+
+    A running maximum within each user's day, and the last enrolment of the days before, which are few rows a user: so a
+    user with very many events is spread over as many tasks as they have days.
+    """
+    day = F.to_date("ts").alias("day")
+    e = events.select("event_id", "user_id", "ts", day, F.lit(1).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("enrolled"))
+    n = enrolments.select("event_id", "user_id", "ts", day, F.lit(0).alias("kind"), F.col("ts").alias("enrolled"))
+    both = e.unionByName(n)
+    days = both.groupBy("user_id", "day").agg(F.max("enrolled").alias("last"))
+    earlier = days.select("user_id", "day", F.max("last").over(Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    w = Window.partitionBy("user_id", "day").orderBy("ts", "kind", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = both.withColumn("own", F.max("enrolled").over(w)).where("kind = 1")
+    return within.join(earlier, ["user_id", "day"], "left").select("event_id", "user_id", "ts", F.coalesce("own", "carried").alias("enrolled_at"))
 
 
 def content_duplicates(docs: DataFrame) -> DataFrame:

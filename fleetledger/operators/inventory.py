@@ -14,9 +14,14 @@ def latest_scan(scans: DataFrame) -> DataFrame:
     return scans.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
 
 
-def inventory(scans: DataFrame, packages: DataFrame) -> DataFrame:
-    """Distinct packages of each asset's last scan. Keys are made after the distinct: arrays are neither shuffled nor compared."""
-    found = latest_scan(scans).select("scan_id", "asset_id").join(packages, "scan_id").select("asset_id", "scan_id", "ecosystem", "name", "version").distinct()
+def inventory(scans: DataFrame, contents: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Distinct packages of each asset's last scan, from contents (scan_id, pkg_id, version) and catalog (pkg_id, ecosystem, name).
+
+    Contents meet the last scans first, so only theirs go on to the catalog. Keys are made after the distinct: arrays
+    are neither shuffled nor compared.
+    """
+    last = latest_scan(scans).select("scan_id", "asset_id").join(contents, "scan_id")
+    found = last.join(catalog, "pkg_id").select("asset_id", "scan_id", "ecosystem", "name", "version").distinct()
     return found.withColumn("vkey", version_key(F.col("version")))
 
 

@@ -190,12 +190,12 @@ FROM (SELECT DISTINCT asset_id, ecosystem FROM latest JOIN packages USING (scan_
 FULL JOIN (SELECT DISTINCT asset_id, ecosystem FROM (SELECT asset_id, scan_id, row_number() OVER (PARTITION BY asset_id ORDER BY scanned_at DESC, scan_id DESC) AS rn FROM scans) JOIN packages USING (scan_id) WHERE rn = 2) o
 ON n.asset_id = o.asset_id AND n.ecosystem = o.ecosystem""")
 def scan_diff(x: Fleet) -> DataFrame:
-    return changes.scan_diff(x.scans, x.packages, "ecosystem")
+    return changes.scan_diff(x.scans, x.contents, x.catalog, "ecosystem")
 
 
 @query("""SELECT asset_id, ecosystem FROM latest JOIN packages USING (scan_id) EXCEPT SELECT asset_id, ecosystem FROM scans JOIN packages USING (scan_id) WHERE scanned_at < TIMESTAMP '1997-01-01'""")
 def first_seen(x: Fleet) -> DataFrame:
-    return changes.first_seen(x.scans, x.packages, "1997-01-01", "ecosystem")
+    return changes.first_seen(x.scans, x.contents, x.catalog, "1997-01-01", "ecosystem")
 
 
 @query("SELECT ecosystem, name FROM inventory JOIN assets USING (asset_id) WHERE asset_kind = 'host' INTERSECT SELECT ecosystem, name FROM inventory JOIN assets USING (asset_id) WHERE asset_kind = 'image'")
@@ -234,9 +234,12 @@ def props_field(x: Fleet) -> DataFrame:
     return x.events.select("event_id", json_field(F.col("props"), "$.k").alias("k"))
 
 
-@query()
+@query("SELECT asset_id, count(DISTINCT version) AS exact, true AS close FROM inventory GROUP BY asset_id")
 def approx_versions(x: Fleet) -> DataFrame:
-    return rollups.approx_versions(x.inventory)
+    """Beside the exact number: is the approximate one within three standard deviations, or one version, of it?"""
+    exact = x.inventory.groupBy("asset_id").agg(F.count_distinct("version").alias("exact"))
+    close = F.abs(F.col("n_versions") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.15 * F.col("exact"))
+    return rollups.approx_versions(x.inventory).join(exact, "asset_id").select("asset_id", "exact", close.alias("close"))
 
 
 @query("SELECT version, array_to_string(vkey, ',') AS vkey FROM packages")
@@ -271,12 +274,14 @@ def _stream(x: Fleet) -> DataFrame:
 
 @query(_DAILY)
 def stream_daily_uploads(x: Fleet) -> DataFrame:
-    return uploads.run(rollups.daily_uploads(_stream(x)), "complete")[0].withColumn("day", at("day"))
+    """Days stay open for late rows for 40 days; each batch writes only the days that it changed."""
+    return uploads.run(rollups.daily_uploads(_stream(x).withWatermark("ts", "40 days")), "update", ("day", "event_type"))[0].withColumn("day", at("day"))
 
 
-@query(_SESSIONS)
+@query(f"{_SESSIONS} HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
 def stream_upload_sessions(x: Fleet) -> DataFrame:
-    return uploads.run(rollups.upload_sessions(_stream(x)), "complete")[0].withColumns({"start": at("start"), "end": at("end")})
+    """Sessions that ended a day before the last event or earlier: these are closed, written once and leave the state."""
+    return uploads.run(rollups.upload_sessions(_stream(x).withWatermark("ts", "1 day")))[0].withColumns({"start": at("start"), "end": at("end")})
 
 
 @query(f"SELECT event_id, user_id, {sql_at('ts')} AS ts FROM events")
@@ -298,12 +303,17 @@ def stream_enrolment_join(x: Fleet) -> DataFrame:
 
 @query(f"SELECT user_id, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS event_id, {sql_at('max(ts)')} AS ts FROM events GROUP BY user_id")
 def stream_latest(x: Fleet) -> DataFrame:
-    return uploads.run(uploads.stream_latest(_stream(x)), "complete")[0].withColumn("ts", at("ts"))
+    return uploads.run(uploads.stream_latest(_stream(x)), "update", ("user_id",))[0].withColumn("ts", at("ts"))
 
 
-@query()
+@query("SELECT count(*) AS n_dropped FROM events WHERE ts < TIMESTAMP '2024-01-10'")
 def late_data_report(x: Fleet) -> DataFrame:
-    """Rows dropped as late in a windowed stream with a watermark of an hour."""
-    _, ended = uploads.run(rollups.daily_uploads(_stream(x).withWatermark("ts", "1 hour")))
-    rows = uploads.late_data_report(ended)
-    return x.spark.createDataFrame(rows, "batch long, operator string, n_dropped long")
+    """Rows dropped as late: events from the 16th day on come first, those of the first nine days arrive after them, an hour is allowed."""
+    path, out, state = (scratch(x.spark, f"late-{k}") for k in ("arrivals", "out", "state"))
+    reports = []
+    for rows in ("ts >= TIMESTAMP_NTZ '2024-01-16'", "ts < TIMESTAMP_NTZ '2024-01-10'"):
+        x.events.where(rows).write.mode("append").parquet(path)
+        ended = uploads.stream_dedup(uploads.events_stream(x.spark, path), "1 hour").writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+        ended.awaitTermination()
+        reports += uploads.late_data_report(ended)
+    return x.spark.createDataFrame(reports, "batch long, operator string, n long").agg(F.sum("n").alias("n_dropped"))

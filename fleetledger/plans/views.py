@@ -28,10 +28,20 @@ class Fleet:
         return self.table("orders").selectExpr("o_orderkey AS scan_id", "o_custkey AS asset_id", "o_orderdate AS scanned_at")
 
     @property
-    def packages(self) -> DataFrame:
+    def contents(self) -> DataFrame:
+        """What each scan holds, by number."""
         version = "concat(l_linenumber, '.', cast(l_quantity AS int), '.', cast(round(l_discount * 100) AS int)) AS version"
-        rows = self.table("lineitem").join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-        return rows.selectExpr("l_orderkey AS scan_id", "l_partkey AS pkg_id", "p_type AS ecosystem", "concat(p_name, '/', p_brand) AS name", version).withColumn("vkey", version_key(F.col("version")))
+        return self.table("lineitem").selectExpr("l_orderkey AS scan_id", "l_partkey AS pkg_id", version)
+
+    @property
+    def catalog(self) -> DataFrame:
+        """What the numbers stand for."""
+        return self.table("part").selectExpr("p_partkey AS pkg_id", "p_type AS ecosystem", "concat(p_name, '/', p_brand) AS name")
+
+    @property
+    def packages(self) -> DataFrame:
+        rows = self.contents.join(self.catalog, "pkg_id").select("scan_id", "pkg_id", "ecosystem", "name", "version")
+        return rows.withColumn("vkey", version_key(F.col("version")))
 
     @property
     def raw_advisories(self) -> DataFrame:
@@ -47,7 +57,7 @@ class Fleet:
 
     @property
     def inventory(self) -> DataFrame:
-        return inv.inventory(self.scans, self.packages)
+        return inv.inventory(self.scans, self.contents, self.catalog)
 
     @property
     def findings(self) -> DataFrame:

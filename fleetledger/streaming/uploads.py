@@ -45,7 +45,7 @@ def stream_enrolment_join(clicks: DataFrame, enrolments: DataFrame, delay: str =
 
 
 def stream_latest(events: DataFrame) -> DataFrame:
-    """The last event of each user so far."""
+    """The last event of each user so far; the state is one row a user."""
     return events.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max("ts").alias("ts"))
 
 
@@ -54,17 +54,22 @@ def late_data_report(query: StreamingQuery) -> list[tuple[int, str, int]]:
     return [(p["batchId"], s["operatorName"], s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"]]
 
 
-def run(df: DataFrame, mode: str = "append") -> tuple[DataFrame, StreamingQuery]:
+def run(df: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()) -> tuple[DataFrame, StreamingQuery]:
     """Run a stream over all there is now; the sink read back, and the ended query.
 
-    append goes to a file sink; complete (the whole result each time) replaces a table with every batch.
+    append goes to a file sink. update adds the rows that a batch has changed to a table, with the batch's number; read
+    back, the last row of each of keys counts. A batch that runs again writes over its own rows.
     """
     spark = df.sparkSession
     out, state = scratch(spark, "stream-out"), scratch(spark, "stream-state")
     writer = df.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").start(out)
-    else:
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+        query.awaitTermination()
+        return spark.read.schema(df.schema).parquet(out), query
+    query = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out), query
+    rest = [c for c in df.columns if c not in keys]
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, batch long").parquet(out)
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")
+    return last.select(*df.columns), query
