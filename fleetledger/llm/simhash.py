@@ -225,8 +225,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     firsts = grouped(cut(fingerprints(docs), "simhash-fps"))[1].toDF("__n", "__i", "__t")
     keys = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__th": text_hash(F.col("text").cast("string"))}
-    # before the join, so that each task passes on one of its equal rows at most
-    once = docs.withColumns(keys | {"__row": F.row_number().over(Window.partitionBy(*keys.values()).orderBy(F.lit(0)))}).where("__row = 1")
+    # before the join, so that each task passes on one of its equal rows at most; the join uses the same partitioning
+    once = docs.withColumns(keys).withColumn("__row", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))).where("__row = 1")
     kept = once.join(firsts, (F.col("__none") == F.col("__n")) & (F.col("__id") == F.col("__i")) & (F.col("__th") == F.col("__t")), "left_semi")
     return kept.select(*docs.columns)
 
