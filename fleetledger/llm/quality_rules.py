@@ -138,8 +138,10 @@ def clean_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """clean_lines of documents without the cleaned texts; edge cases as there."""
-    return clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_bad_lines")
+    """clean_lines of documents without the cleaned texts; edge cases as there. Here base_failed always means not kept."""
+    out = clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.col("kept") & ~F.col("base_failed")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_lines", "n_bad_lines")
 
 
 OP1_SQL = f"""

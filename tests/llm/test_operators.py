@@ -75,6 +75,14 @@ def test_quality_rules_keep_clean_text_of_other_languages(spark, text):
     assert r.kept and r.n_bad_lines == 0
 
 
+def test_quality_rules_query_keeps_nothing_that_failed_the_base(spark, tmp_path):
+    """The operator keeps a clean text without spaces; the query's kept follows base_failed, which counts words by spaces."""
+    docs = spark.createDataFrame([(1, CHINESE + CHINESE.replace("河", "江"))], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    r = quality_rules.op1_quality_rules(spark, str(tmp_path)).first()
+    assert quality_rules.clean_lines(docs).first().kept and r.base_failed and not r.kept
+
+
 @pytest.mark.parametrize("line", ["Accueil » Produits » Contact", "Start · Über uns · Kontakt", "Home | About | More", "Weiter »", "Tous droits réservés.", "Alle Rechte vorbehalten.", "Todos los derechos reservados.", "Lesen Sie unsere Datenschutzerklärung."])
 def test_quality_rules_find_menus_and_boilerplate(spark, line):
     assert quality_rules.clean_lines(spark.createDataFrame([(1, line)], "doc_id long, text string")).first().n_bad_lines == 1
