@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_extract, language_id, packing, pii, quality_classifier, quality_rules, secrets, simhash
+from . import chat_format, decontaminate, html_extract, language_id, lexical_search, packing, pii, quality_classifier, quality_rules, secrets, simhash
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_simhash": simhash.op9_simhash,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op2_chat_format": chat_format.OP2_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op7_secret_scan": secrets.OP7_SQL,
+    "op13_lexical_search": lexical_search.OP13_SQL,
 }
