@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_extract, language_id, lexical_search, packing, pii, quality_classifier, quality_rules, secrets, simhash
+from . import chat_format, decontaminate, html_extract, language_id, lexical_search, minhash, packing, pii, quality_classifier, quality_rules, secrets, simhash
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_simhash": simhash.op9_simhash,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op11_minhash": minhash.op11_minhash,
     "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 ORACLES = {
@@ -22,5 +23,6 @@ ORACLES = {
     "op2_chat_format": chat_format.OP2_SQL,
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op7_secret_scan": secrets.OP7_SQL,
+    "op11_minhash": minhash.OP11_SQL,
     "op13_lexical_search": lexical_search.OP13_SQL,
 }
