@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, html_extract, language_id, lexical_search, minhash, packing, pii, quality_classifier, quality_rules, secrets, simhash
+from . import chat_format, chat_repair, decontaminate, html_extract, language_id, lexical_search, minhash, packing, pii, quality_classifier, quality_rules, secrets, simhash
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_html_extract": html_extract.op10_html_extract,
     "op11_minhash": minhash.op11_minhash,
+    "op12_chat_repair": chat_repair.op12_chat_repair,
     "op13_lexical_search": lexical_search.op13_lexical_search,
 }
 ORACLES = {
@@ -24,5 +25,6 @@ ORACLES = {
     "op4_decontaminate": decontaminate.OP4_SQL,
     "op7_secret_scan": secrets.OP7_SQL,
     "op11_minhash": minhash.OP11_SQL,
+    "op12_chat_repair": chat_repair.OP12_SQL,
     "op13_lexical_search": lexical_search.OP13_SQL,
 }
