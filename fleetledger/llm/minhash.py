@@ -20,6 +20,8 @@ PERCENT = 85
 #: as many bands as permutations fill. Two sets at 0.85 share no band with a probability of (1 - 0.85^6)^40 = 6e-9.
 BAND, PERMUTATIONS = 6, 120
 SEED = 42
+#: Words of 64 bits in a set's parities.
+PARITY = 8
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -134,12 +136,22 @@ def prefix(p: np.ndarray, x: np.ndarray, percent: int) -> tuple[np.ndarray, int]
     return order[: n - least + 1], n - equal + 1
 
 
+def parity(x: np.ndarray) -> np.ndarray:
+    """For each of 64 * PARITY bits, whether x has an odd number of elements there.
+
+    Two sets' bits differ where their symmetric difference has an odd number of elements, so at no more places than that
+    has elements.
+    """
+    bits = np.bincount((x % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def compare(pairs: DataFrame, sets: DataFrame, percent: int, with_prefix: bool, name: str) -> DataFrame:
-    """(u, v, n: size of v's set, linked, tokens, n_index) for pairs (u, v), on full sets; tokens: the prefix of v as seen from u."""
+    """(u, v, n: size of v's set, linked, tokens, n_index, parity) for pairs (u, v), on full sets; tokens: the prefix of v as seen from u."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 128):
-            sizes, linked, tokens, n_index = [], [], [], []
+            sizes, linked, tokens, n_index, bits = [], [], [], [], []
             for left, right in zip(b.column(2), b.column(3), strict=True):
                 p, x = (np.frombuffer(s.as_py(), np.uint64) for s in (left, right))
                 both = len(np.intersect1d(p, x, assume_unique=True))
@@ -148,12 +160,13 @@ def compare(pairs: DataFrame, sets: DataFrame, percent: int, with_prefix: bool,
                 linked.append(100 * both >= percent * (len(p) + len(x) - both))
                 tokens.append(some.view(np.int64))
                 n_index.append(k)
-            columns = [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_()), pa.array(tokens, pa.list_(pa.int64())), pa.array(n_index, pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["u", "v", "n", "linked", "tokens", "n_index"])
+                bits.append(parity(x) if with_prefix else [])
+            columns = [b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_()), pa.array(tokens, pa.list_(pa.int64())), pa.array(n_index, pa.int32()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["u", "v", "n", "linked", "tokens", "n_index", "parity"])
 
     one = cut(pairs.join(sets, F.col("v") == F.col("node")).select("u", "v", F.col("items").alias("right")), f"{name}-right")
     two = one.join(sets, F.col("u") == F.col("node")).select("u", "v", F.col("items").alias("left"), "right")
-    return cut(two.mapInArrow(work, "u long, v long, n long, linked boolean, tokens array<long>, n_index int"), name)
+    return cut(two.mapInArrow(work, "u long, v long, n long, linked boolean, tokens array<long>, n_index int, parity array<long>"), name)
 
 
 def placed(rows: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
@@ -162,22 +175,26 @@ def placed(rows: DataFrame, comp: DataFrame, node: str, name: str) -> DataFrame:
     return rows.join(c, F.col(node) == F.col("__u"), "left").withColumn(name, F.coalesce("__v", node)).drop("__u", "__v")
 
 
-def cross_pairs(compared: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs (u, v) still to be compared: in a bucket together, in different components, with a prefix token in common.
+def cross_pairs(compared: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) still to be compared: in a bucket together, in different components, with a prefix token in common and near by their parities.
 
     compared has every bucket's first node u with all others. Seen from u, all its bucket's sets are in one order: what u
-    lacks comes first. Two linked sets share one of the first tokens (the prefix filter), so sets that differ from u in
-    ways of their own have no pair here, however many they are: a large group of copies that are edited too much to be
-    linked costs rows by its members, not by its pairs. Tokens of one component only go before the join; of the join's
-    two sides one holds only nodes outside u's component.
+    lacks comes first. Two linked sets share one of the first tokens (the prefix filter), and the places where their
+    parities differ are no more than the elements that a linked pair may have apart. Neither loses a link. So a large
+    group of copies that are edited too much to be linked has hardly a pair here: the join drops them by its condition.
+    Tokens of one component only go before the join; of its two sides one holds only nodes outside u's component.
     """
     state = placed(placed(compared, comp, "u", "cu"), comp, "v", "cv")
     tokens = cut(state.select("u", "v", "n", "cu", "cv", "n_index", F.posexplode("tokens").alias("at", "token")).select("u", "v", "n", "cu", "cv", "token", (F.col("at") < F.col("n_index")).alias("index")), "minhash-tokens")
     mixed = tokens.groupBy(F.col("u").alias("mu"), F.col("token").alias("mt")).agg(F.min("cv").alias("low"), F.max("cv").alias("high")).where("low < high")
-    left = cut(tokens.join(mixed, (F.col("u") == F.col("mu")) & (F.col("token") == F.col("mt")), "left_semi"), "minhash-mixed")
+    bits = compared.select(F.col("v").alias("of"), "parity").dropDuplicates(["of"])
+    left = tokens.join(mixed, (F.col("u") == F.col("mu")) & (F.col("token") == F.col("mt")), "left_semi").join(bits, F.col("v") == F.col("of"))
+    left = cut(left.select("u", "v", "n", "cu", "cv", "token", "index", *[F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITY)]), "minhash-mixed")
     a, b = left.where("cu <> cv").alias("a"), left.alias("b")
     larger = (F.col("a.n") > F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.v") > F.col("b.v")))
-    met = a.join(b, (F.col("a.u") == F.col("b.u")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.cv") != F.col("b.cv")) & F.when(larger, F.col("b.index")).otherwise(F.col("a.index")))
+    apart = sum((F.bit_count(F.col(f"a.p{k}").bitwiseXOR(F.col(f"b.p{k}"))) for k in range(PARITY)), F.lit(0))
+    near = apart * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent)
+    met = a.join(b, (F.col("a.u") == F.col("b.u")) & (F.col("a.token") == F.col("b.token")) & (F.col("a.cv") != F.col("b.cv")) & F.when(larger, F.col("b.index")).otherwise(F.col("a.index")) & near)
     return met.select(F.least("a.v", "b.v").alias("u"), F.greatest("a.v", "b.v").alias("v")).distinct()
 
 
@@ -196,7 +213,7 @@ def links(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str, shingle: in
     second = compare(stars(members.join(mixed, F.col("key") == F.col("of"), "left_semi")).select("u", "v").distinct(), sets, percent, True, "minhash-second")
     linked = linked.union(second.where("linked").select("u", "v"))
     comp = components(linked)
-    third = compare(cross_pairs(second, comp), sets, percent, False, "minhash-third").where("linked").select("u", "v")
+    third = compare(cross_pairs(second, comp, percent), sets, percent, False, "minhash-third").where("linked").select("u", "v")
     return components(comp.union(third)) if third.take(1) else comp
 
 

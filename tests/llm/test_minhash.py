@@ -117,5 +117,14 @@ def test_prefixes_of_linked_sets_meet():
                 assert set(minhash.prefix(arrays[0], arrays[2], 85)[0]) & set(probe[: minhash.prefix(arrays[0], arrays[1], 85)[1]])
 
 
+def test_parities_differ_in_no_more_places_than_sets():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 3, 40, 700):
+        x, y = (rng.integers(0, 2000, n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
+        x, y = np.unique(x), np.unique(y)
+        apart = int(np.bitwise_count((minhash.parity(x) ^ minhash.parity(y)).view(np.uint64)).sum())
+        assert apart <= len(np.setxor1d(x, y)) and (n < 40 or apart > 10)
+
+
 def test_small_sets():
     assert minhash.least_banded(85) == 6 and minhash.least_banded(50) == 1
