@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetledger.functions.versions import parsed, version_key
@@ -25,20 +25,44 @@ def inventory(scans: DataFrame, contents: DataFrame, catalog: DataFrame) -> Data
     return found.withColumn("vkey", version_key(F.col("version")))
 
 
-def match_vulnerabilities(installed: DataFrame, advisories: DataFrame) -> DataFrame:
+def match_vulnerabilities(installed: DataFrame, advisories: DataFrame, *also: str) -> DataFrame:
     """Pairs of equal ecosystem and name with the version in [introduced, fixed); no fix: no upper end.
 
     An equi-join with a range on the keys. Spark broadcasts the advisories if they measure small, else both sides are
     shuffled by (ecosystem, name) and adaptive execution splits packages that very many assets have. Versions that can't
     be ordered match nothing and are in unparsed(); this is asked of candidates only, as a filter it would be pushed to every row scanned.
+    also: further columns that must be equal.
     """
     i, a = installed.alias("i"), advisories.alias("a")
     inside = (F.col("i.vkey") >= F.col("a.ikey")) & (F.col("a.fkey").isNull() | (F.col("i.vkey") < F.col("a.fkey")))
     within = F.when(parsed(F.col("i.vkey")), inside).otherwise(False)
-    both = i.join(a, (F.col("i.ecosystem") == F.col("a.ecosystem")) & (F.col("i.name") == F.col("a.name")) & within)
+    for c in reversed(("ecosystem", "name", *also)):
+        within = (F.col(f"i.{c}") == F.col(f"a.{c}")) & within
+    both = i.join(a, within)
     return both.select("i.*", "a.advisory_id", "a.introduced", "a.fixed", "a.fkey", "a.severity")
 
 
+def store_bucketed(packages: DataFrame, advisories: DataFrame, name: str, path: str, buckets: int = 64, spread: int = 4) -> tuple[str, str]:
+    """Store packages and advisories as tables in buckets of (ecosystem, name, part), sorted by them; their two names, for match_bucketed.
+
+    part deals the rows of one package to spread buckets, by all their columns, so a package that very many scans hold is
+    no one task's. Each advisory is stored spread times. path: a folder that all executors share.
+    """
+    spark = packages.sparkSession
+    keys = ["ecosystem", "name", "part"]
+    rest = [c for c in packages.columns if c not in ("ecosystem", "name", "vkey")]
+    sides = {"packages": packages.withColumn("part", F.pmod(F.xxhash64(*rest), F.lit(spread)).cast("int")), "advisories": advisories.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))}
+    for side, rows in sides.items():
+        rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{path}/{side}").saveAsTable(f"{name}_{side}")
+    return f"{name}_packages", f"{name}_advisories"
+
+
+def match_bucketed(packages: str, advisories: str, where: str = "true") -> DataFrame:
+    """match_vulnerabilities of two stored tables; where: a condition on the advisories. Buckets meet where they lie: nothing is shuffled."""
+    spark = SparkSession.getActiveSession()
+    return match_vulnerabilities(spark.table(packages), spark.table(advisories).where(where), "part").drop("part")
+
+
 def unparsed(installed: DataFrame, advisories: DataFrame) -> DataFrame:
     """Installed packages that an advisory names but whose versions can't be ordered: neither affected nor unaffected."""
     named = installed.join(advisories.select("ecosystem", "name").distinct(), ["ecosystem", "name"], "left_semi")

@@ -56,6 +56,19 @@ def approx_versions(installed: DataFrame, error: float = 0.05) -> DataFrame:
     return installed.groupBy("asset_id").agg(F.approx_count_distinct("version", error).alias("n_versions"))
 
 
+def version_sketches(installed: DataFrame, *keys: str, log_k: int = 12) -> DataFrame:
+    """(keys, sketch): the distinct versions of each group as a HyperLogLog sketch, to be stored; later days add rows, none is counted anew.
+
+    log_k: a sketch has at most 2^log_k registers, and its relative standard deviation is about 1.04 / sqrt(2^log_k).
+    """
+    return installed.groupBy(*keys).agg(F.hll_sketch_agg("version", F.lit(log_k)).alias("sketch"))
+
+
+def merged_versions(sketches: DataFrame, *keys: str) -> DataFrame:
+    """About how many versions each group of keys has over all its stored sketches. A version of several days counts once."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_versions"))
+
+
 def daily_uploads(events: DataFrame) -> DataFrame:
     """Tumbling days of ts (a timestamp) and event_type; batch or stream."""
     return events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
@@ -66,7 +79,7 @@ def sliding_uploads(events: DataFrame) -> DataFrame:
     return events.groupBy(F.window("ts", "2 days", "1 day").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
-def upload_sessions(events: DataFrame) -> DataFrame:
-    """A user's events with gaps under six hours."""
-    s = events.groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return s.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+def upload_sessions(events: DataFrame, *also: str) -> DataFrame:
+    """A user's events with gaps under six hours; also: further columns that keep sessions apart."""
+    s = events.groupBy("user_id", *also, F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return s.select("user_id", *also, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")

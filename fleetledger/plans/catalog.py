@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,13 +85,53 @@ def findings_all_scans(x: Fleet) -> DataFrame:
     return inv.match_vulnerabilities(x.packages, x.advisories).select("scan_id", "ecosystem", "name", "version", "advisory_id", "severity")
 
 
+def _collect(x: Fleet) -> str:
+    """The documents of all scans arrive as lines of files and are streamed into tables."""
+    path, out = scratch(x.spark, "arrivals"), scratch(x.spark, "collected")
+    found = x.packages.join(x.scans.select("scan_id", "scanned_at"), "scan_id")
+    spdx.sbom_write(found, "scanned_at").select("doc").write.text(path)
+    uploads.collect_results(x.spark, path, out, scratch(x.spark, "collect-state"), multi_line=False, period="month").awaitTermination()
+    return out
+
+
 @query("SELECT 'scan-' || scan_id AS document, count(*) AS n, count(DISTINCT name) AS n_names FROM packages GROUP BY scan_id")
 def collect_results(x: Fleet) -> DataFrame:
-    """Documents arrive as files and are streamed into a table."""
-    path, out = scratch(x.spark, "arrivals"), scratch(x.spark, "collected")
-    spdx.sbom_write(x.packages).select("doc").write.text(path)
-    uploads.collect_results(x.spark, path, out, scratch(x.spark, "collect-state"), multi_line=False).awaitTermination()
-    return x.spark.read.parquet(out).groupBy("document").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("n_names"))
+    """What is in the table of packages after collecting."""
+    return uploads.collected(x.spark, _collect(x)).groupBy("document").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("n_names"))
+
+
+@query("""SELECT 'scan-' || scan_id AS document, CASE WHEN scan_id % 50 = 0 THEN 'rejected' ELSE 'good' END AS status, CASE WHEN scan_id % 50 <> 0 THEN count(*) END AS n_packages
+FROM packages WHERE scan_id IN (SELECT scan_id FROM latest) GROUP BY scan_id""")
+def collect_files(x: Fleet) -> DataFrame:
+    """Every asset sends its last scan's document as a file of many lines; those of every fiftieth scan break off halfway.
+
+    Each file that arrived is found in one of the two tables, by its folder's name.
+    """
+    path, out = scratch(x.spark, "files"), scratch(x.spark, "collected")
+    docs = spdx.sbom_write(x.packages.join(inv.latest_scan(x.scans).select("scan_id", "scanned_at"), "scan_id"), "scanned_at", pretty=True)
+    broken = F.substr("doc", F.lit(1), (F.length("doc") / 2).cast("int"))
+    spdx.write_files(docs.withColumn("doc", F.when(F.col("scan_id") % 50 == 0, broken).otherwise(F.col("doc"))), path)
+    uploads.collect_results(x.spark, f"{path}/*", out, scratch(x.spark, "collect-state"), period="month").awaitTermination()
+    good = uploads.documents(x.spark, out).select("file", F.lit("good").alias("status"), "n_packages")
+    bad = uploads.rejected(x.spark, out).select("file", F.lit("rejected").alias("status"), F.lit(None).cast("long").alias("n_packages"))
+    return good.unionByName(bad).select(F.concat(F.lit("scan-"), F.regexp_extract("file", "scan_id=([0-9]+)", 1)).alias("document"), "status", "n_packages")
+
+
+@query("SELECT asset_id, scan_id, ecosystem, name, version, advisory_id, severity FROM findings JOIN latest USING (asset_id, scan_id) WHERE scanned_at >= TIMESTAMP '2001-01-01'")
+def findings_collected(x: Fleet) -> DataFrame:
+    """Findings of the assets scanned since 2001, from the collected table: only the months since then are read, keys are stored."""
+    since = F.to_timestamp_ntz(F.lit("2001-01-01"))
+    rows = uploads.collected(x.spark, _collect(x), "2001-01-01", "month").select(F.substring_index("document", "-", -1).cast("long").alias("scan_id"), F.col("purpose").alias("ecosystem"), "name", "version", "vkey")
+    last = inv.latest_scan(x.scans.where(F.col("scanned_at") >= since)).select("asset_id", "scan_id")
+    installed = last.join(rows, "scan_id").dropDuplicates(["asset_id", "scan_id", "ecosystem", "name", "version"])
+    return inv.match_vulnerabilities(installed, x.advisories).select("asset_id", "scan_id", "ecosystem", "name", "version", "advisory_id", "severity")
+
+
+@query("SELECT scan_id, ecosystem, name, version, advisory_id, severity FROM packages JOIN advisories USING (ecosystem, name) WHERE vkey >= ikey AND (fkey IS NULL OR vkey < fkey)")
+def findings_bucketed(x: Fleet) -> DataFrame:
+    """Findings of all scans from stored buckets: packages are shuffled once, when they are stored, and not at any matching."""
+    have, known = inv.store_bucketed(x.packages.drop("pkg_id"), x.advisories, f"b{uuid.uuid4().hex}", scratch(x.spark, "buckets"))
+    return inv.match_bucketed(have, known).select("scan_id", "ecosystem", "name", "version", "advisory_id", "severity")
 
 
 @query("SELECT asset_id, scan_id, ecosystem, name, version FROM inventory")
@@ -122,7 +164,8 @@ def code_reuse_audit(x: Fleet) -> DataFrame:
 
 @query(f"SELECT e.event_id, e.user_id, {sql_at('e.ts')} AS ts, {sql_at('n.ts')} AS enrolled_at FROM (SELECT * FROM events WHERE event_type <> 'signup') e ASOF LEFT JOIN enrolments n ON e.user_id = n.user_id AND e.ts >= n.ts")
 def asof_enrolment(x: Fleet) -> DataFrame:
-    return integrity.asof_enrolment(x.events.where("event_type <> 'signup'"), x.enrolments).withColumns({"ts": at("ts"), "enrolled_at": at("enrolled_at")})
+    kinds = x.events.select("event_id", "user_id", "ts", (F.col("event_type") == "signup").alias("enrols"), (F.col("event_type") != "signup").alias("asks"))
+    return integrity.asof_marked(kinds).withColumns({"ts": at("ts"), "enrolled_at": at("enrolled_at")})
 
 
 @query(f"SELECT scan_id, asset_id, {sql_at('scanned_at')} AS scanned_at FROM latest")
@@ -242,6 +285,15 @@ def approx_versions(x: Fleet) -> DataFrame:
     return rollups.approx_versions(x.inventory).join(exact, "asset_id").select("asset_id", "exact", close.alias("close"))
 
 
+@query("SELECT asset_id, count(DISTINCT version) AS n_versions FROM scans JOIN packages USING (scan_id) GROUP BY asset_id")
+def sketched_versions(x: Fleet) -> DataFrame:
+    """Of all scans of each asset, from sketches that are stored by day. Sketches of so few versions are exact, so the value itself is compared."""
+    path = scratch(x.spark, "sketches")
+    of_day = x.scans.select("asset_id", "scan_id", F.to_date("scanned_at").alias("day")).join(x.contents, "scan_id")
+    rollups.version_sketches(of_day, "asset_id", "day").write.parquet(path)
+    return rollups.merged_versions(x.spark.read.parquet(path), "asset_id")
+
+
 @query("SELECT version, array_to_string(vkey, ',') AS vkey FROM packages")
 def version_keys(x: Fleet) -> DataFrame:
     return x.packages.select("version", F.array_join("vkey", ",").alias("vkey"))
@@ -278,10 +330,14 @@ def stream_daily_uploads(x: Fleet) -> DataFrame:
     return uploads.run(rollups.daily_uploads(_stream(x).withWatermark("ts", "40 days")), "update", ("day", "event_type"))[0].withColumn("day", at("day"))
 
 
-@query(f"{_SESSIONS} HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
+@query(_SESSIONS)
 def stream_upload_sessions(x: Fleet) -> DataFrame:
-    """Sessions that ended a day before the last event or earlier: these are closed, written once and leave the state."""
-    return uploads.run(rollups.upload_sessions(_stream(x).withWatermark("ts", "1 day")))[0].withColumns({"start": at("start"), "end": at("end")})
+    """All sessions: the last ones, still open after the last event, are closed by a marker."""
+
+    def sessions(markers: DataFrame) -> DataFrame:
+        return rollups.upload_sessions(uploads.closable(_stream(x), markers, "1 day"), "closing")
+
+    return uploads.run_and_close(x.spark, sessions, timedelta(days=3)).withColumns({"start": at("start"), "end": at("end")})
 
 
 @query(f"SELECT event_id, user_id, {sql_at('ts')} AS ts FROM events")
@@ -303,17 +359,23 @@ def stream_enrolment_join(x: Fleet) -> DataFrame:
 
 @query(f"SELECT user_id, arg_max(event_id, struct_pack(a := ts, b := event_id)) AS event_id, {sql_at('max(ts)')} AS ts FROM events GROUP BY user_id")
 def stream_latest(x: Fleet) -> DataFrame:
-    return uploads.run(uploads.stream_latest(_stream(x)), "update", ("user_id",))[0].withColumn("ts", at("ts"))
+    rows = uploads.run(uploads.stream_latest(_stream(x), "7 days"), "update", ("user_id", "since"))[0]
+    return uploads.latest_of(rows).withColumn("ts", at("ts"))
 
 
-@query("SELECT count(*) AS n_dropped FROM events WHERE ts < TIMESTAMP '2024-01-10'")
+@query("SELECT count(*) AS n_dropped FROM events WHERE ts < TIMESTAMP '2024-01-02'")
 def late_data_report(x: Fleet) -> DataFrame:
-    """Rows dropped as late: events from the 16th day on come first, those of the first nine days arrive after them, an hour is allowed."""
-    path, out, state = (scratch(x.spark, f"late-{k}") for k in ("arrivals", "out", "state"))
-    reports = []
-    for rows in ("ts >= TIMESTAMP_NTZ '2024-01-16'", "ts < TIMESTAMP_NTZ '2024-01-10'"):
-        x.events.where(rows).write.mode("append").parquet(path)
-        ended = uploads.stream_dedup(uploads.events_stream(x.spark, path), "1 hour").writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
-        ended.awaitTermination()
-        reports += uploads.late_data_report(ended)
-    return x.spark.createDataFrame(reports, "batch long, operator string, n long").agg(F.sum("n").alias("n_dropped"))
+    """Rows dropped as late, an hour being allowed: the second day's events come first, then the first day's, all late, then the rest."""
+    path, out, state, said = (scratch(x.spark, f"late-{k}") for k in ("arrivals", "out", "state", "progress"))
+    listener, ended = uploads.ProgressTable(x.spark, said), []
+    x.spark.streams.addListener(listener)
+    try:
+        for rows in ("ts >= TIMESTAMP_NTZ '2024-01-02' AND ts < TIMESTAMP_NTZ '2024-01-03'", "ts < TIMESTAMP_NTZ '2024-01-02'", "ts >= TIMESTAMP_NTZ '2024-01-03'"):
+            x.events.where(rows).write.mode("append").parquet(path)
+            q = uploads.stream_dedup(uploads.events_stream(x.spark, path), "1 hour").writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+            q.awaitTermination()
+            ended.append(q)
+        progress = listener.rows(*ended)
+    finally:
+        x.spark.streams.removeListener(listener)
+    return uploads.late_data_report(progress).agg(F.sum("n_dropped").alias("n_dropped"))

@@ -33,12 +33,21 @@ def packages(docs: DataFrame, keep: tuple[str, ...] = (), empty: bool = False) -
     return docs.select(*keep, F.col("name").alias("document"), one).select(*keep, "document", F.col("p.name").alias("name"), F.col("p.versionInfo").alias("version"), F.col("p.SPDXID").alias("spdx_id"), F.col("p.primaryPackagePurpose").alias("purpose"))
 
 
-def document(name: Column, created: Column, listed: Column) -> Column:
-    return F.to_json(F.struct(F.lit("SPDX-2.3").alias("spdxVersion"), name.alias("name"), F.struct(created.alias("created")).alias("creationInfo"), listed.alias("packages")))
+def document(name: Column, created: Column, listed: Column, pretty: bool = False) -> Column:
+    return F.to_json(F.struct(F.lit("SPDX-2.3").alias("spdxVersion"), name.alias("name"), F.struct(created.alias("created")).alias("creationInfo"), listed.alias("packages")), {"pretty": str(pretty).lower()})
 
 
-def sbom_write(found: DataFrame) -> DataFrame:
-    """(scan_id, doc): one document per scan of packages (scan_id, pkg_id, ecosystem, name, version), packages in a fixed order."""
+def sbom_write(found: DataFrame, created: str | None = None, pretty: bool = False) -> DataFrame:
+    """(scan_id, doc): one document per scan of packages (scan_id, pkg_id, ecosystem, name, version), packages in a fixed order.
+
+    created: the column with the time of the scan (a timestamp in UTC); pretty: over many lines, as a file of its own has it.
+    """
     listed = F.sort_array(F.collect_list(F.struct(F.col("name").alias("name"), F.col("version").alias("versionInfo"), F.concat(F.lit("SPDXRef-"), F.col("pkg_id")).alias("SPDXID"), F.col("ecosystem").alias("primaryPackagePurpose"))))
-    rows = found.groupBy("scan_id").agg(listed.alias("listed"))
-    return rows.select("scan_id", document(F.concat(F.lit("scan-"), F.col("scan_id")), F.lit("1970-01-01T00:00:00Z"), F.col("listed")).alias("doc"))
+    time = F.date_format(F.max(created), "yyyy-MM-dd'T'HH:mm:ss'Z'") if created else F.lit("1970-01-01T00:00:00Z")
+    rows = found.groupBy("scan_id").agg(listed.alias("listed"), time.alias("created"))
+    return rows.select("scan_id", document(F.concat(F.lit("scan-"), F.col("scan_id")), F.col("created"), F.col("listed"), pretty).alias("doc"))
+
+
+def write_files(docs: DataFrame, path: str) -> None:
+    """(scan_id, doc) as one file per document, in a folder of its scan."""
+    docs.select("scan_id", F.col("doc").alias("value")).write.partitionBy("scan_id").text(path)
