@@ -12,6 +12,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -32,14 +33,19 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 CLOSES = {"p": ({"p"}, {"button", "table", "td", "th"}), "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 ENDS_P = BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "summary", "figcaption"}
 #: Elements that never hold an article's own text, and words in class or role that say so of blocks. Headings, inline
-#: elements, html, body and main are judged by no name.
+#: elements, html, body and main are judged by no name. Words of _MAYBE are names of article sections as well: of such
+#: blocks the host's wrapper is asked, too.
 SKIP = frozenset("nav header footer aside form script style noscript iframe template textarea title head button select menu dialog svg object".split())
 _BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|banner|container)|advert\w*|alerts?|announcements?|banner|breadcrumbs?"
-    r"|comments?|comment(?:list|form|box|area|section|thread)|discussion|replies|respond|cookies?|consent|disclaimer"
+    r"(?:^|[\s_-])(?:ads?|ad(?:box|slot|unit|banner|container)|advert\w*|breadcrumbs?"
+    r"|comments?|comment(?:list|form|box|area|section|thread)|replies|respond|cookies?|consent"
     r"|(?:page|site)?footer|(?:page|site)?header|masthead|menu|modal|(?:main|side|sub|site|top)?nav|navbar|navigation"
-    r"|newsletter|notices?|pagination|popup|promo\w*|related|share|sharing|side[_-]?bar|social|sponsor\w*|subscribe"
-    r"|toolbar|widget|complementary|contentinfo|search)(?:$|[\s_-])",
+    r"|newsletter|pagination|popup|side[_-]?bar|sponsor\w*|subscribe"
+    r"|toolbar|widget|complementary|contentinfo)(?:$|[\s_-])",
+    re.IGNORECASE,
+)
+_MAYBE = re.compile(
+    r"(?:^|[\s_-])(?:alerts?|announcements?|banner|disclaimer|discussion|notices?|promo\w*|related|search|share|sharing|social)(?:$|[\s_-])",
     re.IGNORECASE,
 )
 NAMED = BLOCKS - {"html", "body", "main", "hr", "h1", "h2", "h3", "h4", "h5", "h6"}
@@ -66,8 +72,6 @@ _ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S*))")
 _MARK = re.compile(r"(?<![\w:.-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _BARE_SLASH = re.compile(r"=\s*(?:[^\s\"']\S*)?/$")
 _MAIN = re.compile(r"\b(?:main|article)\b")
-#: A level of a wrapper with more items is written as a repeat of options.
-WIDEST = 24
 #: Pages that share over so many times the characters in which they differ are copies.
 COPIES = 4
 #: A class, id or role that is on less than one of so many pages of its host, or on one page only, is no layout's.
@@ -83,7 +87,8 @@ FAN_IN, BROADCAST_CHARS = 64, 16_000_000
 class Element:
     """marks: class, id and role for the key; names: class and role; inside: in an article, a section or the main element.
 
-    links: how many it holds; texted: whether it holds text outside links. The key of what holds links only ends with @.
+    links: how many it holds; texted: whether it holds text outside links. The key of what holds links only ends with @,
+    and ! stands in the key of what may be no part of an article by its name.
     """
 
     __slots__ = ("name", "marks", "names", "ident", "inside", "items", "links", "texted")
@@ -94,7 +99,11 @@ class Element:
 
     @property
     def key(self) -> str:
-        return f"{self.name}{' ' if self.marks else ''}{self.marks}{'@' if self.links > 1 and not self.texted else ''}"
+        return f"{self.name}{' ' if self.marks else ''}{self.marks}{'!' if self.maybe() else ''}{'@' if self.links > 1 and not self.texted else ''}"
+
+    def maybe(self) -> bool:
+        """A name that both articles' sections and boilerplate have."""
+        return bool(self.names) and (self.name in NAMED or "-" in self.name) and bool(_MAYBE.search(_BESIDE.sub("", self.names)))
 
     def boiler(self) -> bool:
         own = self.name == "header" and self.inside
@@ -183,7 +192,7 @@ def parse(page: str, kept: frozenset[str] | None = None) -> Element:
 
 
 # A wrapper is a stream of tokens: a start tag ["<", key, optional, repeated, pages], the end ">" of it, a text ["#", hash or
-# None for a slot, optional, repeated, pages, characters], a group ["(", optional, repeated, pages, of options] and its end ")". pages: on
+# None for a slot, optional, repeated, pages, characters], a group ["(", optional, repeated, pages] and its end ")". pages: on
 # how many pages the token was met. A page is a wrapper of one page. The first token is the page itself.
 #
 # While streams are aligned, one level at a time, what stands between a start tag and its end is an item
@@ -251,8 +260,8 @@ def level(stretch: tuple) -> list[list]:
     return out
 
 
-def group(items: list[list], optional: int, repeated: int, pages: int, options: int = 0) -> list:
-    return ["(*" if options else "(" + "|".join(x[0] for x in items), optional, repeated, pages, None, 0, items]
+def group(items: list[list], optional: int, repeated: int, pages: int) -> list:
+    return ["(" + "|".join(x[0] for x in items), optional, repeated, pages, None, 0, items]
 
 
 def joined(x: list, y: list, again: bool = False) -> list:
@@ -276,7 +285,7 @@ def anchored(x: list, shared: set | frozenset) -> bool:
 
 
 def folded(items: list[list], shared: set | frozenset) -> list[list]:
-    """Neighbours of one shape, and rows of any length that come again, become repeats; too wide a level, a repeat of options."""
+    """Neighbours of one shape, and rows of any length that come again, become repeats."""
     out: list[list] = []
     where = defaultdict(list)  # places in out of items, or of groups that end with one, by shape
     for x in items:
@@ -301,26 +310,30 @@ def folded(items: list[list], shared: set | frozenset) -> list[list]:
                 out[j + 1 - n :] = [repeat(*rows)]
                 break
         where[x[0]].append(len(out) - 1)
-    return out if len(out) <= WIDEST else widened(out, shared)
-
+    return out
 
-def widened(items: list[list], shared: set | frozenset) -> list[list]:
-    """A repeat of options: one for each shape and each anchored constant."""
-    options: dict[tuple, list] = {}
-    for x in items:
-        for y in x[6] if x[0][:1] == "(" else [x]:
-            k = (y[0], y[4] if anchored(y, shared) else None)
-            options[k] = joined(options[k], y, again=True) if k in options else y
-    rows = [[y[0], 1, *y[2:]] for y in options.values()]
-    return [group(rows, 0, 1, max((y[3] for y in rows), default=1), options=1)]
 
-
-def align(a: list[list], b: list[list], shared: set | frozenset) -> list[list]:
-    """Two levels of items as one: equal constants first, then equal shapes, in order; texts that differ become slots, what one lacks is optional."""
-    both = {x[4] for x in a if x[4] is not None} & {x[4] for x in b if x[4] is not None} | shared
-    a, b = folded(a, both), folded(b, both)
-    if any(x[0] == "(*" for x in (*a, *b)):
-        return widened([*a, *b], both)
+def anchors(a: list[list], b: list[list]) -> list[tuple[int, int]]:
+    """Pairs of equal constants that each level has once, as many as are in the same order in both."""
+    once = [{h: i for i, x in enumerate(level_) if (h := x[4]) is not None and counts[h] == 1} for level_ in (a, b) for counts in (Counter(x[4] for x in level_),)]
+    found = [(i, once[1][h]) for h, i in once[0].items() if h in once[1] and a[i][0] == b[once[1][h]][0]]
+    tails: list[int] = []  # of the ascending runs of each length, the one with the smallest end
+    ends: list[int] = []
+    back: list[int] = []
+    for k, (_, j) in enumerate(found):
+        at = bisect_left(ends, j)
+        back.append(tails[at - 1] if at else -1)
+        tails[at:at + 1] = [k]
+        ends[at:at + 1] = [j]
+    out, k = [], tails[-1] if tails else -1
+    while k >= 0:
+        out.append(found[k])
+        k = back[k]
+    return out[::-1]
+
+
+def between(a: list[list], b: list[list], both: set | frozenset) -> list[tuple[int | None, int | None]]:
+    """Items of two levels in order, paired where their shapes agree so that the pairs are worth most."""
 
     def worth(x: list, y: list) -> int:
         if x[0] != y[0]:
@@ -329,25 +342,42 @@ def align(a: list[list], b: list[list], shared: set | frozenset) -> list[list]:
             return 8
         return 1 if anchored(x, both) or anchored(y, both) else 2
 
-    w = [[worth(x, y) for y in b] for x in a]
-    if len(a) == len(b) and all(w[i][i] > 1 for i in range(len(a))):
-        return [joined(x, y) for x, y in zip(a, b, strict=True)]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    wide = len(b)
+    moves, below_ = bytearray(len(a) * wide), [0] * (wide + 1)
     for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + w[i][j] if w[i][j] else 0)
+        row = [0] * (wide + 1)
+        for j in range(wide - 1, -1, -1):
+            w = worth(a[i], b[j])
+            best = max(below_[j], row[j + 1], below_[j + 1] + w if w else 0)
+            row[j] = best
+            moves[i * wide + j] = 0 if w and best == below_[j + 1] + w else 1 if best == below_[j] else 2
+        below_ = row
+    out: list[tuple[int | None, int | None]] = []
     i = j = 0
-    out = []
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and w[i][j] and best[i][j] == best[i + 1][j + 1] + w[i][j]:
-            out.append(joined(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and best[i][j] == best[i + 1][j]):
-            out.append([a[i][0], 1, *a[i][2:]])
-            i += 1
-        else:
-            out.append([b[j][0], 1, *b[j][2:]])
-            j += 1
+    while i < len(a) or j < wide:
+        move = 1 if j == wide else 2 if i == len(a) else moves[i * wide + j]
+        out.append((None if move == 2 else i, None if move == 1 else j))
+        i, j = i + (move != 2), j + (move != 1)
+    return out
+
+
+def align(a: list[list], b: list[list], shared: set | frozenset) -> list[list]:
+    """Two levels of items as one, however wide: constants that both have once part them; between those, equal constants
+    first, then equal shapes, in order; texts that differ become slots, what one lacks is optional."""
+    both = {x[4] for x in a if x[4] is not None} & {x[4] for x in b if x[4] is not None} | shared
+    a, b = folded(a, both), folded(b, both)
+    out: list[list] = []
+    i = j = 0
+    for to_i, to_j in (*anchors(a, b), (len(a), len(b))):
+        for x, y in between(a[i:to_i], b[j:to_j], both):
+            if x is not None and y is not None:
+                out.append(joined(a[i + x], b[j + y]))
+            else:
+                z = a[i + x] if x is not None else b[j + y]
+                out.append([z[0], 1, *z[2:]])
+        if to_i < len(a):
+            out.append(joined(a[to_i], b[to_j]))
+        i, j = to_i + 1, to_j + 1
     return folded(out, both)
 
 
@@ -376,7 +406,7 @@ def merge(streams: list[list]) -> list:
             if shape == "#":
                 todo.append(("out", ["#", known, optional, repeated, n, chars], n))
             elif shape[:1] == "(":
-                todo += [("out", ")", n), ("items", inside, n), ("out", ["(", optional, repeated, n, int(shape == "(*")], n)]
+                todo += [("out", ")", n), ("items", inside, n), ("out", ["(", optional, repeated, n], n)]
             else:
                 todo += [("out", ">", n), ("in", inside, n), ("out", ["<", shape, optional, repeated, n], n)]
     return out
@@ -388,12 +418,16 @@ def below(place: int, key: str) -> int:
 
 
 def rule(wrapper: list) -> dict:
-    """What a wrapper says of its pages: path, the keys from the page to the main element; drop, texts of the template there; menus, paths of menus there.
-
-    A text is the template's if over half of the pages have it in one place, two at least. The main element is <article>
-    or <main> if the wrapper has one: the page says itself what its article is, and nothing in it is dropped. Else it is
-    found by going down while one child's slots hold most characters outside links. Where constants have over COPIES times
-    the slots' characters the pages are copies of each other, and constants are text like any other.
+    """What a wrapper says of its pages: paths, the keys from the page to the main elements; drop, texts of the template
+    there; menus, paths of menus there; named, paths of blocks that are boilerplate by name and by content.
+
+    A text is the template's if over half of the pages have it in one place, two at least. The main elements are all
+    <article> if the wrapper has one, else <main>: the page says itself what its article is, and no text in it is dropped.
+    Else the main element is found by going down while one child's slots hold most characters outside links. There, the
+    template's texts and the menus go that stand before the first slot (and its heading) or after the last: between slots
+    they are the article's headings and lists. A block whose name both articles and boilerplate have goes if there is no
+    slot outside links in it. Where constants have over COPIES times the slots' characters the pages are copies of each
+    other, and constants are text like any other.
     """
     pages = wrapper[0][4]
     n = len(wrapper)
@@ -432,15 +466,22 @@ def rule(wrapper: list) -> dict:
             i = parent[i]
         return keys[::-1]
 
+    # a place is one for all elements with these keys: any slot in one of them keeps all
+    unsure = {place[i] for i in starts if "!" in wrapper[i][1][-2:]} if pages > 1 else set()
+    told = {"named": sorted(unsure - {place[i] for i in starts if slots[i]})}
+    if pages < 2:
+        told["named"] = None
     named = []
     for i in starts:
-        name, _, marks = wrapper[i][1].partition(" ")
-        if (name in ("article", "main") or _MAIN.search(marks)) and slots[i] + (name == "article") > 1:
+        name, _, marks = wrapper[i][1].rstrip("!@").partition(" ")
+        if (name in ("article", "main") or _MAIN.search(marks)) and slots[i] + (name == "article") > 0:
             named.append((name == "article", slots[i], i))
     if named:
-        articles = [x for x in named if x[0]] or named
-        most = max(x[1] for x in articles)
-        return {"path": max(path_to(i) for _, k, i in articles if k == most), "drop": [], "menus": []}
+        articles = [x for x in named if x[0]]
+        if not articles:
+            most = max(x[1] for x in named)
+            articles = [(0, 0, max((i for _, k, i in named if k == most), key=path_to))]
+        return {"paths": sorted({tuple(path_to(i)) for _, _, i in articles}), "drop": [], "menus": [], **told}
     children = defaultdict(list)
     for i in starts[1:]:
         up = parent[i]
@@ -455,39 +496,55 @@ def rule(wrapper: list) -> dict:
             for c in children[i]:
                 by_key[wrapper[c][1]] += slots[c]
         key, most = max(by_key.items(), key=lambda kv: kv[1], default=("", 0))
-        if not most or key.split(" ")[0] in ("p", "table", "ul", "ol") or most * 10 < 7 * sum(slots[i] for i in here):
+        if not most or key.rstrip("!@").split(" ")[0] in ("p", "table", "ul", "ol") or most * 10 < 7 * sum(slots[i] for i in here):
             break
         path.append(key)
         here = [c for i in here for c in children[i] if wrapper[c][1] == key]
+    paths = [path] if path else []
     if sum(constant[i] for i in here) > COPIES * sum(slots[i] for i in here):
-        return {"path": path, "drop": [], "menus": []}
-    inside = lambda i: any(h < i < ends[h] for h in here)
-    menus = {place[i] for i in starts if wrapper[i][1][-1] == "@" and inside(i)}
-    return {"path": path, "drop": sorted({k for i, k in texts if inside(i)}), "menus": sorted(menus)}
+        return {"paths": paths, "drop": [], "menus": [], **told}
+    fixed_at = {i for i, _ in texts}
+    outer: list[tuple[int, int]] = []  # stretches before the first slot and after the last
+    within = lambda i: any(h < i < ends[h] for h in here)
+    own = [i for i in range(here[0], ends[here[-1]]) if wrapper[i][0] == "#" and i not in fixed_at and not inner[i] and within(i)]
+    if own:
+        first = own[0]
+        for i in range(own[0] - 1, here[0], -1):  # a heading right before the first slot is its heading
+            if wrapper[i][0] == "#":
+                if not re.match(r"h[1-6]\b", wrapper[parent[i]][1] if wrapper[parent[i]][0] == "<" else ""):
+                    break
+                first = i
+        outer = [(here[0], first), (own[-1], ends[here[-1]])]
+    margin = lambda i: within(i) and any(low < i < high for low, high in outer)
+    rows = [i for i in starts if wrapper[i][1][-1] == "@" and within(i)]
+    menus = {place[i] for i in rows} - {place[i] for i in rows if not margin(i)}
+    return {"paths": paths, "drop": sorted({k for i, k in texts if margin(i)} - {k for i, k in texts if not margin(i)}), "menus": sorted(menus), **told}
 
 
 @dataclass(frozen=True)
 class Rule:
-    """path, drop and menus of rule(), and the host's marks."""
+    """paths, drop, menus and named of rule(), and the host's marks. named is None where one page is all there is: the names decide then."""
 
-    path: tuple[str, ...] = ()
+    paths: tuple[tuple[str, ...], ...] = ()
     drop: frozenset[int] = frozenset()
     menus: frozenset[int] = frozenset()
+    named: frozenset[int] | None = frozenset()
     kept: frozenset[str] | None = None
 
 
 def main_text(root: Element, found: Rule) -> str:
-    """Blocks of all elements at the rule's path, without the template's texts and menus; else of the page's own article, main element or body."""
-    places, at = [root], below(0, root.key)
-    for key in found.path:
-        places = [x for p in places for x in p.items if isinstance(x, Element) and x.key == key and not x.boiler()]
-        at = below(at, key)
+    """Blocks of all elements at the rule's paths, in the page's order, without the template's texts, menus and named
+    blocks; else of the page's own articles, main elements or body."""
+    start = below(0, root.key)
+    places = _at_paths(root, found.paths, start)
     told = bool(found.drop or found.menus)
-    if not places or not (found.path or told):
-        places, told = _own(root), False
+    if not places:
+        places = _own(root, start) if found.paths or not told else [(root, start)]
+        told = told and not found.paths
+    placed = told or bool(found.named)  # else no place is asked for
     blocks: list[list[str]] = [[]]
 
-    for p in places:
+    for p, at in places:
         blocks.append([])
         todo: list[tuple] = [(x, at) for x in reversed(p.items)]
         while todo:
@@ -500,8 +557,8 @@ def main_text(root: Element, found: Rule) -> str:
             elif x.boiler() or x.name == "br":
                 blocks[-1].append(" ")
             elif x.name not in RAW:
-                here = below(up, x.key) if told else 0
-                if told and here in found.menus:
+                here = below(up, x.key) if placed else 0
+                if (told and here in found.menus) or (x.maybe() and (found.named is None or here in found.named)):
                     blocks[-1].append(" ")
                     continue
                 if x.name in BLOCKS:
@@ -512,18 +569,32 @@ def main_text(root: Element, found: Rule) -> str:
     return "\n".join(t for t in texts if t)
 
 
-def _own(root: Element) -> list[Element]:
+def _at_paths(root: Element, paths: tuple[tuple[str, ...], ...], start: int) -> list[tuple[Element, int]]:
+    """The outermost elements at any of the paths, in the page's order, with their place."""
+    found, todo = [], [(root, start, paths)]
+    while todo:
+        e, at, left = todo.pop()
+        if any(not p for p in left):
+            found.append((e, at))
+            continue
+        for x in reversed(e.items):
+            if isinstance(x, Element) and not x.boiler() and (more := tuple(p[1:] for p in left if p[0] == x.key)):
+                todo.append((x, below(at, x.key), more))
+    return found
+
+
+def _own(root: Element, start: int) -> list[tuple[Element, int]]:
     for wanted in ("article", "main", "body"):
-        found, todo = [], [root]
+        found, todo = [], [(root, start)]
         while todo:
-            e = todo.pop()
+            e, at = todo.pop()
             if e.name == wanted:
-                found.append(e)
+                found.append((e, at))
             else:
-                todo += [x for x in reversed(e.items) if isinstance(x, Element) and not (wanted != "body" and x.boiler())]
+                todo += [(x, below(at, x.key)) for x in reversed(e.items) if isinstance(x, Element) and not (wanted != "body" and x.boiler())]
         if found:
             return found
-    return [root]
+    return [(root, start)]
 
 
 def common_marks(pages: DataFrame) -> DataFrame:
@@ -573,7 +644,8 @@ def rule_of(note: str | None) -> Rule:
     if note is None:
         return Rule()
     own, kept = json.loads(note)
-    return Rule(tuple(own["path"]), frozenset(own["drop"]), frozenset(own["menus"]), None if kept is None else frozenset(kept))
+    named = own["named"]
+    return Rule(tuple(map(tuple, own["paths"])), frozenset(own["drop"]), frozenset(own["menus"]), None if named is None else frozenset(named), None if kept is None else frozenset(kept))
 
 
 def wrappers(pages: DataFrame, kept: DataFrame) -> DataFrame:
