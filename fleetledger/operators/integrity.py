@@ -32,17 +32,18 @@ def asof_enrolment(events: DataFrame, enrolments: DataFrame) -> DataFrame:
     return asof_marked(kind(events, False).unionByName(kind(enrolments, True)))
 
 
-def asof_marked(rows: DataFrame) -> DataFrame:
+def asof_marked(rows: DataFrame, parts: int | None = None) -> DataFrame:
     """(event_id, user_id, ts, enrolled_at) of the rows that ask: their user's last row that enrols, at or before them.
 
     rows (event_id, user_id, ts, enrols, asks) are read once and dealt out in ranges of (user, ts), which is the only
     shuffle of all of them by more than the user: a user, or a user's day, with very many events lies in many ranges.
     Within a range and user it is a running maximum. Only the first user of a range can have an earlier part, so what is
-    carried into a range is one value, found from one row for each range. A null user has no enrolment.
+    carried into a range is one value, found from one row for each range. A null user has no enrolment. parts: how many
+    ranges; if not given, as many as the session has shuffle partitions, or fewer for little data.
     """
     enrolled = F.when(F.col("enrols") & F.col("user_id").isNotNull(), F.col("ts")).alias("enrolled")
     path = scratch(rows.sparkSession, "asof-ranges")
-    dealt = rows.select("event_id", "user_id", "ts", "asks", enrolled).repartitionByRange("user_id", "ts").withColumn("part", F.spark_partition_id())
+    dealt = rows.select("event_id", "user_id", "ts", "asks", enrolled).repartitionByRange(*([parts] if parts else []), "user_id", "ts").withColumn("part", F.spark_partition_id())
     dealt.write.parquet(path)  # which range a row is in may not change between the two uses
     ranges = rows.sparkSession.read.schema(dealt.schema).parquet(path)
     ends = ranges.groupBy("part").agg(F.min("user_id").alias("first"), F.max(F.struct("user_id", "enrolled")).alias("last"))

@@ -49,5 +49,6 @@ def sbom_write(found: DataFrame, created: str | None = None, pretty: bool = Fals
 
 
 def write_files(docs: DataFrame, path: str) -> None:
-    """(scan_id, doc) as one file per document, in a folder of its scan."""
-    docs.select("scan_id", F.col("doc").alias("value")).write.partitionBy("scan_id").text(path)
+    """(scan_id, doc) as one file per document, in a folder of its scan. Making so many files takes the time, so all cores share it."""
+    tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    docs.select("scan_id", F.col("doc").alias("value")).repartition(tasks, "scan_id").write.partitionBy("scan_id").text(path)

@@ -1,5 +1,8 @@
 import json
 import os
+import random
+import uuid
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from fleetledger.functions.versions import parsed, version_key
 from fleetledger.operators import inventory as inv
 from fleetledger.operators import integrity, rollups
 from fleetledger.plans import catalog
+from fleetledger.plans.views import Fleet
 from fleetledger.sources import advisories, spdx
 from fleetledger.streaming import uploads
 
@@ -80,10 +84,42 @@ def test_spdx_files(spark, tmp_path):
 
 
 def test_collecting_a_stream_of_files(spark, tmp_path):
+    """Two documents with packages, one without, one broken, one that is no document: each is found again, broken ones with their text."""
     (tmp_path / "in").mkdir()
     _documents(tmp_path / "in")
-    uploads.collect_results(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
+    (tmp_path / "in" / "e.json").write_text('{"some": "other"}')
+    out = str(tmp_path / "out")
+    uploads.collect_results(spark, str(tmp_path / "in"), out, str(tmp_path / "state")).awaitTermination()
+    assert {(r.document, r.name, tuple(r.vkey)) for r in uploads.collected(spark, out).collect()} == {("a", "x", (1,)), ("a", "y", (2,)), ("b", "x", (3,)), ("b", "z", (4,))}
+    assert {r.document: r.n_packages for r in uploads.documents(spark, out).collect()} == {"a": 2, "b": 2, "c": 0}
+    bad = {r.file[-6:]: (r.reason, r.text) for r in uploads.rejected(spark, out).collect()}
+    assert bad["d.json"] == ("no JSON", '{"name": "x", "packages": [') and bad["e.json"][0] == "no name" and len(bad) == 2
+
+
+def _batch(spark, names):
+    rows = [("SPDX-2.3", n, (f"2024-0{k % 3 + 1}-05T00:00:00Z",), [(f"p{n}", "1.2", "s", "e")], None, f"{n}.json") for k, n in enumerate(names)]
+    schema = spdx.READ_SCHEMA.add("file", "string") if "file" not in spdx.READ_SCHEMA.names else spdx.READ_SCHEMA
+    return spark.createDataFrame(rows, schema)
+
+
+def test_a_batch_that_runs_again_replaces_its_rows(spark, tmp_path):
+    out, first = str(tmp_path), ["a", "b", "c", "d"]
+    uploads.write_collected(_batch(spark, first), 0, out)
+    uploads.write_collected(_batch(spark, ["e"]), 1, out)
+    uploads.write_collected(_batch(spark, first), 0, out)
+    assert sorted(r.name for r in uploads.collected(spark, out).collect()) == ["pa", "pb", "pc", "pd", "pe"]
+    assert uploads.documents(spark, out).count() == 5 and uploads.rejected(spark, out).count() == 0
+
+
+def test_collected_reads_only_what_is_asked_for(spark, tmp_path):
+    for period in ("day", "month"):
+        out = str(tmp_path / period)
+        uploads.write_collected(_batch(spark, ["a", "b", "c"]), 0, out, period)
+        since = uploads.collected(spark, out, "2024-02-03 12:00:00", period)
+        assert sorted(r.name for r in since.collect()) == ["pb", "pc"]
+        plan = since._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(period" in plan and "period#" in plan.split("PartitionFilters")[1].split("]")[0]
+        assert len(since.inputFiles()) == 3 and since.select("file").distinct().count() == 2
 
 
 def test_late_rows_are_reported(spark, data, tmp_path):
@@ -91,6 +127,113 @@ def test_late_rows_are_reported(spark, data, tmp_path):
     events.repartitionByRange(4, "event_id").sortWithinPartitions("event_id").write.parquet(str(tmp_path / "in"))
     for k, f in enumerate(sorted((tmp_path / "in").glob("part*"), reverse=True)):
         os.utime(f, (1e9 + 100 * k, 1e9 + 100 * k))
+    listener = uploads.ProgressTable(spark, str(tmp_path / "progress"))
+    spark.streams.addListener(listener)
     stream = uploads.events_stream(spark, str(tmp_path / "in"), 1).withWatermark("ts", "1 hour")
     _, ended = uploads.run(rollups.daily_uploads(stream))
-    assert sum(n for _, _, n in uploads.late_data_report(ended)) > 0
+    report = uploads.late_data_report(listener.rows(ended)).collect()
+    spark.streams.removeListener(listener)
+    assert sum(r.n_dropped for r in report) > 0
+
+
+def test_late_rows_of_over_a_hundred_batches(spark, tmp_path):
+    """A query keeps its last 100 batches only; the late rows here are in the first ten of 106."""
+    s = spark.newSession()
+    s.conf.set("spark.sql.shuffle.partitions", "1")
+    (tmp_path / "in").mkdir()
+    for k in range(106):
+        day = datetime(2024, 3, 1) if k < 2 else datetime(2024, 1, 1) if k < 10 else datetime(2024, 3, 1) + timedelta(hours=k)
+        rows = [(1000 * k + n, day, n, "click", 1.0, "{}") for n in range(k % 3 + 1)]
+        s.createDataFrame(rows, uploads.EVENTS).coalesce(1).write.parquet(str(tmp_path / "one" / str(k)))
+        (f,) = (tmp_path / "one" / str(k)).glob("part*")
+        f.rename(tmp_path / "in" / f"{k:03d}.parquet")
+        os.utime(tmp_path / "in" / f"{k:03d}.parquet", (1e9 + 100 * k, 1e9 + 100 * k))
+    listener = uploads.ProgressTable(s, str(tmp_path / "progress"))
+    s.streams.addListener(listener)
+    stream = uploads.events_stream(s, str(tmp_path / "in"), 1)
+    _, ended = uploads.run(uploads.stream_dedup(stream, "1 hour"))
+    report = {r.batch: r.n_dropped for r in uploads.late_data_report(listener.rows(ended)).collect()}
+    s.streams.removeListener(listener)
+    assert len(report) > 104 and min(p["batchId"] for p in ended.recentProgress) > 9
+    assert sum(report.values()) == sum(k % 3 + 1 for k in range(2, 10)) == sum(n for b, n in report.items() if b < 10)
+
+
+def test_open_sessions_are_closed_once(spark, tmp_path):
+    rows = [(1, datetime(2024, 1, 1), 7, "c", 0.0, ""), (2, datetime(2024, 1, 1, 5), 7, "c", 0.0, ""), (3, datetime(2024, 1, 1, 12), 7, "c", 0.0, ""), (4, datetime(2024, 1, 1, 1), None, "c", 0.0, "")]
+    spark.createDataFrame(rows, uploads.EVENTS).write.parquet(str(tmp_path / "in"))
+    spark.createDataFrame([], uploads.EVENTS).write.parquet(str(tmp_path / "none"))
+
+    def closed(path):
+        sessions = lambda m: rollups.upload_sessions(uploads.closable(uploads.events_stream(spark, path), m, "1 hour"), "closing")
+        return uploads.run_and_close(spark, sessions, timedelta(days=1)).collect()
+
+    assert sorted((r.user_id or 0, r.n) for r in closed(str(tmp_path / "in"))) == [(0, 1), (7, 1), (7, 2)]
+    assert closed(str(tmp_path / "none")) == []
+
+
+def test_users_who_stay_away_leave_the_state(spark, tmp_path):
+    """1,000 users once, then ten users for some weeks: the state ends with those of the last windows; the last event of all is still known."""
+    listener, out, state = uploads.ProgressTable(spark, str(tmp_path / "progress")), [], str(tmp_path / "state")
+    spark.streams.addListener(listener)
+    ended = []
+    for k in range(5):
+        users = 1000 if k == 0 else 10
+        rows = spark.range(users).selectExpr(f"id + {k} * 10000 AS event_id", f"TIMESTAMP_NTZ '2024-01-01' + make_interval(0, 0, {k}, 0, 1) AS ts", "id AS user_id", "'c' AS event_type", "1D AS value", "'' AS props")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        latest = uploads.stream_latest(uploads.events_stream(spark, str(tmp_path / "in")), "7 days")
+        q = latest.writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda b, n: out.extend(b.collect())).start()
+        q.awaitTermination()
+        ended.append(q)
+    progress = listener.rows(*ended).orderBy("batch").collect()
+    spark.streams.removeListener(listener)
+    assert progress[0].n_state == 1000 and progress[-1].n_state <= 20 and sum(r.n_removed for r in progress) >= 1000
+    got = {r.user_id: r.event_id for r in uploads.latest_of(spark.createDataFrame(out)).collect()}
+    assert got == {u: (u + 40000 if u < 10 else u) for u in range(1000)}
+
+
+def test_asof_with_a_hot_day(spark):
+    """One user's single day is over half of all rows and lies in several ranges; against brute force, with ties and nulls."""
+    rng = random.Random(2)
+    rows = []
+    for k in range(6000):
+        hot = rng.random() < 0.6
+        ts = datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(86_400)) if hot else datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(50_000))
+        rows.append((k, 5 if hot else rng.choice([None, *range(12)]), ts, rng.random() < 0.02))
+    df = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, enrols boolean").repartition(7)
+    asof = integrity.asof_marked(df.withColumn("asks", ~F.col("enrols")), 12)
+    want = {e: max((t for _, v, t, n in rows if n and v == u and u is not None and t <= ts), default=None) for e, u, ts, enrols in rows if not enrols}
+    assert {r.event_id: r.enrolled_at for r in asof.collect()} == want
+    dealt = df.repartitionByRange(12, "user_id", "ts").where("user_id = 5").select(F.spark_partition_id()).distinct().count()
+    assert dealt > 5
+    assert integrity.asof_marked(df.limit(0).withColumn("asks", F.lit(True))).count() == 0
+
+
+def test_stored_buckets_are_matched_without_a_shuffle(spark, data, tmp_path):
+    """Broadcasts off: no exchange stands below the join, at the second matching either; a hot package lies in several buckets."""
+    x = Fleet(spark, data)
+    hot = spark.range(400).selectExpr("id AS scan_id", "'e' AS ecosystem", "'hot' AS name", "'1.5' AS version").withColumn("vkey", version_key(F.col("version")))
+    rows = x.packages.select(*hot.columns).union(hot)
+    known = x.advisories.unionByName(advisories.keyed(spark.createDataFrame([("H", "e", "hot", "1", None, "CRITICAL")], advisories.SCHEMA)))
+    want = sorted((r.scan_id, r.name, r.version, r.advisory_id) for r in inv.match_vulnerabilities(rows, known).collect())
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        have, adv = inv.store_bucketed(rows, known, f"t{uuid.uuid4().hex}", str(tmp_path), buckets=8)
+        for where in ("true", "severity = 'CRITICAL'"):
+            got = inv.match_bucketed(have, adv, where)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
+            found = sorted((r.scan_id, r.name, r.version, r.advisory_id) for r in got.collect())
+            assert found == [r for r in want if where == "true" or r[3] in {a.advisory_id for a in known.where(where).collect()}]
+        parts = spark.table(have).where("name = 'hot'").groupBy("part").count().collect()
+        assert len(parts) == 4 and max(r["count"] for r in parts) < 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_merged_sketches_equal_one_sketch(spark):
+    rows = spark.range(300_000).selectExpr("id % 3 AS asset_id", "id % 30 AS day", "cast(id % 120000 AS string) AS version")
+    merged = {r.asset_id: r.n_versions for r in rollups.merged_versions(rollups.version_sketches(rows, "asset_id", "day"), "asset_id").collect()}
+    once = {r.asset_id: r.n_versions for r in rollups.merged_versions(rollups.version_sketches(rows, "asset_id"), "asset_id").collect()}
+    for asset, n in merged.items():
+        assert abs(n - once[asset]) <= 0.01 * n and abs(n - 40_000) <= 3 * 1.04 / 64 * 40_000
