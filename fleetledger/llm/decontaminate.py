@@ -125,16 +125,17 @@ class ItemIndex:
         return out
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, shingle: int, containment: float, block_chars: int) -> list[Broadcast]:
-    """Indexes of the benchmark's items in blocks of about block_chars characters, on their way to the executors."""
+def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, shingle: int, containment: float, block_chars: int) -> Iterator[tuple[Broadcast, bool]]:
+    """Indexes of the benchmark's items in blocks of about block_chars characters, and whether it is the last. A block is made when it is asked for."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null").distinct()
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = 1 if chars <= block_chars else -(-2 * chars // block_chars)
     if n > 1:
         items = cut(items, "benchmark-items")  # read once for each block, made once
-    blocks = (items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect() for k in range(n))
-    return [spark.sparkContext.broadcast(ItemIndex([(r.i, r.t) for r in rows], shingle, containment)) for rows in blocks]
+    for k in range(n):
+        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
+        yield spark.sparkContext.broadcast(ItemIndex([(r.i, r.t) for r in rows], shingle, containment)), k == n - 1
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, containment: float = CONTAINMENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -145,14 +146,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     verified with the shingles themselves. An item of fewer than five words is one shingle of all its words.
 
     The benchmark is a query set: it goes to the executors in blocks of at most block_chars characters (and one item
-    more), one pass over the documents each. Documents stay where they are: nothing is shuffled.
+    more), one at a time: the hits of a pass over the documents are written, then its block is destroyed and the next
+    one made. Documents stay where they are: nothing is shuffled.
     Null and empty texts, and items without words, never match. A repeated document row is reported again; an item
     with the same id and text counts once. Extra columns are ignored; empty tables give no rows.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
     out = None
-    for index in item_blocks(benchmark, item_id, item_text, shingle, containment, block_chars):
+    for index, _ in item_blocks(benchmark, item_id, item_text, shingle, containment, block_chars):
 
         def work(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             powers = _Powers()
@@ -160,14 +162,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
                 hits = [(d, i, m, k, k / m) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) if (body := t.as_py()) for i, m, k in index.value.search(body, powers)]
                 yield pa.RecordBatch.from_arrays([pa.array([h[c] for h in hits], pa.float64() if c == 4 else pa.int64()) for c in range(5)], ["doc_id", "item_id", "n_shingles", "n_shared", "containment"])
 
-        found = d.mapInArrow(work, schema)
+        found = cut(d.mapInArrow(work, schema), "benchmark-hits")
+        index.destroy()
         out = found if out is None else out.union(found)
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = SHINGLE, containment: float = CONTAINMENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no benchmark item (as find_leaks has it). Rows are not moved."""
-    for index in item_blocks(benchmark, item_id, item_text, shingle, containment, block_chars):
+    """The rows of docs, with all their columns, that hold no benchmark item (as find_leaks has it). Rows are not moved.
+
+    Of a benchmark of several blocks, each but the last costs a table of the rows that are left, so that one block at a
+    time is held.
+    """
+    for index, last in item_blocks(benchmark, item_id, item_text, shingle, containment, block_chars):
 
         def work(batches: Iterator[pa.RecordBatch], index=index, at=docs.columns.index(text)) -> Iterator[pa.RecordBatch]:
             powers = _Powers()
@@ -176,6 +183,9 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                     yield b.filter(pa.array([not ((body := t.as_py()) and index.value.search(body, powers)) for t in b.column(at)], pa.bool_()))
 
         docs = docs.mapInArrow(work, docs.schema)
+        if not last:
+            docs = cut(docs, "benchmark-rest")
+            index.destroy()
     return docs
 
 

@@ -8,7 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, spans_of, table
+from fleetledger.session import scratch
+
+from .common import cut, spans_of, table, unused
 
 
 @dataclass(frozen=True)
@@ -102,11 +104,16 @@ def record(versions: DataFrame, folder: str, path: str = "doc_id", text: str = "
     return read_ledger(spark, folder)
 
 
-def at_paths(versions: DataFrame, findings: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """(path, blob_id, spans) for every version, with the findings (new and stored ones) of its content."""
+def at_paths(versions: DataFrame, findings: DataFrame, path: str = "doc_id", text: str = "text", rules_version: str = RULES_VERSION) -> DataFrame:
+    """(path, blob_id, spans): one row for every row of versions, with what the rules of rules_version found in its content.
+
+    findings: rows (blob_id, rules_version, spans), new and stored ones; those of other rules don't count, and a content
+    that was recorded twice (two runs at one time may do that) counts once.
+    """
     v = blobs(versions, path, text).select("path", "blob_id")
     # a table, so that the join has a shuffle of its own, which Spark can split where many paths share a content
-    own = cut(findings.where(F.size("spans") > 0), "secret-findings").select(F.col("blob_id").alias("found_id"), "spans")
+    known = findings.where((F.col("rules_version") == rules_version) & (F.size("spans") > 0)).dropDuplicates(["blob_id"])
+    own = cut(known, "secret-findings").select(F.col("blob_id").alias("found_id"), "spans")
     return v.join(own, F.col("blob_id") == F.col("found_id"), "left").select("path", "blob_id", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))
 
 
@@ -131,12 +138,13 @@ def redact(docs: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     if stored is not None:
         findings = findings.unionByName(stored.where(F.col("rules_version") == RULES_VERSION).select(*findings.columns).dropDuplicates(["blob_id"]))
     # a table, as in at_paths: a content that very many rows share can then be split over tasks
-    found = cut(findings.where(F.size("spans") > 0), "secret-findings").select(F.col("blob_id").alias("__blob"), F.col("spans").alias("__spans"))
+    own_id, blob, spans = unused(docs, "own_id", "blob", "spans")
+    found = cut(findings.where(F.size("spans") > 0), "secret-findings").select(F.col("blob_id").alias(blob), F.col("spans").alias(spans))
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = docs.withColumn("__own", F.sha2(body.cast("binary"), 256)).join(found, F.col("__own") == F.col("__blob"), "left")
-    out = own.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("__spans"))))
+    own = docs.withColumn(own_id, F.sha2(body.cast("binary"), 256)).join(found, F.col(own_id) == F.col(blob), "left")
+    out = own.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col(spans))))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 
@@ -145,12 +153,12 @@ def count_kind(k: int) -> Column:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first scan of documents: the ledger is empty, paths are doc_ids.
+    """The first scan of documents, recorded in a new ledger and read from it; paths are doc_ids.
 
     A null text is empty. Repeated rows come back each; rows with a null doc_id too. No finding: zeros and empty spans.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = at_paths(docs, scan_unseen(docs))
+    out = at_paths(docs, record(docs, scratch(spark, "secret-ledger")))
     base = F.filter("spans", lambda x: x["k"] < len(BASE))
     n = {f"n_{r.kind}": count_kind(k) for k, r in enumerate(BASE)}
     return out.select(F.col("path").alias("doc_id"), *[c.alias(name) for name, c in n.items()], F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

@@ -1,4 +1,10 @@
-"""SimHash near-duplicates: pivot distance tables discard pairs of fingerprints, survivors are verified and linked."""
+"""SimHash near-duplicates: pivot distance tables discard pairs of fingerprints, survivors are verified and linked.
+
+The pivots are placed so that their distances spell out segments of the fingerprint: what is joined on are coordinates of
+the pivot table, but they hold the same as the fingerprint's bits in those cells, so the search by keys is a search by
+segments. With scattered pivots distances of unrelated fingerprints all lie near 32, and ranges of them share nearly all
+pairs; that can't be run at scale. The difference of distances discards what the keys let through, which is little.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import cut, slices, table, unused
 
 MAX_BITS = 2
 SEED = 42
@@ -220,14 +226,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of docs, with all its columns, for each component: that of the smallest doc_id, of those the smallest XXH64 of the text.
 
     Rows without a doc_id come last: one of them stays only where no other row is in reach. A null text counts as empty.
-    Rows that share doc_id and text are one row here. Rows that share a doc_id but not the text are judged by their own
+    Rows that share doc_id and text are one row here: the one with the smallest hash of its other columns. Rows that share a doc_id but not the text are judged by their own
     fingerprints, so no text goes unless a near copy of it, or one linked to it by others, stays.
     """
-    firsts = grouped(cut(fingerprints(docs), "simhash-fps"))[1].toDF("__n", "__i", "__t")
-    keys = {"__none": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__th": text_hash(F.col("text").cast("string"))}
+    none, own_id, own_hash, row, n, i, h = unused(docs, "none", "own_id", "own_hash", "row", "n", "i", "h")
+    firsts = grouped(cut(fingerprints(docs), "simhash-fps"))[1].toDF(n, i, h)
+    keys = {none: F.col("doc_id").isNull(), own_id: F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), own_hash: text_hash(F.col("text").cast("string"))}
+    others = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])))
     # before the join, so that each task passes on one of its equal rows at most; the join uses the same partitioning
-    once = docs.withColumns(keys).withColumn("__row", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0)))).where("__row = 1")
-    kept = once.join(firsts, (F.col("__none") == F.col("__n")) & (F.col("__id") == F.col("__i")) & (F.col("__th") == F.col("__t")), "left_semi")
+    once = docs.withColumns(keys).withColumn(row, F.row_number().over(Window.partitionBy(*keys).orderBy(others))).where(F.col(row) == 1)
+    kept = once.join(firsts, (F.col(none) == F.col(n)) & (F.col(own_id) == F.col(i)) & (F.col(own_hash) == F.col(h)), "left_semi")
     return kept.select(*docs.columns)
 
 
