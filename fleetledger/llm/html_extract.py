@@ -342,6 +342,8 @@ def between(a: list[list], b: list[list], both: set | frozenset) -> list[tuple[i
             return 8
         return 1 if anchored(x, both) or anchored(y, both) else 2
 
+    if len(a) == len(b) and all(worth(x, y) > 1 for x, y in zip(a, b, strict=True)):
+        return [(i, i) for i in range(len(a))]
     wide = len(b)
     moves, below_ = bytearray(len(a) * wide), [0] * (wide + 1)
     for i in range(len(a) - 1, -1, -1):
@@ -368,7 +370,8 @@ def align(a: list[list], b: list[list], shared: set | frozenset) -> list[list]:
     a, b = folded(a, both), folded(b, both)
     out: list[list] = []
     i = j = 0
-    for to_i, to_j in (*anchors(a, b), (len(a), len(b))):
+    parts = [] if [x[0] for x in a] == [x[0] for x in b] else anchors(a, b)
+    for to_i, to_j in (*parts, (len(a), len(b))):
         for x, y in between(a[i:to_i], b[j:to_j], both):
             if x is not None and y is not None:
                 out.append(joined(a[i + x], b[j + y]))
