@@ -15,9 +15,8 @@ from .common import SPACES, table
 
 WORD_BREAK = f"[{SPACES}]+"
 NOT_SYMBOLS = "[^#*$%&|<>]+"
-NOT_SEPARATORS = "[^|»›·]+"
 BOILERPLATE = "(?i)(all rights reserved|cookie policy|privacy policy|terms of (use|service)|click here|subscribe to|sign up|share this|powered by|licensed under|enable javascript)"
-#: The base rules above, which the SQL has too, know ASCII and English. What follows holds for other languages.
+#: What follows holds for other languages and scripts.
 #: Ends of sentences in any script; Thai and Lao mark none, so their letters are taken as such.
 SENTENCE_END = "[.!?…。！？｡．‼⁇⁈⁉।॥۔؟։።፧။៕། \u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ede]".replace(" ", "")
 QUOTED = "«[^«»]*»|»[^«»]*«|‹[^‹›]*›|›[^‹›]*‹"
@@ -144,6 +143,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_lines", "n_bad_lines")
 
 
+# DuckDB's patterns can't look around: separators get spaces of their own instead, and those after the end of a sentence become letters.
+_ELSEWHERE_SQL = BOILERPLATE_ELSEWHERE.replace(r"(?iu)(?<!\p{L})(?=[acdhijklmnprstupé])", r"(?i)(?:^|\PL)").replace("'", "''")
+_OPEN = f"regexp_replace(regexp_replace(x, '{QUOTED}', '', 'g'), '([.!?…][{_SPACED}])[»›·]', '\\1x', 'g')"
+_PADDED = f"replace(regexp_replace(' ' || {_OPEN} || ' ', '[\\x20\\x09-\\x0C\u00a0\u202f]', '  ', 'g'), chr(13), ' ' || chr(13) || ' ')"
+_BAR = r"(?:\|| [»›·] )"
 OP1_SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
@@ -157,10 +161,9 @@ judged AS (
   SELECT r, x,
     length(regexp_replace(x, '{NOT_SYMBOLS}', '', 'g')) * 10 > length(x)
     OR (length(x) - length(replace(x, '!!', ''))) * 10 > length(x)
-    OR (length(x) >= {LONG_LINE} AND NOT regexp_matches(x, '[.!?…]'))
-    OR length(regexp_replace(x, '{NOT_SEPARATORS}', '', 'g')) >= 2
-    OR regexp_matches(x, '[|»›·][{SPACES}]*$')
-    OR regexp_matches(x, '{BOILERPLATE}') AS bad FROM lines),
+    OR (length(x) >= {LONG_LINE} AND NOT regexp_matches(x, '{SENTENCE_END}'))
+    OR regexp_matches(x, '[|»›·]') AND regexp_matches({_PADDED}, '{_BAR}[^\r\u0085\u2028\u2029]*{_BAR}|{_BAR}[\\x20\\x0D]*$')
+    OR regexp_matches(x, '{BOILERPLATE}') OR regexp_matches(x, '{_ELSEWHERE_SQL}') AS bad FROM lines),
 byd AS (SELECT r, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad, sum(length(x)) AS a, coalesce(sum(length(x)) FILTER (NOT bad), 0) AS k FROM judged GROUP BY r),
 c AS (
   SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,

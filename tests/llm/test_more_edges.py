@@ -1,7 +1,9 @@
 """Ties, blocks of a benchmark, words of short texts, and tables that a pipeline has done with."""
 
+import subprocess
+import sys
+
 import numpy as np
-import pytest
 
 import corpus_pipeline
 from fleetledger.llm import decontaminate, quality_classifier, simhash
@@ -44,13 +46,14 @@ def test_words_of_short_texts_count():
     assert len(quality_classifier.terms("")[0]) == len(quality_classifier.terms(None)[0]) == 0
 
 
-def test_cross_validation_prefers_terms_that_tell():
-    """Labels that only words tell: weights that let words speak have the smaller error."""
+def test_cross_validation_scores_every_document_by_the_others():
+    """Labels that words tell have no error; labels that nothing tells are guessed."""
     rng = np.random.default_rng(4)
     texts = [" ".join(rng.choice(["good", "fine", "best"] if k % 2 else ["evil", "vile", "baad"], 30)) for k in range(120)]
     labels = np.array([k % 2 for k in range(120)], float)
-    found = quality_classifier.cross_validate([quality_classifier.terms(t) for t in texts], labels, (1e-9, 0.5))
-    assert found[0.5][0] < 0.01 and found[0.5][1] == 1.0 and found[0.5][0] < found[1e-9][0]
+    terms = [quality_classifier.terms(t) for t in texts]
+    assert quality_classifier.cross_validate(terms, labels, (0.5,))[0.5] == (0.0, 1.0)
+    assert quality_classifier.cross_validate(terms, rng.permutation(labels), (0.5,))[0.5][0] > 0.1
 
 
 def test_the_pipeline_keeps_one_copy_of_the_corpus(spark, data, tmp_path, monkeypatch):
@@ -64,12 +67,8 @@ def test_the_pipeline_keeps_one_copy_of_the_corpus(spark, data, tmp_path, monkey
     assert [p.name for p in folder.iterdir()] == ["pipeline-3"]
 
 
-@pytest.mark.parametrize("name", ["fleetledger.llm.secrets", "corpus_pipeline"])
-def test_a_missing_part_is_an_error(name):
+def test_a_missing_part_is_an_error():
     """Only an installation without the whole package leaves the queries out."""
-    import subprocess
-    import sys
-
-    code = f"import sys; sys.modules['{name}'] = None\nimport __spark_entry__"
+    code = "import sys; sys.modules['fleetledger.llm.secrets'] = None\nimport __spark_entry__"
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=corpus_pipeline.__file__.rsplit("/", 1)[0])
-    assert done.returncode and ("ImportError" in done.stderr or "ModuleNotFoundError" in done.stderr or "ValueError" in done.stderr)
+    assert done.returncode and "ModuleNotFoundError" in done.stderr

@@ -395,7 +395,7 @@ def test_internal_names_do_not_clash(spark):
     for names in ("blob string, spans string, own_id string", "none string, OWN_HASH string, row string"):
         d = spark.createDataFrame(rows, f"doc_id long, text string, {names}")
         for out in (secrets.redact(d), simhash.keep_one(d)):
-            assert out.columns == d.columns and sorted(tuple(r)[2:] for r in out.collect()) == sorted((r[2:] for r in rows), key=str)
+            assert out.columns == d.columns and sorted((tuple(r)[2:] for r in out.collect()), key=str) == sorted((r[2:] for r in rows), key=str)
 
 
 def test_secret_edges_and_redaction(spark, edge):
