@@ -82,6 +82,11 @@ def unaffected_assets(assets: DataFrame, findings: DataFrame) -> DataFrame:
     return assets.join(findings, "asset_id", "left_anti")
 
 
+def undecided_assets(assets: DataFrame, findings: DataFrame, undecided: DataFrame) -> DataFrame:
+    """Assets without a finding of which nothing can be said: an advisory names a package of theirs, whose version is in unparsed()."""
+    return unaffected_assets(assets, findings).join(undecided, "asset_id", "left_semi")
+
+
 def unknown_packages(installed: DataFrame, advisories: DataFrame) -> DataFrame:
     """Packages that no advisory names."""
     return installed.select("ecosystem", "name").distinct().join(advisories, ["ecosystem", "name"], "left_anti")

@@ -183,6 +183,30 @@ def unaffected_assets(x: Fleet) -> DataFrame:
     return inv.unaffected_assets(x.assets, x.findings)
 
 
+#: Every seventh package's version becomes a pre-release, which has no place in the order.
+_PRE = "CASE WHEN pkg_id % 7 = 0 THEN concat(version, '-rc1') ELSE version END"
+_PRE_SQL = f""", pre AS (SELECT DISTINCT asset_id, scan_id, ecosystem, name, {_PRE} AS version, pkg_id % 7 = 0 AS open, vkey FROM latest JOIN packages USING (scan_id)),
+named AS (SELECT * FROM pre WHERE open AND EXISTS (SELECT 1 FROM advisories a WHERE a.ecosystem = pre.ecosystem AND a.name = pre.name)),
+hit AS (SELECT asset_id FROM pre p JOIN advisories a ON NOT open AND p.ecosystem = a.ecosystem AND p.name = a.name AND p.vkey >= ikey AND (fkey IS NULL OR p.vkey < fkey))"""
+
+
+def _pre_releases(x: Fleet) -> DataFrame:
+    return inv.inventory(x.scans, x.contents.selectExpr("scan_id", "pkg_id", f"{_PRE} AS version"), x.catalog)
+
+
+@query(f"{_PRE_SQL} SELECT asset_id, scan_id, ecosystem, name, version FROM named")
+def unparsed_packages(x: Fleet) -> DataFrame:
+    """Installed pre-releases of packages that an advisory names: kept apart, neither affected nor unaffected."""
+    return inv.unparsed(_pre_releases(x), x.advisories).select("asset_id", "scan_id", "ecosystem", "name", "version")
+
+
+@query(f"{_PRE_SQL} SELECT * FROM assets WHERE asset_id NOT IN (SELECT asset_id FROM hit) AND asset_id IN (SELECT asset_id FROM named)")
+def undecided_assets(x: Fleet) -> DataFrame:
+    """Assets that unaffected_assets has, but of which nothing can be said."""
+    have = _pre_releases(x)
+    return inv.undecided_assets(x.assets, inv.match_vulnerabilities(have, x.advisories), inv.unparsed(have, x.advisories))
+
+
 @query("SELECT DISTINCT ecosystem, name FROM inventory i WHERE NOT EXISTS (SELECT 1 FROM advisories a WHERE a.ecosystem = i.ecosystem AND a.name = i.name)")
 def unknown_packages(x: Fleet) -> DataFrame:
     return inv.unknown_packages(x.inventory, x.advisories)

@@ -49,6 +49,10 @@ def sbom_write(found: DataFrame, created: str | None = None, pretty: bool = Fals
 
 
 def write_files(docs: DataFrame, path: str) -> None:
-    """(scan_id, doc) as one file per document, in a folder of its scan. Making so many files takes the time, so all cores share it."""
+    """(scan_id, doc) as one file per document, in a folder of its scan.
+
+    Making so many files takes the time, so all cores share it, and tasks put their files in place themselves. A job that
+    fails leaves those of its ended tasks; written again, they are the same.
+    """
     tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism
-    docs.select("scan_id", F.col("doc").alias("value")).repartition(tasks, "scan_id").write.partitionBy("scan_id").text(path)
+    docs.select("scan_id", F.col("doc").alias("value")).repartition(tasks, "scan_id").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").mode("overwrite").partitionBy("scan_id").text(path)
