@@ -21,23 +21,24 @@ BASE = ("email", "ip", "card", "phone")
 MORE = ("ssn", "iban", "tel", "account", "name", "address", "birth")
 KINDS = BASE + MORE
 # Java patterns. Possessive parts and look-behinds keep matching linear on any text and find what the plain patterns find.
+# A look-ahead at the first character comes before a look-behind: at most places it fails, and is the cheaper of the two.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+IP = r"(?=[0-9])(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: Runs of 14 digits and more; shorter ones never count. Up to 19 digits that pass Luhn: card; others: account.
 CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
-TEL = r"(?<![0-9+.(-])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
+SSN = r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+IBAN = r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+TEL = r"(?=[(2-9])(?<![0-9+.(-])\(?[2-9][0-9]{2}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
 #: Titles, the given names and street words below are gazetteers of English, German, French and Spanish.
-NAME = r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Monsieur|Madame|Mademoiselle|Mme|Mlle|Señora?|Señorita|Sra?|Doña)\.?\x20\p{Lu}[\p{L}'’]+(?:[\x20-]\p{Lu}[\p{L}'’]+){0,2}"
+NAME = r"(?=[DFHMPS])(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herrn?|Frau|Monsieur|Madame|Mademoiselle|Mme|Mlle|Señora?|Señorita|Sra?|Doña)\.?\x20\p{Lu}[\p{L}'’]+(?:[\x20-]\p{Lu}[\p{L}'’]+){0,2}"
 ADDRESS = (
-    r"(?<![\p{L}\p{N}])(?:[0-9]{1,5}[a-z]?,?\x20(?:\p{Lu}\p{L}+\x20){1,3}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Square)(?!\p{L})"
+    r"(?=[0-9\p{Lu}acp])(?<![\p{L}\p{N}])(?:[0-9]{1,5}[a-z]?,?\x20(?:\p{Lu}\p{L}+\x20){1,3}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Boulevard|Blvd|Court|Square)(?!\p{L})"
     r"|[0-9]{1,5},?\x20(?:bis\x20|ter\x20)?(?:rue|avenue|boulevard|place|chemin|allée|impasse)\x20(?:de\x20la\x20|de\x20|du\x20|des\x20|d['’]|l['’])?\p{Lu}\p{L}+"
     r"|\p{Lu}\p{L}*(?:straße|strasse|str\.|weg|platz|allee|gasse)\x20[0-9]{1,4}[a-z]?(?![\p{L}\p{N}])"
     r"|(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo)\x20(?:de\x20la\x20|de\x20|del\x20)?\p{Lu}\p{L}+,?\x20(?:n[.ºo]\x20?)?[0-9]{1,4}(?![\p{L}\p{N}]))"
 )
-BIRTH = r"(?<![0-9./-])(?:[0-3]?[0-9][./-][0-3]?[0-9][./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9])(?![0-9./-]?[0-9])"
+BIRTH = r"(?=[0-9])(?<![0-9./-])(?:[0-3]?[0-9][./-][0-3]?[0-9][./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9])(?![0-9./-]?[0-9])"
 GIVEN_NAMES = (
     "James|John|Robert|Michael|William|David|Richard|Thomas|Charles|Daniel|Mary|Patricia|Jennifer|Linda|Elizabeth|Susan|Jessica|Sarah|Karen|Emma|Anna|Peter|Paul|Mark|George"
     "|Hans|Klaus|Jürgen|Wolfgang|Stefan|Andreas|Matthias|Ursula|Monika|Petra|Sabine|Renate|Jean|Pierre|Michel|Philippe|Alain|Nicolas|Marie|Nathalie|Isabelle|Sylvie|Catherine|Françoise"
@@ -152,18 +153,18 @@ def candidates(text: Column) -> Column:
     is_card = lambda m: between(14, 19)(m) & luhn(m)
     none = F.array().cast(_SPAN)
     given = lambda pattern, *spans, also=None: F.when((text.rlike(pattern) if also is None else text.contains(also) & text.rlike(pattern)), F.concat(*spans)).otherwise(none)
-    parts = [
-        given(EMAIL, of("email", EMAIL), also="@"),
+    with_digits = F.concat(
         given(IP, of("ip", IP, lambda m: m.rlike(rf"^{byte}(\.{byte}){{3}}$"))),
         given(CARD, of("card", CARD, is_card), of("account", CARD, lambda m: between(14, 19)(m) & ~luhn(m))),
         given(PHONE, of("phone", PHONE, between(10, 15)), also="+"),
         given(SSN, of("ssn", SSN)),
         given(IBAN, of("iban", IBAN)),
         given(TEL, of("tel", TEL)),
-        given(NAME, of("name", NAME)),
         given(ADDRESS, of("address", ADDRESS)),
         given(BIRTH, of("birth", BIRTH)),
-    ]
+    )
+    # one search for a digit spares a text without any eight others
+    parts = [given(EMAIL, of("email", EMAIL), also="@"), given(NAME, of("name", NAME)), given("[0-9]", with_digits)]
     return F.sort_array(F.concat(*parts))
 
 
