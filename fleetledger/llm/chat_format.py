@@ -91,6 +91,22 @@ def read_back(formatted: Column) -> Column:
     return F.transform(turns, turn)
 
 
+def under_mask(formatted: Column, loss_spans: Column) -> Column:
+    """array<string>: what stands in formatted under each span of the mask, unescaped. An empty span gives an empty text.
+
+    A span is looked up in blocks of the text, as taking each from the whole would read a long one again for every span.
+    """
+    size = 1024
+    blocks = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+    def text(blocks: Column, x: Column) -> Column:
+        first, last = F.floor(x["s"] / size).cast("int"), F.floor((x["e"] - 1) / size).cast("int")
+        return F.when(x["e"] > x["s"], F.array_join(F.slice(blocks, first + 1, last - first + 1), "").substr(x["s"] % size + 1, x["e"] - x["s"])).otherwise("")
+
+    # as a lambda's variable, blocks are made once; inside a lambda they would be made for every span
+    return F.get(F.transform(F.array(F.struct(blocks.alias("blocks"), loss_spans.alias("spans"))), lambda z: F.transform(z["spans"], lambda x: unescape(text(z["blocks"], x)))), F.lit(0))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each row of conversations is a create event; seq numbers a conversation's rows by turn (ties: role, text)."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
@@ -99,8 +115,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     seq = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
     out = format_chat(rows.unionByName(extra).withColumns({"seq": seq, "msg_id": seq, "op": F.lit("create")}))
     turns = F.transform(read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    under = F.array_join(F.transform(F.filter("segments", lambda x: x["loss"]), lambda x: unescape(x["text"])), "")
-    out = out.withColumn("under", under)
+    out = out.select("conv_id", "formatted", F.array_join(under_mask(F.col("formatted"), F.col("loss_spans")), "").alias("under"))
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     return out.select("conv_id", F.size(read_back(F.col("formatted"))).cast("long").alias("n_turns"), sha(F.array_join(turns, "")).alias("turns_sha256"), F.length("under").cast("long").alias("loss_chars"), sha(F.col("under")).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, slices, table
 
-#: Documents per language that the network may learn from, characters of each, and languages: these bound what is collected.
+#: Documents per language that the network may learn from, characters of each, and most languages: these bound what is collected.
 PER_LANGUAGE, SAMPLE_CHARS, LANGUAGES = 150, 384, 200
 #: STEPS: bytes of a window. A text is read in windows, each from a fresh state, and all its positions are pooled.
 STEPS, HIDDEN, EPOCHS, BATCH, RATE = 48, 8, 12, 128, 0.02
@@ -155,18 +155,20 @@ def train(texts: list[tuple[str, str]], epochs: int = EPOCHS, batch: int = BATCH
     return net
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int = SAMPLE_CHARS) -> Network:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, chars: int = SAMPLE_CHARS, languages: int = LANGUAGES) -> Network:
     """Learn from per_language documents of each language that aren't held out, and a stretch of chars characters of each.
 
-    Documents are chosen, and stretches placed, by a hash of doc_id. At most LANGUAGES languages are learnt, the first in
-    their order; texts of others get one of these. Rows without a doc_id, a text or a language teach nothing.
+    Documents are chosen, and stretches placed, by a hash of doc_id. Rows without a doc_id, a text or
+    a language teach nothing. languages bounds what is collected: where there are more, it is a ValueError, so none is left out unseen.
     """
     d = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - chars, F.lit(1))).cast("int") + 1
     stretch = d.select("doc_id", "lang", F.col("text").substr(start, F.lit(chars)).alias("t"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "t"))
-    chosen = stretch.withColumn("rank", rank).where(F.col("rank") <= per_language).orderBy("lang", "rank").limit(LANGUAGES * per_language)
+    chosen = stretch.withColumn("rank", rank).where(F.col("rank") <= per_language).orderBy("lang", "rank").limit((languages + 1) * per_language)
     texts = [(r.t, r.lang) for r in chosen.collect()]
+    if len({lang for _, lang in texts}) > languages:
+        raise ValueError(f"there are over {languages} languages; give a larger bound, or map rare ones to one of their own")
     return train(texts)
 
 
