@@ -54,6 +54,8 @@ CALLING_CODES = "1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
 IBAN_COUNTRIES = "AD|AT|BE|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IT|LT|LU|LV|MT|NL|NO|PL|PT|RO|SE|SI|SK"
 CUES = "(mail|contact|phone|tel|call|fax|mobile|card|visa|account|acct|konto|cuenta|compte|ssn|social|iban|bank|server|host|reach)"
 COUNTER_CUES = r"(version|isbn|issn|order|invoice|ticket|token|hash|sha|commit|serial|part|ref)\W*$"
+#: Kinds of which a span of the wrong form can't exist: a number never given out, a wrong length for its country.
+FORMED = ("ssn", "iban")
 CONTEXT = 24
 ROUNDS, ACCEPT = 12, 0.5
 ABSTAIN, NO, YES = 0, 1, 2
@@ -182,6 +184,7 @@ def learn(counts: dict[int, int], rounds: int = ROUNDS) -> list[int]:
 
     EM: the probability of each vote given that a span is, or isn't, personal data, for each labeler, and a prior for
     each kind. Then a naive-Bayes span classifier is fitted to EM's posteriors, with kind, votes and the features, each for itself, as inputs.
+    Spans of FORMED kinds that the form speaks against are learnt from but never accepted.
     """
     seen = [(*unpack(code), n, code) for code, n in sorted(counts.items())]
     prior, smooth = [0.5] * len(KINDS), 1.0
@@ -210,7 +213,8 @@ def learn(counts: dict[int, int], rounds: int = ROUNDS) -> list[int]:
             rows[0][f >> b & 1] += n * p
             rows[1][f >> b & 1] += n * (1 - p)
     ratio = [[(yes[v] / sum(yes)) / (no[v] / sum(no)) for v in range(2)] for yes, no in bits]
-    return [code for k, votes, f, _n, code in seen if posterior(k, votes, prod(r[f >> b & 1] for b, r in enumerate(ratio))) >= ACCEPT]
+    can_be = lambda k, votes: KINDS[k] not in FORMED or votes[0] != NO
+    return [code for k, votes, f, _n, code in seen if can_be(k, votes) and posterior(k, votes, prod(r[f >> b & 1] for b, r in enumerate(ratio))) >= ACCEPT]
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
