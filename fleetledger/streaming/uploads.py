@@ -109,14 +109,14 @@ def latest_of(rows: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max("ts").alias("ts"))
 
 
-PROGRESS = "query string, run string, at string, batch long, operator string, n_dropped long, n_state long, n_removed long"
+PROGRESS = "query string, run string, at string, batch long, operator string, place int, n_dropped long, n_state long, n_removed long"
 
 
 class ProgressTable(StreamingQueryListener):
     """Appends what every batch of every query says of its stateful operators to a table.
 
-    A query itself remembers its last batches only. One row per batch and operator: rows dropped as late, rows in the
-    state, rows removed from it.
+    A query itself remembers its last batches only. One row per batch and operator, which its place
+    tells from others of its name: rows dropped as late, rows in the state, rows removed from it.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -128,7 +128,7 @@ class ProgressTable(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:  # noqa: N802
         p = event.progress
-        rows = [(str(p.id), str(p.runId), p.timestamp, p.batchId, s.operatorName, s.numRowsDroppedByWatermark, s.numRowsTotal, s.numRowsRemoved) for s in p.stateOperators]
+        rows = [(str(p.id), str(p.runId), p.timestamp, p.batchId, s.operatorName, k, s.numRowsDroppedByWatermark, s.numRowsTotal, s.numRowsRemoved) for k, s in enumerate(p.stateOperators)]
         if rows:
             self.spark.createDataFrame(rows, PROGRESS).coalesce(1).write.mode("append").parquet(self.path)
 
@@ -151,7 +151,7 @@ class ProgressTable(StreamingQueryListener):
 
 def late_data_report(progress: DataFrame) -> DataFrame:
     """(batch, operator, n_dropped): rows dropped as late, of the rows of a ProgressTable. A batch that ran twice counts as it ran last."""
-    last = progress.groupBy("query", "batch", "operator").agg(F.max_by("n_dropped", "at").alias("n_dropped"))
+    last = progress.groupBy("query", "batch", "operator", "place").agg(F.max_by("n_dropped", "at").alias("n_dropped"))
     return last.groupBy("batch", "operator").agg(F.sum("n_dropped").alias("n_dropped"))
 
 

@@ -239,3 +239,11 @@ def test_merged_sketches_equal_one_sketch(spark):
     once = {r.asset_id: r.n_versions for r in rollups.merged_versions(rollups.version_sketches(rows, "asset_id"), "asset_id").collect()}
     for asset, n in merged.items():
         assert abs(n - once[asset]) <= 0.01 * n and abs(n - 40_000) <= 3 * 1.04 / 64 * 40_000
+
+
+def test_operators_of_one_name_are_told_apart(spark):
+    """Two of a name in one batch count each; a batch that ran twice counts as it ran last."""
+    row = lambda run, at, place, n: ("q", run, at, 0, "stateStoreSave", place, n, 1, 0)
+    rows = [row("a", "2024-01-01T00:00:00Z", 0, 9), row("a", "2024-01-01T00:00:00Z", 1, 9), row("b", "2024-01-01T00:01:00Z", 0, 3), row("b", "2024-01-01T00:01:00Z", 1, 4)]
+    report = uploads.late_data_report(spark.createDataFrame(rows, uploads.PROGRESS)).collect()
+    assert [tuple(r) for r in report] == [(0, "stateStoreSave", 7)]
