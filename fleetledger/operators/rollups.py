@@ -77,6 +77,16 @@ def merged_versions(sketches: DataFrame, *keys: str) -> DataFrame:
     return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_versions"))
 
 
+def version_sets(installed: DataFrame, *keys: str) -> DataFrame:
+    """(keys, version): the distinct versions of each group, to be stored where an estimate is not enough."""
+    return installed.select(*keys, "version").distinct()
+
+
+def merged_sets(sets: DataFrame, *keys: str) -> DataFrame:
+    """Exactly how many versions each group of keys has over all its stored sets. A version of several days counts once."""
+    return sets.groupBy(*keys).agg(F.count_distinct("version").alias("n_versions"))
+
+
 def daily_uploads(events: DataFrame) -> DataFrame:
     """Tumbling days of ts (a timestamp) and event_type; batch or stream."""
     return events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
