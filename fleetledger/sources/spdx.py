@@ -48,6 +48,23 @@ def sbom_write(found: DataFrame, created: str | None = None, pretty: bool = Fals
     return rows.select("scan_id", document(F.concat(F.lit("scan-"), F.col("scan_id")), F.col("created"), F.col("listed"), pretty).alias("doc"))
 
 
+#: A line of a spool: the name of a file as it was sent, and its text as it came, whole or not.
+SPOOL = "file string, body string"
+
+
+def write_spool(sent: DataFrame, path: str) -> None:
+    """(file, body) as packed lines, many documents to a file: a fleet's files are too many to be made, listed and opened one by one."""
+    sent.select("file", "body").write.option("compression", "gzip").json(path)
+
+
+def from_spool(lines: DataFrame) -> DataFrame:
+    """Lines of a spool (file, body, and _corrupt_record for a line that is none) as sbom_read has documents: one row for each, file being the name sent."""
+    d, at = F.col("_d"), F.coalesce("file", F.col("_metadata.file_path"))
+    broken = F.coalesce(F.col(CORRUPT), F.col(f"_d.{CORRUPT}"), F.when(d.isNull(), F.coalesce("body", F.lit(""))))
+    read = lines.select(at.alias("file"), "body", CORRUPT, F.from_json("body", READ_SCHEMA, {"columnNameOfCorruptRecord": CORRUPT}).alias("_d"))
+    return read.select(*[F.col(f"_d.{f.name}").alias(f.name) for f in DOCUMENT.fields], broken.alias(CORRUPT), "file")
+
+
 def write_files(docs: DataFrame, path: str) -> None:
     """(scan_id, doc) as one file per document, in a folder of its scan.
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from fleetledger.functions.versions import version_key
 from fleetledger.session import scratch
-from fleetledger.sources.spdx import CORRUPT, READ_SCHEMA, packages
+from fleetledger.sources.spdx import CORRUPT, READ_SCHEMA, SPOOL, from_spool, packages
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -54,15 +54,17 @@ def write_collected(docs: DataFrame, n: int, out: str, period: str = "day") -> N
     """A batch of documents (as sbom_read has them) into the tables under out, in place of what a batch of that number wrote before.
 
     A document is read if its JSON is whole and it has a name and a list of packages, and rejected otherwise: each one
-    that arrives is in one of the two tables. Packages are dealt to their folders, those of a large one to several tasks,
-    and have their version key stored, so no query has to make it again. period: day, month or year, as the fleet is large.
+    that arrives is in one of the two tables. Documents are dealt to their folders, those of a large one to several tasks;
+    packages have their version key stored, so no query has to make it again. period: day, month or year, as the fleet is large.
     """
     docs = docs.persist()  # three tables come from one reading of the files
     reason = F.when(F.col(CORRUPT).isNotNull(), "no JSON").when(F.col("name").isNull(), "no name").when(F.col("packages").isNull(), "no packages")
     created = F.try_to_timestamp(F.col("creationInfo.created"))
     good = docs.withColumns({"reason": reason, "created": created}).where("reason IS NULL")
-    rows = packages(good.drop(CORRUPT), ("created", "file")).withColumns({"vkey": version_key(F.col("version")), "period": F.to_date(F.date_trunc(period, "created")), "batch": F.lit(n).cast("long")})
-    rows.hint("rebalance", F.col("period")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period", "batch").parquet(f"{out}/packages")
+    # documents are dealt, not their packages: what is shuffled has each name, file and time once
+    dealt = good.drop(CORRUPT).withColumn("period", F.to_date(F.date_trunc(period, "created"))).hint("rebalance", F.col("period"))
+    rows = packages(dealt, ("created", "file", "period")).withColumns({"vkey": version_key(F.col("version")), "batch": F.lit(n).cast("long")})
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period", "batch").parquet(f"{out}/packages")
     good.select(F.col("name").alias("document"), "created", "file", F.size("packages").cast("long").alias("n_packages")).write.mode("overwrite").parquet(f"{out}/documents/batch={n}")
     docs.withColumn("reason", reason).where("reason IS NOT NULL").select("file", F.coalesce(CORRUPT, F.to_json(F.struct("spdxVersion", "name", "creationInfo", "packages"))).alias("text"), "reason").write.mode("overwrite").parquet(f"{out}/rejects/batch={n}")
     docs.unpersist()
@@ -74,6 +76,16 @@ def collect_results(spark: SparkSession, in_dir: str, out: str, checkpoint: str,
     Every batch writes under its own number, so one that runs again after a failure replaces its rows.
     """
     docs = spark.readStream.schema(READ_SCHEMA).option("multiLine", multi_line).option("columnNameOfCorruptRecord", CORRUPT).json(in_dir).withColumn("file", F.col("_metadata.file_path"))
+    return _into_tables(docs, out, checkpoint, period)
+
+
+def collect_spool(spark: SparkSession, in_dir: str, out: str, checkpoint: str, period: str = "day") -> StreamingQuery:
+    """collect_results for documents of many lines that arrive in spools (spdx.write_spool), each under the name of the file that was sent."""
+    lines = spark.readStream.schema(f"{SPOOL}, {CORRUPT} string").option("columnNameOfCorruptRecord", CORRUPT).json(in_dir)
+    return _into_tables(from_spool(lines), out, checkpoint, period)
+
+
+def _into_tables(docs: DataFrame, out: str, checkpoint: str, period: str) -> StreamingQuery:
     return docs.writeStream.foreachBatch(lambda batch, n: write_collected(batch, n, out, period)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
