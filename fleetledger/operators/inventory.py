@@ -20,26 +20,49 @@ def inventory(scans: DataFrame, contents: DataFrame, catalog: DataFrame) -> Data
     Contents meet the last scans first, so only theirs go on to the catalog. Keys are made after the distinct: arrays
     are neither shuffled nor compared.
     """
-    last = latest_scan(scans).select("scan_id", "asset_id").join(contents, "scan_id")
+    # last scans are one row an asset: hashed, so a task neither sorts nor holds its share of all contents
+    last = contents.join(latest_scan(scans).select("scan_id", "asset_id").hint("shuffle_hash"), "scan_id")
     found = last.join(catalog, "pkg_id").select("asset_id", "scan_id", "ecosystem", "name", "version").distinct()
     return found.withColumn("vkey", version_key(F.col("version")))
 
 
-def match_vulnerabilities(installed: DataFrame, advisories: DataFrame, *also: str) -> DataFrame:
-    """Pairs of equal ecosystem and name with the version in [introduced, fixed); no fix: no upper end.
+def advisory_ranges(advisories: DataFrame, *also: str, ids: bool = True) -> DataFrame:
+    """Advisories that differ in nothing but their id as one row with n_advisories, and with their ids unless ids is false.
+
+    Many advisories name one package with one range; so installed packages meet each range once, whatever their number.
+    """
+    same = ["ecosystem", "name", *also, "introduced", "fixed", "ikey", "fkey", "severity"]
+    listed = [F.collect_list(F.struct("advisory_id")).alias("advisory_ids")] if ids else []
+    return advisories.groupBy(*same).agg(F.count(F.lit(1)).alias("n_advisories"), *listed)
+
+
+def match_ranges(installed: DataFrame, ranges: DataFrame, *also: str) -> DataFrame:
+    """Pairs of equal ecosystem and name with the version in [introduced, fixed); no fix: no upper end. ranges: see advisory_ranges.
 
-    An equi-join with a range on the keys. Spark broadcasts the advisories if they measure small, else both sides are
+    An equi-join with a range on the keys. Spark broadcasts the ranges if they measure small, else both sides are
     shuffled by (ecosystem, name) and adaptive execution splits packages that very many assets have. Versions that can't
     be ordered match nothing and are in unparsed(); this is asked of candidates only, as a filter it would be pushed to every row scanned.
     also: further columns that must be equal.
     """
-    i, a = installed.alias("i"), advisories.alias("a")
+    i, a = installed.alias("i"), ranges.alias("a")
     inside = (F.col("i.vkey") >= F.col("a.ikey")) & (F.col("a.fkey").isNull() | (F.col("i.vkey") < F.col("a.fkey")))
     within = F.when(parsed(F.col("i.vkey")), inside).otherwise(False)
     for c in reversed(("ecosystem", "name", *also)):
         within = (F.col(f"i.{c}") == F.col(f"a.{c}")) & within
-    both = i.join(a, within)
-    return both.select("i.*", "a.advisory_id", "a.introduced", "a.fixed", "a.fkey", "a.severity")
+    rest = [F.col(f"a.{c}") for c in ranges.columns if c not in ("ecosystem", "name", "ikey", *also)]
+    return i.join(a, within).select("i.*", *rest)
+
+
+def match_vulnerabilities(installed: DataFrame, advisories: DataFrame, *also: str) -> DataFrame:
+    """match_ranges with a row for each advisory. Where only their number counts, count_vulnerabilities has fewer rows."""
+    found = match_ranges(installed, advisory_ranges(advisories, *also), *also)
+    each = found.withColumn("advisory", F.explode("advisory_ids"))
+    return each.select(*installed.columns, F.col("advisory.advisory_id").alias("advisory_id"), "introduced", "fixed", "fkey", "severity")
+
+
+def count_vulnerabilities(installed: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Each installed package with every range that it is in, and the number n_advisories of the advisories with this range and severity."""
+    return match_ranges(installed, advisory_ranges(advisories, ids=False))
 
 
 def store_bucketed(packages: DataFrame, advisories: DataFrame, name: str, path: str, buckets: int = 64, spread: int = 4) -> tuple[str, str]:
@@ -104,5 +127,6 @@ def not_scanned_since(assets: DataFrame, scans: DataFrame, cutoff: str) -> DataF
 
 def upgrade_plan(installed: DataFrame, advisories: DataFrame) -> DataFrame:
     """For each asset's package the highest fixed version among what matches now, and how many have no fix."""
-    f = match_vulnerabilities(installed, advisories)
-    return f.groupBy("asset_id", "ecosystem", "name", "version").agg(F.max_by(F.when(F.col("fkey").isNotNull(), F.col("fixed")), "fkey").alias("upgrade_to"), F.count(F.when(F.col("fkey").isNull(), 1)).alias("n_unfixed"))
+    f = count_vulnerabilities(installed, advisories)
+    unfixed = F.sum(F.when(F.col("fkey").isNull(), F.col("n_advisories")).otherwise(0))
+    return f.groupBy("asset_id", "ecosystem", "name", "version").agg(F.max_by(F.when(F.col("fkey").isNotNull(), F.col("fixed")), "fkey").alias("upgrade_to"), unfixed.alias("n_unfixed"))

@@ -63,6 +63,11 @@ class Fleet:
     def findings(self) -> DataFrame:
         return inv.match_vulnerabilities(self.inventory, self.advisories)
 
+    @property
+    def counted_findings(self) -> DataFrame:
+        """findings without their ids: a row for each range, with the number of its advisories."""
+        return inv.count_vulnerabilities(self.inventory, self.advisories)
+
     @property
     def events(self) -> DataFrame:
         return self.table("events")
