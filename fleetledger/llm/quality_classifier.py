@@ -34,7 +34,7 @@ WORD_WEIGHT, SHAPE_WEIGHT = 0.125, 1.0
 _WORD = re.compile("[^\\s!-/:-@\\[-`{-\xbf\u060c\u061b\u061f\u06d4\u0964\u0965\u2000-\u206f\u3000-\u303f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
 _UNSPACED = "\u0e00"
 #: Columns of the term matrix that the driver holds as numbers at one time.
-COLUMNS = 4096
+COLUMNS = 1024
 
 
 def words_of(text: str) -> Counter:
@@ -103,9 +103,28 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0].astype("<i4").tobytes() for g in got], pa.binary()), pa.array([g[1].astype("<f8").tobytes() for g in got], pa.binary())], ["doc_id", "at", "w"])
 
 
+def largest(gram: np.ndarray, k: int, tolerance: float = 1e-12, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenvalues of a symmetric matrix without negative ones, and their vectors as columns.
+
+    By iterating a subspace, until they fit the matrix to the tolerance: a whole decomposition takes five times the matrix
+    in memory, which is the driver's. It is made only if the matrix is small or the steps don't get there.
+    """
+    n, width = len(gram), 2 * k + 8
+    if n > 4 * width:
+        v = np.random.default_rng(0).standard_normal((n, width))
+        for _ in range(steps):
+            v = np.linalg.qr(gram @ v)[0]
+            image = gram @ v
+            values, turn = np.linalg.eigh(v.T @ image)
+            turn, values = turn[:, : -k - 1 : -1], values[: -k - 1 : -1]
+            if np.abs(image @ turn - v @ turn * values).max() <= tolerance * max(values[0], 1e-12):
+                return values, v @ turn
+    return np.linalg.eigh(gram)
+
+
 def project(found: list[tuple[np.ndarray, np.ndarray]], dimensions: int) -> np.ndarray:
     """Inverse document frequency times the first right singular vectors of the term matrix, made COLUMNS columns at a time."""
-    doc = np.repeat(np.arange(len(found)), [len(at) for at, _ in found])
+    doc = np.repeat(np.arange(len(found), dtype=np.int32), [len(at) for at, _ in found])
     term, w = np.concatenate([at for at, _ in found]), np.concatenate([w for _, w in found])
     idf = np.log((1 + len(found)) / (1 + np.bincount(term, minlength=TERMS)))
     order = np.argsort(term, kind="stable")
@@ -122,7 +141,7 @@ def project(found: list[tuple[np.ndarray, np.ndarray]], dimensions: int) -> np.n
     gram = np.zeros((len(found), len(found)))
     for _, m in blocks():
         gram += m @ m.T
-    values, left = np.linalg.eigh(gram)
+    values, left = largest(gram, dimensions)
     keep = [i for i in np.argsort(-values)[:dimensions] if values[i] > 1e-9 * max(values.max(), 1e-12)]
     right = np.zeros((TERMS, len(keep)))
     for first, m in blocks():
@@ -163,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dimensio
     rows = sorted(texts.mapInArrow(_featurize, "doc_id long, at binary, w binary").collect(), key=lambda r: r.doc_id) if quality else []
     if not rows:
         return Model(np.zeros((TERMS, 1)), np.zeros((0, 1)), np.zeros(0))
-    found = [(np.frombuffer(r["at"], "<i4").astype(np.int64), np.frombuffer(r["w"], "<f8")) for r in rows]
+    found = [(np.frombuffer(r["at"], "<i4"), np.frombuffer(r["w"], "<f8")) for r in rows]
     model = Model(project(found, dimensions), np.zeros((0, 1)), np.zeros(0))
     v = model.embed(found)
     ones = [q for r in rows for q in quality[r.doc_id]]
