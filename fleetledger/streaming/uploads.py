@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from fleetledger.functions.versions import version_key
-from fleetledger.session import scratch
+from fleetledger.session import discard, scratch
 from fleetledger.sources.spdx import CORRUPT, READ_SCHEMA, SPOOL, from_spool, packages
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -57,17 +57,21 @@ def write_collected(docs: DataFrame, n: int, out: str, period: str = "day") -> N
     that arrives is in one of the two tables. Documents are dealt to their folders, those of a large one to several tasks;
     packages have their version key stored, so no query has to make it again. period: day, month or year, as the fleet is large.
     """
-    docs = docs.persist()  # three tables come from one reading of the files
     reason = F.when(F.col(CORRUPT).isNotNull(), "no JSON").when(F.col("name").isNull(), "no name").when(F.col("packages").isNull(), "no packages")
-    created = F.try_to_timestamp(F.col("creationInfo.created"))
-    good = docs.withColumns({"reason": reason, "created": created}).where("reason IS NULL")
+    docs = docs.withColumns({"reason": reason, "created": F.try_to_timestamp(F.col("creationInfo.created"))})
     # documents are dealt, not their packages: what is shuffled has each name, file and time once
-    dealt = good.drop(CORRUPT).withColumn("period", F.to_date(F.date_trunc(period, "created"))).hint("rebalance", F.col("period"))
+    dealt = docs.where("reason IS NULL").drop(CORRUPT).withColumn("period", F.to_date(F.date_trunc(period, "created"))).hint("rebalance", F.col("period"))
     rows = packages(dealt, ("created", "file", "period")).withColumns({"vkey": version_key(F.col("version")), "batch": F.lit(n).cast("long")})
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period", "batch").parquet(f"{out}/packages")
-    good.select(F.col("name").alias("document"), "created", "file", F.size("packages").cast("long").alias("n_packages")).write.mode("overwrite").parquet(f"{out}/documents/batch={n}")
-    docs.withColumn("reason", reason).where("reason IS NOT NULL").select("file", F.coalesce(CORRUPT, F.to_json(F.struct("spdxVersion", "name", "creationInfo", "packages"))).alias("text"), "reason").write.mode("overwrite").parquet(f"{out}/rejects/batch={n}")
-    docs.unpersist()
+    # The files are read once more for what is known of each document. A batch is not persisted: executors would hold it with all its packages.
+    text = F.when(F.col("reason").isNotNull(), F.coalesce(CORRUPT, F.to_json(F.struct("spdxVersion", "name", "creationInfo", "packages"))))
+    known = f"{out}/_known/batch={n}"  # readers of the tables pass over it
+    heads = docs.select(F.col("name").alias("document"), "created", "file", F.size("packages").cast("long").alias("n_packages"), text.alias("text"), "reason")
+    heads.write.mode("overwrite").parquet(known)
+    heads = docs.sparkSession.read.schema(heads.schema).parquet(known)
+    heads.where("reason IS NULL").drop("text", "reason").write.mode("overwrite").parquet(f"{out}/documents/batch={n}")
+    heads.where("reason IS NOT NULL").select("file", "text", "reason").write.mode("overwrite").parquet(f"{out}/rejects/batch={n}")
+    discard(heads)
 
 
 def collect_results(spark: SparkSession, in_dir: str, out: str, checkpoint: str, multi_line: bool = True, period: str = "day") -> StreamingQuery:
