@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def version_key(version: Column) -> Column:
     """'1.10.2' to [1,10,2]. A part that is no number of 64 bits is null in the key: see parsed(). A null version has a null key."""
-    return F.transform(F.split(version, "[.]"), lambda x: x.try_cast("bigint"))
+    # a pattern that Java splits by without a regular expression; the array is cast as one, in compiled code
+    return F.split(version, r"\.").try_cast("array<bigint>")
 
 
 def parsed(key: Column) -> Column:

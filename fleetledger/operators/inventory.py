@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,32 +35,34 @@ def advisory_ranges(advisories: DataFrame, *also: str, ids: bool = True) -> Data
     Many advisories name one package with one range; so installed packages meet each range once, whatever their number.
     """
     same = ["ecosystem", "name", *also, "introduced", "fixed", "ikey", "fkey", "severity"]
-    listed = [F.collect_list(F.struct("advisory_id")).alias("advisory_ids")] if ids else []
+    # in structs, as collect_list leaves nulls out; as plain strings the ids are cheaper to explode
+    listed = [F.transform(F.collect_list(F.struct("advisory_id")), lambda x: x["advisory_id"]).alias("advisory_ids")] if ids else []
     return advisories.groupBy(*same).agg(F.count(F.lit(1)).alias("n_advisories"), *listed)
 
 
-def match_ranges(installed: DataFrame, ranges: DataFrame, *also: str) -> DataFrame:
+def match_ranges(installed: DataFrame, ranges: DataFrame, *also: str, key: str | None = None) -> DataFrame:
     """Pairs of equal ecosystem and name with the version in [introduced, fixed); no fix: no upper end. ranges: see advisory_ranges.
 
     An equi-join with a range on the keys. Spark broadcasts the ranges if they measure small, else both sides are
     shuffled by (ecosystem, name) and adaptive execution splits packages that very many assets have. Versions that can't
     be ordered match nothing and are in unparsed(); this is asked of candidates only, as a filter it would be pushed to every row scanned.
-    also: further columns that must be equal.
+    also: further columns that must be equal. key: a column of both sides that is equal wherever these columns are; then
+    rows meet by it alone, and the columns are compared where they meet.
     """
     i, a = installed.alias("i"), ranges.alias("a")
     inside = (F.col("i.vkey") >= F.col("a.ikey")) & (F.col("a.fkey").isNull() | (F.col("i.vkey") < F.col("a.fkey")))
-    within = F.when(parsed(F.col("i.vkey")), inside).otherwise(False)
-    for c in reversed(("ecosystem", "name", *also)):
-        within = (F.col(f"i.{c}") == F.col(f"a.{c}")) & within
-    rest = [F.col(f"a.{c}") for c in ranges.columns if c not in ("ecosystem", "name", "ikey", *also)]
+    equal = lambda *columns: reduce(and_, [F.col(f"i.{c}") == F.col(f"a.{c}") for c in columns])
+    same, ok = equal("ecosystem", "name", *also), parsed(F.col("i.vkey"))
+    within = equal(key) & F.when(same & ok, inside).otherwise(False) if key else same & F.when(ok, inside).otherwise(False)
+    rest = [F.col(f"a.{c}") for c in ranges.columns if c not in ("ecosystem", "name", "ikey", key, *also)]
     return i.join(a, within).select("i.*", *rest)
 
 
-def match_vulnerabilities(installed: DataFrame, advisories: DataFrame, *also: str) -> DataFrame:
+def match_vulnerabilities(installed: DataFrame, advisories: DataFrame, *also: str, key: str | None = None) -> DataFrame:
     """match_ranges with a row for each advisory. Where only their number counts, count_vulnerabilities has fewer rows."""
-    found = match_ranges(installed, advisory_ranges(advisories, *also), *also)
-    each = found.withColumn("advisory", F.explode("advisory_ids"))
-    return each.select(*installed.columns, F.col("advisory.advisory_id").alias("advisory_id"), "introduced", "fixed", "fkey", "severity")
+    ranges = advisory_ranges(advisories, *also, *([key] if key else []))
+    found = match_ranges(installed, ranges, *also, key=key)
+    return found.select(*installed.columns, F.explode("advisory_ids").alias("advisory_id"), "introduced", "fixed", "fkey", "severity")
 
 
 def count_vulnerabilities(installed: DataFrame, advisories: DataFrame) -> DataFrame:
@@ -66,24 +71,28 @@ def count_vulnerabilities(installed: DataFrame, advisories: DataFrame) -> DataFr
 
 
 def store_bucketed(packages: DataFrame, advisories: DataFrame, name: str, path: str, buckets: int = 64, spread: int = 4) -> tuple[str, str]:
-    """Store packages and advisories as tables in buckets of (ecosystem, name, part), sorted by them; their two names, for match_bucketed.
+    """Store packages and advisories as tables in buckets of (ecosystem, name, part); their two names, for match_bucketed.
 
     part deals the rows of one package to spread buckets, by all their columns, so a package that very many scans hold is
-    no one task's. Each advisory is stored spread times. path: a folder that all executors share.
+    no one task's. Each advisory is stored spread times. Buckets go by cell, a number made of the three columns: dealing,
+    sorting and meeting compare one number instead of texts. Keys of versions are made after the shuffle. path: a folder
+    that all executors share.
     """
     spark = packages.sparkSession
-    keys = ["ecosystem", "name", "part"]
     rest = [c for c in packages.columns if c not in ("ecosystem", "name", "vkey")]
-    sides = {"packages": packages.withColumn("part", F.pmod(F.xxhash64(*rest), F.lit(spread)).cast("int")), "advisories": advisories.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))}
-    for side, rows in sides.items():
-        rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{path}/{side}").saveAsTable(f"{name}_{side}")
+    have = packages.drop("vkey").withColumn("part", F.pmod(F.xxhash64(*rest), F.lit(spread)).cast("int"))
+    known = advisories.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    dealt = lambda rows: rows.withColumn("cell", F.xxhash64("ecosystem", "name", "part")).repartition(buckets, "cell").sortWithinPartitions("cell")
+    for side, rows in {"packages": dealt(have).withColumn("vkey", version_key(F.col("version"))), "advisories": dealt(known)}.items():
+        # sorted by now, not by sortBy, whose sort makes a row's bucket anew at each comparison; readers sort what is in order, at little cost
+        rows.write.bucketBy(buckets, "cell").option("path", f"{path}/{side}").saveAsTable(f"{name}_{side}")
     return f"{name}_packages", f"{name}_advisories"
 
 
 def match_bucketed(packages: str, advisories: str, where: str = "true") -> DataFrame:
     """match_vulnerabilities of two stored tables; where: a condition on the advisories. Buckets meet where they lie: nothing is shuffled."""
     spark = SparkSession.getActiveSession()
-    return match_vulnerabilities(spark.table(packages), spark.table(advisories).where(where), "part").drop("part")
+    return match_vulnerabilities(spark.table(packages), spark.table(advisories).where(where), "part", key="cell").drop("part", "cell")
 
 
 def unparsed(installed: DataFrame, advisories: DataFrame) -> DataFrame:
